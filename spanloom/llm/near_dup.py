@@ -207,3 +207,21 @@ def near_duplicates(docs: DataFrame, per_cent: int = 85, width: int = 5, block_s
         F.coalesce("root", "doc_id").alias("component_id"),
         F.coalesce(F.coalesce("root", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
     )
+
+
+def representatives(docs: DataFrame, per_cent: int = 80, width: int = 5) -> DataFrame:
+    """``docs``, all columns, with one document of each group: the one whose doc_id names the component.
+
+    Rows that a Bloom filter of the dropped and repeated ids rules out pass as they are, so texts are shuffled only for
+    documents that are likely to go.  Rows that repeat a doc_id and text count as one document; rows without a doc_id stay."""
+    groups = near_duplicates(docs, per_cent, width)
+    fate = keep(groups.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or("kept").alias("kept")).filter("n > 1 or not kept"))
+    cols = docs.columns
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)], F.col("doc_id").cast("long").alias("doc_id"))
+    hit = plain.withColumn("hit", F.col("doc_id").isNotNull() & bloom_filter(fate, "doc_id"))
+    told = hit.filter("hit").join(fate, "doc_id", "left")
+    stay = told.filter("n is null")
+    again = told.filter("n > 1 and kept").dropDuplicates(["doc_id", f"c{cols.index('text')}"])
+    names = [f"c{i}" for i in range(len(cols))]
+    out = hit.filter("not hit").select(names).union(stay.select(names)).union(again.select(names))
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(cols)])
