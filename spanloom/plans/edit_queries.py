@@ -195,14 +195,14 @@ def _jac(a: str, b: str) -> str:
 @query(V.sql("SELECT doc_id, count(*) FILTER (ing AND inp) AS pairs, count(*) FILTER (NOT inp) AS missed, count(*) FILTER (NOT ing) AS spurious FROM pr GROUP BY doc_id", "base", "okey", "omode", "cmap", extra=_pairs_cte("text_type")))
 def align_multiset(spark, d):
     gold, pred = _gold(spark, d), _pred(spark, d)
-    pairs = M.align(gold, pred.join(gold.select("doc_id").distinct(), "doc_id", "left_semi"), "text_type")
+    pairs = M.align(gold, pred.join(gold.select("doc_id").distinct(), "doc_id", "left_semi"), ["text_type"])
     return pairs.groupBy("doc_id").agg(F.count_if(F.col("g").isNotNull() & F.col("p").isNotNull()).alias("pairs"), F.count_if(F.col("p").isNull()).alias("missed"), F.count_if(F.col("g").isNull()).alias("spurious"))
 
 
 def _jaccard_query(name: str, a: str, b: str, column: str):
     def run(spark, d):
         gold = _gold(spark, d)
-        s = M.sample_scores(gold, _pred(spark, d), "pos_type", "per_concept", gold.select("doc_id").distinct())
+        s = M.sample_scores(gold, _pred(spark, d), gold.select("doc_id").distinct(), ["pos_type"], ("per_concept",))
         return s.select("doc_id", F.round(column, 6).alias("score"))
 
     run.__name__ = name
@@ -252,7 +252,7 @@ def evaluate_concat(spark, d):
 @query()
 def wer_concat(spark, d):
     gold, pred = _gold(spark, d), _pred(spark, d)
-    return M.sample_scores(gold, pred, "text_type", "concat", gold.select("doc_id").distinct()).select("doc_id", F.round("text", 6).alias("text_score"), "weight")
+    return M.sample_scores(gold, pred, gold.select("doc_id").distinct(), ["text_type"], ("concat",)).select("doc_id", F.round("text", 6).alias("text_score"), "weight")
 
 
 _PROBES = {
