@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,19 +16,23 @@ def strings(values: Iterable[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def nfc(c: Column) -> Column:
-    """Unicode NFC.  Spark has no builtin; ASCII texts skip the Arrow round trip's work."""
-    import pandas as pd
-
+def _normal(c: Column, form: str) -> Column:
     @F.pandas_udf("string")
     def normal(s: pd.Series) -> pd.Series:
-        import unicodedata
-
-        return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
+        return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize(form, x))
 
     return normal(c)
 
 
+def nfc(c: Column) -> Column:
+    """Unicode NFC.  Spark has no builtin; ASCII texts skip the work."""
+    return _normal(c, "NFC")
+
+
+def nfd(c: Column) -> Column:
+    return _normal(c, "NFD")
+
+
 def surface(c: Column) -> Column:
     """Key of a span's text: trimmed, lower case.  Texts are NFC already; apply ``nfc`` first where they may not be."""
     return F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", ""))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spanloom.functions.text import nfd
 from spanloom.operators import locate as L
 from spanloom.operators import structure as S
 from spanloom.plans import views as V
@@ -145,8 +146,8 @@ _G = "doc_id, voter, text, type, bef, aft"
 
 @query(
     V.sql(
-        """SELECT r.doc_id, r.voter, r.item_ord, CASE WHEN best IS NULL THEN NULL ELSE p END AS "start",
-          CASE WHEN best IS NULL THEN 'context' WHEN p IS NULL THEN 'surplus' WHEN nk > 1 THEN 'ordinal' ELSE 'accepted' END AS reason
+        """SELECT r.doc_id, r.voter, r.item_ord, CASE WHEN b.best IS NULL THEN NULL ELSE p END AS "start",
+          CASE WHEN b.best IS NULL THEN 'context' WHEN p IS NULL THEN 'surplus' WHEN nk > 1 THEN 'ordinal' ELSE 'accepted' END AS reason
         FROM rn r JOIN (SELECT DISTINCT doc_id, voter, text, type, bef, aft, best FROM lv) b USING (doc_id, voter, text, type, bef, aft)
         LEFT JOIN kp k ON k.doc_id = r.doc_id AND k.voter = r.voter AND k.text = r.text AND k.type = r.type AND k.bef = r.bef AND k.aft = r.aft AND k.nth = r.nth""",
         "votes",
@@ -182,16 +183,8 @@ def locate_strict_reasons(spark, d):
 @query(V.sql("SELECT doc_id, text, count(*) AS n FROM pos GROUP BY ALL", "mention", "docs", extra=_hits(f"SELECT DISTINCT doc_id, text FROM mention WHERE s % 7 = 0 AND strlen(text) > length(text) AND {_PLAIN_SQL}")))
 def locate_nfc_fallback(spark, d):
     """Needles are taken apart (NFD), so that only the fallback finds them; the composed form's count is the truth."""
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def apart(s: pd.Series) -> pd.Series:
-        import unicodedata
-
-        return s.map(lambda x: unicodedata.normalize("NFD", x))
-
     need = V.mentions(spark, d).filter("start % 7 = 0 and octet_length(text) > length(text)").filter(_PLAIN).select("doc_id", "text").distinct()
-    need = need.withColumn("composed", F.col("text")).withColumn("text", apart("text"))
+    need = need.withColumn("composed", F.col("text")).withColumn("text", nfd(F.col("text")))
     hits = L.occurrences(need, V.docs(spark, d))
     return hits.join(need, ["doc_id", "text"]).groupBy("doc_id", F.col("composed").alias("text")).agg(F.count("*").alias("n"))
 
