@@ -106,17 +106,18 @@ def plan_draws(words: list[np.ndarray], targets: list[float], n_shards: int, see
     return Plan(targets, draws)
 
 
-def with_draws(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, n_shards: int = 16, blocks: int = BLOCKS, seed: int = 7, share: float = 1.0) -> DataFrame:
-    """``docs`` with size, source_size, target (its source's) and draws, an array of (epoch, shard): its copies in the mix.
+def drawn(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, n_shards: int = 16, blocks: int = BLOCKS, seed: int = 7, share: float = 1.0) -> DataFrame:
+    """row (all columns of ``docs`` as a struct), size, source_size, target (its source's) and draws, an array of
+    (epoch, shard): the document's copies in the mix.
 
     Sources by code point, null last, take ``weights`` in turn and share ``share`` of all words.  A document is in a
     source's epoch at most once, so its copies are at most 3.  Documents without words have size 0 and may be drawn in
     whole epochs.  Null ids hash like a value of their own; rows that repeat an id are drawn together; an empty table
-    gives an empty table.  Columns of the new names are replaced."""
+    gives an empty table."""
     spark = docs.sparkSession
-    sized = docs.withColumn("size", word_count(F.col("text")))
-    blocked = sized.withColumn("_block", F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed)), F.lit(blocks)).cast("int"))
-    per_source = blocked.groupBy("source", "_block").agg(F.sum("size").alias("words"))
+    block = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed)), F.lit(blocks)).cast("int")
+    blocked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), block.alias("block"))
+    per_source = blocked.groupBy("source", "block").agg(F.sum("size").alias("words"))
     rows = per_source.limit(MAX_SOURCES * blocks + 1).collect()
     names = sorted({r.source for r in rows}, key=lambda x: (x is None, x or ""))
     if len(names) > MAX_SOURCES:
@@ -124,7 +125,7 @@ def with_draws(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, n_shards:
     place = {x: i for i, x in enumerate(names)}
     words = [np.full(blocks, -1, dtype=np.int64) for _ in names]
     for r in rows:
-        words[place[r.source]][r["_block"]] = r.words
+        words[place[r.source]][r.block] = r.words
     sizes = [int(w[w >= 0].sum()) for w in words]
     targets = block_targets(sizes, [float(weights[i % len(weights)]) for i in range(len(names))], share * sum(sizes))
     plan = plan_draws(words, targets, n_shards, seed)
@@ -132,19 +133,33 @@ def with_draws(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, n_shards:
     for s, b, epoch, k in plan.draws:
         by_block.setdefault((s, b), []).append((epoch, k))
     table = [(names[s], int(b), sizes[s], float(targets[s]), by_block.get((s, int(b)), [])) for s in range(len(names)) for b in np.flatnonzero(words[s] >= 0)]
-    draws = spark.createDataFrame(table, "_source string, _b int, source_size long, target double, draws array<struct<epoch:int,shard:int>>")
-    return (
-        blocked.drop("source_size", "target", "draws")
-        .join(F.broadcast(draws), F.col("source").eqNullSafe(F.col("_source")) & (F.col("_block") == F.col("_b")))
-        .drop("_source", "_b", "_block")
-    )
+    draws = spark.createDataFrame(table, "s string, b int, source_size long, target double, draws array<struct<epoch:int,shard:int>>")
+    joined = blocked.join(F.broadcast(draws), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
+    return joined.select("row", "size", "source_size", "target", "draws")
+
+
+def _beside(df: DataFrame, new: list[Column], names: list[str]) -> DataFrame:
+    """The fields of ``row`` and the new columns; a field that a new column is named after gives way."""
+    own = [f for f in df.schema["row"].dataType.names if f.lower() not in names]
+    return df.select(*[F.col("row")[f].alias(f) for f in own], *new)
+
+
+def with_draws(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with size, source_size, target and draws."""
+    names = ["size", "source_size", "target", "draws"]
+    return _beside(drawn(docs, **options), [F.col(n) for n in names], names)
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: a row for each copy, with epoch, out_shard and order_key (the local shuffle of its shard)."""
-    drawn = with_draws(docs, **options).withColumn("_d", F.explode("draws"))
-    seed = options.get("seed", 7)
-    return drawn.select("*", F.col("_d.epoch").alias("epoch"), F.col("_d.shard").alias("out_shard")).drop("_d", "draws").withColumn("order_key", F.xxhash64(F.lit(seed), "out_shard", "epoch", "doc_id"))
+    each = drawn(docs, **options).select("row", F.explode("draws").alias("d"))
+    key = F.xxhash64(F.lit(options.get("seed", 7)), F.col("d.shard"), F.col("d.epoch"), F.col("row.doc_id"))
+    return _beside(each, [F.col("d.epoch").alias("epoch"), F.col("d.shard").alias("out_shard"), key.alias("order_key")], ["epoch", "out_shard", "order_key"])
+
+
+def copies(docs: DataFrame, **options) -> DataFrame:
+    """The mix with just the columns of ``docs``."""
+    return drawn(docs, **options).select("row", F.explode("draws").alias("d")).select("row.*")
 
 
 def write_mix(mix: DataFrame, path: str) -> None:

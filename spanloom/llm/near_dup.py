@@ -204,7 +204,7 @@ def near_duplicates(docs: DataFrame, per_cent: int = 85, width: int = 5, block_s
     return out.select(
         "doc_id",
         "n_shingles",
-        F.coalesce("root", "doc_id").alias("component_id"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"),
         F.coalesce(F.coalesce("root", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
     )
 
