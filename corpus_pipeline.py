@@ -7,7 +7,6 @@ shared folder and read again, so a lost executor repeats one stage's tasks at mo
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from spanloom.llm import decontaminate, mixing, near_dup, sharding, toxicity
 from spanloom.llm.tables import keep
@@ -33,7 +32,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a row for each copy that the targets of the sources ask for."""
-    return mixing.mixed(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return mixing.copies(docs)
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
