@@ -14,19 +14,22 @@ from pyspark.sql import functions as F
 from spanloom.llm.tables import drop, kept_at
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Edges (u, v) with u > v; large: link larger neighbours to the minimum, small: the node and its smaller ones."""
+def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, str]:
+    """Edges (u, v) with u > v; large: link larger neighbours to the minimum, small: the node and its smaller ones.
+
+    The minima are a table of their own, so that both sides of the join come from plain exchanges, which Spark splits
+    where one node has very many neighbours.  Also gives that table's path, to be dropped once the result is written."""
     if large:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least, path = kept_at(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     joined = both.join(least, "u")
     if large:
         out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return out.filter("u > v").distinct()
+    return out.filter("u > v").distinct(), path
 
 
 def _summary(edges: DataFrame) -> tuple:
@@ -43,10 +46,14 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     now, path = kept_at(start)
     seen = _summary(now)
     while seen[0]:
-        nxt, nxt_path = kept_at(_star(_star(now, True), False))
-        before, seen = seen, _summary(nxt)
-        drop(spark, path)
-        now, path = nxt, nxt_path
+        before, used = seen, [path]
+        for large in (True, False):
+            step, minima = _star(now, large)
+            now, path = kept_at(step)
+            used += [minima, path]
+        for old in used[:-1]:
+            drop(spark, old)
+        seen = _summary(now)
         if seen == before:
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
