@@ -89,9 +89,6 @@ def code_mode_map(spark, d):
     return V.flat(V.code_map(spark, d))
 
 
-_CODES_SQL = f"SELECT {_OUT}, c.text, n_votes, coalesce(m.codes, '') AS codes FROM cons c LEFT JOIN cmap m ON m.surface = lower(trim(c.text)) AND m.type = c.type"
-
-
 @query(V.sql(f"SELECT c.doc_id, c.s AS \"start\", c.e AS \"end\", c.type, c.text, n_votes, coalesce(m.codes, '') AS codes FROM cons c LEFT JOIN cmap m ON m.surface = lower(trim(c.text)) AND m.type = c.type WHERE n_votes >= 2", "cons", "cmap"))
 def assign_codes(spark, d):
     spans = C.consensus(V.votes(spark, d), 2)

@@ -36,7 +36,6 @@ def prune_spec(spark, d):
     return V.flat(E.prune_spec(V.base(spark, d)).select(*_BASE))
 
 
-_COV = {"cov": "SELECT doc_id FROM votes GROUP BY doc_id HAVING count(DISTINCT voter) = (SELECT count(DISTINCT voter) FROM votes)"}
 _OV = {"ov": "SELECT * FROM votes WHERE voter <> 'a'", "cov": "SELECT doc_id FROM ov GROUP BY doc_id HAVING count(DISTINCT voter) = (SELECT count(DISTINCT voter) FROM ov)"}
 
 
