@@ -174,3 +174,22 @@ def probe(base: DataFrame, name: str) -> DataFrame:
     if name.startswith("constant:"):
         return base.withColumn("assertions", F.array(F.lit(name.split(":", 1)[1])))
     raise ValueError(f"unknown probe {name}")
+
+
+def assertion_vote(base: DataFrame, votes: DataFrame, min_agree: int) -> DataFrame:
+    """The older vote on labels: each voter's best-overlapping vote of the same document speaks, and the label set that
+    most voters give replaces the base's where at least ``min_agree`` do (ties: first by voter_ord).  Adds changed."""
+    right = votes.select("doc_id", F.col("start").alias("r_start"), F.col("end").alias("r_end"), "voter_ord", F.col("item_ord").alias("r_ord"), F.col("assertions").alias("r_labels"))
+    size = F.least("end", "r_end") - F.greatest("start", "r_start")
+    met = overlap_join(base.select("doc_id", "base_ord", "start", "end"), right)
+    own = met.groupBy("doc_id", "base_ord", "voter_ord").agg(F.min_by("r_labels", F.struct((-size).alias("n"), F.col("r_ord"))).alias("_new"))
+    labels = own.groupBy("doc_id", "base_ord", "_new").agg(F.count("*").alias("n"), F.min("voter_ord").alias("first"))
+    best = labels.groupBy("doc_id", "base_ord").agg(F.min_by(F.struct("_new", "n"), F.struct((-F.col("n")).alias("n"), F.col("first"))).alias("b"))
+    best = best.filter(F.col("b.n") >= min_agree).select("doc_id", "base_ord", F.col("b._new").alias("_new"))
+    out = base.join(best, ["doc_id", "base_ord"], "left").withColumn("changed", F.coalesce(F.col("_new") != F.col("assertions"), F.lit(False)))
+    return out.withColumn("assertions", F.coalesce("_new", "assertions")).drop("_new")
+
+
+def merge_types(base: DataFrame, added: DataFrame, types: tuple[str, ...]) -> DataFrame:
+    """The base with those spans of ``added`` that have one of ``types`` and overlap nothing in it."""
+    return base.unionByName(anti_overlap(added.filter(F.col("type").isin(*types)), base).select(*base.columns))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanloom.plans import consensus_queries, edit_queries, propagate_queries, record_queries, text_queries  # noqa: F401
+from spanloom.plans import consensus_queries, edit_queries, legacy_queries, propagate_queries, record_queries, text_queries  # noqa: F401
 from spanloom.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
