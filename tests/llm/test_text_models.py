@@ -150,7 +150,7 @@ def test_no_python_in_the_plan(spark, data):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
-@pytest.mark.parametrize("name", ["op6_exact_dup", "op10_chat"])
+@pytest.mark.parametrize("name", ["op5_near_dup", "op6_exact_dup", "op10_chat"])
 def test_sql_gives_the_same_rows(spark, data, name):
     c = duckdb.connect()
     for t in ("documents", "conversations"):
