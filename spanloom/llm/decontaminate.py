@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -260,17 +261,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def _clean(shared, similarity: float):
+def _clean(shared, similarity: float, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: Block = shared.value
         for batch in batches:
-            data, offs = buffers(batch.column(batch.num_columns - 1))
+            data, offs = buffers(pc.fill_null(batch.column(text_at), ""))
             keep = np.ones(batch.num_rows, dtype=bool)
             for a, b in slices(offs):
                 for row, _, _, slots, _, broken in find_in(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], block, similarity):
                     if not broken_too_often(slots, broken):
                         keep[a + row] = False
-            yield pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1]).filter(pa.array(keep))
+            yield batch.filter(pa.array(keep))
 
     return run
 
@@ -279,8 +280,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float =
     """``docs`` without the rows that hold a benchmark item; a pass for each block, without a shuffle."""
     cols = docs.columns
     out = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)])
-    text = f"c{cols.index('text')}"
     schema = out.schema
     for block in blocks(benchmark, block_windows):
-        out = out.withColumn("scanned", text_or_empty(text)).mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(block), similarity), schema)
+        out = out.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(block), similarity, cols.index("text")), schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(cols)])

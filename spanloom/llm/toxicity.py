@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -249,16 +250,21 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, max_bytes: i
     return train([r[1] for r in got], [r[2] for r in got], [r[3] for r in got])
 
 
-def _score(model):
+def _score(model, text_at: int, carry: bool):
+    """Scores of the text column ``text_at``, lower-cased a slice at a time; the columns go along if ``carry``, else the
+    first one does.  A text crosses to Python once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
         for batch in batches:
-            data, offs = buffers(batch.column(batch.num_columns - 1))
+            column = batch.column(text_at)
             out = [np.empty(0)]
-            for a, b in slices(offs, SLICE):
-                words = Words(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+            for a, b in slices(buffers(pc.fill_null(column, ""))[1], SLICE):
+                data, offs = buffers(pc.utf8_lower(pc.fill_null(column.slice(a, b - a), "")))
+                words = Words(data, offs)
                 out.append(sigmoid(m.logits(m.pooled(features(words), words.row, b - a)).astype(np.float64)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(out), pa.float64())], [*batch.schema.names[:-1], "score"])
+            n = batch.num_columns if carry else 1
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(np.concatenate(out), pa.float64())], [*batch.schema.names[:n], "score"])
 
     return run
 
@@ -269,8 +275,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Null texts are empty; texts without words get the score of an empty text; equal texts get equal scores; a null
     doc_id is in no fold.  Only the text enters a score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col("doc_id").cast("long"), F.lower(text_or_empty()).alias("text"))
-    scored = rows.mapInArrow(_score(shared), "doc_id long, score double")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    scored = rows.mapInArrow(_score(shared, 1, False), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -278,10 +284,10 @@ def reject_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` without the rows whose score reaches the threshold of their language (0.5 where it has none)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     cols = docs.columns
-    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)], F.lower(text_or_empty()).alias("scored"))
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)])
     types = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(cols))
     cuts = F.lit(0.5)
     for lang, cut in sorted(model.thresholds.items()):
         cuts = F.when(F.col(f"c{cols.index('lang')}") == lang, cut).otherwise(cuts) if "lang" in cols else cuts
-    kept = plain.mapInArrow(_score(shared), f"{types}, score double").filter(F.col("score") < cuts)
+    kept = plain.mapInArrow(_score(shared, cols.index("text"), True), f"{types}, score double").filter(F.col("score") < cuts)
     return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(cols)])
