@@ -13,6 +13,7 @@ is broadcast is bounded whatever the benchmark's size.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -155,25 +156,51 @@ def build_block(item_ids: list[int], texts: list[str]) -> Block:
     return Block(item_ids, first, t.kinds, t.values, n_windows, keys, np.append(opens, len(h)), owner[order], at[order], sieve)
 
 
+def _align(at: np.ndarray, n_item: int, n_doc: int, main: int) -> list[tuple[int, int]]:
+    """(item token, document token), one-to-one and in order, for windows that start at the places ``at``.
+
+    Tokens on the main shift come first; the nearest other shifts only fill item tokens that are still uncovered."""
+    image: dict[int, int] = {}
+    covered: list[int] = []
+    shift = at[:, 1] - at[:, 0]
+    for d in sorted(np.unique(shift).tolist(), key=lambda d: (abs(d - main), d)):
+        starts = at[shift == d, 0]
+        for i in np.unique((starts[:, None] + np.arange(WIDTH)).ravel()).tolist():
+            k = i + d
+            if i in image or not 0 <= i < n_item or not 0 <= k < n_doc:
+                continue
+            j = bisect_left(covered, i)
+            if (j == 0 or image[covered[j - 1]] < k) and (j == len(covered) or k < image[covered[j]]):
+                image[i] = k
+                covered.insert(j, i)
+    return [(i, image[i]) for i in covered]
+
+
 def _slots(block: Block, item: int, t: Template, base: int, doc_at: np.ndarray, item_at: np.ndarray) -> tuple[int, int, int]:
-    """(slots, changed, broken) along the most frequent alignment of the item in the document."""
+    """(slots, changed, broken) along the most frequent alignment of the item in the document; of several equally
+    frequent ones, the one with the smallest share of broken slots."""
     shift = doc_at - item_at
     d, n = np.unique(shift, return_counts=True)
-    main = d[n.argmax()]
-    near = np.abs(shift - main) <= WIDTH
-    at = np.unique(np.stack([item_at[near], doc_at[near]], axis=1), axis=0)
-    tokens = np.unique(np.concatenate([at + j for j in range(min(WIDTH, len(t.ids)))]), axis=0)
-    i, k = tokens[:, 0] + block.first[item], tokens[:, 1] + base
-    inside = (i < block.first[item + 1]) & (k < len(t.ids))
-    i, k = i[inside], k[inside]
-    slot = (block.kinds[i] != LITERAL) & (block.kinds[i] == t.kinds[k])
-    i, k = i[slot], k[slot]
-    image: dict[tuple[int, int], int] = {}
-    changed = broken = 0
-    for kind, a, b in zip(block.kinds[i].tolist(), block.values[i].tolist(), t.values[k].tolist(), strict=True):
-        changed += a != b
-        broken += image.setdefault((kind, a), b) != b
-    return len(i), changed, broken
+    first, n_item = int(block.first[item]), int(block.first[item + 1] - block.first[item])
+    best: tuple[int, int, int] | None = None
+    for main in d[n == n.max()].tolist():
+        near = np.abs(shift - main) <= WIDTH
+        at = np.unique(np.stack([item_at[near], doc_at[near]], axis=1), axis=0)
+        image: dict[tuple[int, int], int] = {}
+        slots = changed = broken = 0
+        for i, k in _align(at, n_item, int(t.counts[t.row[base]]), main):
+            kind = int(block.kinds[first + i])
+            if kind == LITERAL or kind != t.kinds[base + k]:
+                continue
+            a, b = int(block.values[first + i]), int(t.values[base + k])
+            slots += 1
+            changed += a != b
+            broken += image.setdefault((kind, a), b) != b
+        if best is None or broken * max(1, best[0]) < best[2] * max(1, slots):
+            best = slots, changed, broken
+        if not broken:
+            break
+    return best
 
 
 def find_in(data: np.ndarray, offsets: np.ndarray, block: Block, similarity: float) -> Iterator[tuple[int, int, float, int, int, int]]:

@@ -229,6 +229,27 @@ def test_inconsistent_slots_are_refused(spark):
     assert not found(spark, [other])
 
 
+NUMBERS = (
+    "What is the next number in the sequence 2, 4, 6, 8, 10, 12?",
+    "Compute the mean of the values 3, 7, 9, 12, 15, 21, 30 and explain how the median of the values differs from it.",
+)
+
+
+def test_number_lists_are_found(spark):
+    filler = "the quick brown fox jumps over a lazy dog and runs away again today. " * 5
+    again = [NUMBERS[0].replace("2, 4, 6, 8, 10, 12", "3, 6, 9, 15, 18, 21"), NUMBERS[1].replace("3, 7, 9", "4, 8, 11")]
+    got = found(spark, [filler + x + " " + filler for x in (*NUMBERS, *again)], items=NUMBERS)
+    assert set(got) == {(0, 0), (1, 1), (2, 0), (3, 1)}
+    assert [got[x].n_slots for x in sorted(got)] == [6, 7, 6, 7]
+    assert got[(0, 0)].n_changed == got[(1, 1)].n_changed == 0 and got[(2, 0)].n_changed > 0 and got[(3, 1)].n_changed == 3
+
+
+def test_the_consistent_one_of_two_copies_counts(spark):
+    n = iter(["Anna", "Bert", "Carl", "Dora"])
+    got = found(spark, [re.sub("Maria", lambda _: next(n), ITEM) + " " + ITEM])
+    assert got[(0, 0)].n_changed == 0
+
+
 def test_half_an_item_is_no_hit(spark):
     assert not found(spark, [ITEM[: len(ITEM) // 2] + " and something else entirely follows in this place."])
 
