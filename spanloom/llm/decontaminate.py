@@ -5,7 +5,9 @@ lower-case letters, punctuation around words goes.  Windows of five template tok
 of a hash join that each task probes with the windows of its documents; an item counts as found where a document holds
 at least ``similarity`` of the item's distinct windows.  Then slots are compared: along the item's alignment in the
 document, an item value must always turn into the same document value, as it does when a question is asked again with
-other numbers or names.  Many mismatches mean that the template only looks alike.
+other numbers or names.  Many mismatches mean that the template only looks alike.  Words with a capital at a sentence's
+start are literals, and in a second, looser set of windows names: such a window counts where the words are equal or one of
+them is a name inside a sentence of its text.
 
 The build side is taken in blocks of at most ``block_windows`` windows, a pass over the documents for each block, so what
 is broadcast is bounded whatever the benchmark's size.
@@ -57,13 +59,26 @@ _STOP = np.isin(_BYTE, np.frombuffer(b".!?:;", dtype=np.uint8))
 
 @dataclass
 class Template:
-    """Tokens of consecutive texts: id (what windows compare), kind, value (hash of what a slot held), row."""
+    """Tokens of consecutive texts: id (what windows compare), kind, value (hash of what a slot held), row.
+
+    opening: a literal with a capital at a sentence's start.  names: (row, hash) of each capitalised word inside a sentence."""
 
     ids: np.ndarray
     kinds: np.ndarray
     values: np.ndarray
     row: np.ndarray
     counts: np.ndarray
+    opening: np.ndarray
+    names: tuple[np.ndarray, np.ndarray]
+
+    def loose_ids(self) -> np.ndarray:
+        """ids with openings as names."""
+        return np.where(self.opening, _PLACEHOLDER[NAME], self.ids)
+
+    def named(self, row: int, lo: int, hi: int) -> np.ndarray:
+        """Which of the tokens [lo, hi) of ``row`` are names, or openings that are names elsewhere in the text."""
+        a, b = np.searchsorted(self.names[0], [row, row + 1])
+        return (self.kinds[lo:hi] == NAME) | self.opening[lo:hi] & np.isin(self.values[lo:hi], self.names[1][a:b])
 
 
 def templates(data: np.ndarray, offsets: np.ndarray) -> Template:
@@ -75,7 +90,7 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> Template:
     n_rows = len(offsets) - 1
     if not len(words.start):
         none = np.empty(0, dtype=np.int64)
-        return Template(words.hash, none, words.hash, none, np.zeros(n_rows, dtype=np.int64))
+        return Template(words.hash, none, words.hash, none, np.zeros(n_rows, dtype=np.int64), none.astype(bool), (none, words.hash))
     start, end = words.start.copy(), words.end.copy()
     while True:
         lead = (start < end) & ~_WORDLIKE[data[np.minimum(start, len(data) - 1)]]
@@ -98,7 +113,7 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> Template:
     start, end, row, opens = start[has], end[has], words.row[has], opens[has]
     if not len(start):
         none = np.empty(0, dtype=np.int64)
-        return Template(np.empty(0, dtype=U), none, np.empty(0, dtype=U), none, np.zeros(n_rows, dtype=np.int64))
+        return Template(np.empty(0, dtype=U), none, np.empty(0, dtype=U), none, np.zeros(n_rows, dtype=np.int64), none.astype(bool), (none, np.empty(0, dtype=U)))
     value = words.span_hash(start, end)
     first = data[start]
     second = data[np.minimum(start + 1, end - 1)]
@@ -114,31 +129,72 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> Template:
     behind = np.zeros(len(start), dtype=bool)
     behind[1:] = number[:-1] & (row[1:] == row[:-1])
     kinds[behind & ~number & np.isin(value, _UNIT_HASHES)] = UNIT
+    opening = capital & ~shout & opens & (kinds == LITERAL)
+    inside = kinds == NAME
+    names = row[inside], value[inside]
     more = np.zeros(len(start), dtype=bool)
     more[1:] = (kinds[1:] == NAME) & (kinds[:-1] == NAME) & (row[1:] == row[:-1])
     if more.any():
         lead = np.flatnonzero(~more)
         value = np.add.reduceat(value, lead)
-        kinds, row = kinds[lead], row[lead]
+        kinds, row, opening = kinds[lead], row[lead], opening[lead]
     ids = np.where(kinds == LITERAL, value, _PLACEHOLDER[kinds])
-    return Template(ids, kinds, value, row, np.bincount(row, minlength=n_rows))
+    return Template(ids, kinds, value, row, np.bincount(row, minlength=n_rows), opening, names)
 
 
 @dataclass
-class Block:
-    """A block of benchmark items, with their windows sorted for probing."""
+class Index:
+    """Windows of a block, sorted for probing."""
 
-    item_ids: list[int]
-    first: np.ndarray  # of each item's tokens
-    kinds: np.ndarray
-    values: np.ndarray
-    n_windows: np.ndarray  # distinct ones, by item
     keys: np.ndarray  # sorted distinct window hashes
     opens: np.ndarray  # where each key's postings begin
-    post_item: np.ndarray
-    post_at: np.ndarray
+    item: np.ndarray  # of each posting
+    at: np.ndarray  # token of the item
+    window: np.ndarray  # number of the exact window there
     sieve: np.ndarray
 
+    def probe(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of ``h`` that are found, their keys)."""
+        maybe = np.flatnonzero(self.sieve[h & U((1 << 22) - 1)])
+        key = np.minimum(np.searchsorted(self.keys, h[maybe]), len(self.keys) - 1)
+        real = self.keys[key] == h[maybe]
+        return maybe[real], key[real]
+
+    def windows(self, keys: np.ndarray) -> np.ndarray:
+        """Distinct (item, window) of ``keys``."""
+        own = np.unique(keys)
+        lens = self.opens[own + 1] - self.opens[own]
+        post = np.repeat(self.opens[own] - np.concatenate(([0], np.cumsum(lens)[:-1])), lens) + np.arange(lens.sum())
+        return np.unique(np.stack([self.item[post], self.window[post]], axis=1), axis=0)
+
+    def places(self, item: int, at: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Rows of (place, item token, window) for the places ``at`` with ``keys``."""
+        out = []
+        for w, k in zip(at.tolist(), keys.tolist(), strict=True):
+            a, b = np.searchsorted(self.item[self.opens[k] : self.opens[k + 1]], [item, item + 1]) + self.opens[k]
+            out += [(w, p, x) for p, x in zip(self.at[a:b].tolist(), self.window[a:b].tolist(), strict=True)]
+        return np.array(out, dtype=np.int64).reshape(-1, 3)
+
+
+def _index(h: np.ndarray, owner: np.ndarray, at: np.ndarray, window: np.ndarray) -> Index:
+    order = np.lexsort((owner, h))
+    keys, opens = np.unique(h[order], return_index=True)
+    sieve = np.zeros(1 << 22, dtype=bool)
+    sieve[keys & U((1 << 22) - 1)] = True
+    return Index(keys, np.append(opens, len(h)), owner[order], at[order], window[order], sieve)
+
+
+@dataclass
+class Block:
+    """A block of benchmark items: exact windows, and loose ones in which openings are names."""
+
+    item_ids: list[int]
+    first: np.ndarray  # of each item's tokens
+    tokens: Template
+    n_windows: np.ndarray  # distinct exact ones, by item
+    exact: Index
+    loose: Index
+
 
 def build_block(item_ids: list[int], texts: list[str]) -> Block:
     data, offs = buffers(pa.array(texts, pa.large_string()))
@@ -146,14 +202,12 @@ def build_block(item_ids: list[int], texts: list[str]) -> Block:
     h, owner = shingles(t.ids, t.row, t.counts, WIDTH)
     begins = np.searchsorted(owner, np.arange(len(texts)))
     at = np.arange(len(h)) - begins[owner] if len(h) else np.empty(0, dtype=np.int64)
-    order = np.lexsort((owner, h))
-    keys, opens = np.unique(h[order], return_index=True)
     pairs = np.unique(np.stack([owner.astype(U), h], axis=1), axis=0) if len(h) else np.empty((0, 2), dtype=U)
     n_windows = np.bincount(pairs[:, 0].astype(np.int64), minlength=len(texts))
-    sieve = np.zeros(1 << 22, dtype=bool)
-    sieve[keys & U((1 << 22) - 1)] = True
+    window = np.unique(h, return_inverse=True)[1]
     first = np.concatenate(([0], np.cumsum(t.counts)))
-    return Block(item_ids, first, t.kinds, t.values, n_windows, keys, np.append(opens, len(h)), owner[order], at[order], sieve)
+    loose = _index(shingles(t.loose_ids(), t.row, t.counts, WIDTH)[0], owner, at, window)
+    return Block(item_ids, first, t, n_windows, _index(h, owner, at, window), loose)
 
 
 def _align(at: np.ndarray, n_item: int, n_doc: int, main: int) -> list[tuple[int, int]]:
@@ -176,23 +230,31 @@ def _align(at: np.ndarray, n_item: int, n_doc: int, main: int) -> list[tuple[int
     return [(i, image[i]) for i in covered]
 
 
-def _slots(block: Block, item: int, t: Template, base: int, doc_at: np.ndarray, item_at: np.ndarray) -> tuple[int, int, int]:
+def _slots(block: Block, item: int, t: Template, row: int, base: int, doc_at: np.ndarray, item_at: np.ndarray, loose: bool = False) -> tuple[int, int, int]:
     """(slots, changed, broken) along the most frequent alignment of the item in the document; of several equally
-    frequent ones, the one with the smallest share of broken slots."""
+    frequent ones, the one with the smallest share of broken slots.  loose: openings are slots where they are names in the
+    item, or differ."""
     shift = doc_at - item_at
     d, n = np.unique(shift, return_counts=True)
-    first, n_item = int(block.first[item]), int(block.first[item + 1] - block.first[item])
+    lo, hi = int(block.first[item]), int(block.first[item + 1])
+    mine, n_doc = block.tokens, int(t.counts[row])
+    named = mine.named(item, lo, hi)
     best: tuple[int, int, int] | None = None
     for main in d[n == n.max()].tolist():
         near = np.abs(shift - main) <= WIDTH
         at = np.unique(np.stack([item_at[near], doc_at[near]], axis=1), axis=0)
         image: dict[tuple[int, int], int] = {}
         slots = changed = broken = 0
-        for i, k in _align(at, n_item, int(t.counts[t.row[base]]), main):
-            kind = int(block.kinds[first + i])
-            if kind == LITERAL or kind != t.kinds[base + k]:
+        for i, k in _align(at, hi - lo, n_doc, main):
+            kind, other = int(mine.kinds[lo + i]), int(t.kinds[base + k])
+            a, b = int(mine.values[lo + i]), int(t.values[base + k])
+            if loose:
+                if mine.opening[lo + i] and (named[i] or a != b):
+                    kind = NAME
+                if t.opening[base + k]:
+                    other = NAME
+            if kind == LITERAL or kind != other:
                 continue
-            a, b = int(block.values[first + i]), int(t.values[base + k])
             slots += 1
             changed += a != b
             broken += image.setdefault((kind, a), b) != b
@@ -203,35 +265,55 @@ def _slots(block: Block, item: int, t: Template, base: int, doc_at: np.ndarray,
     return best
 
 
+def _same(block: Block, item: int, t: Template, row: int, base: int, places: np.ndarray) -> np.ndarray:
+    """Which loose matches hold: tokens that differ exactly must be one word, or a name in one of the texts."""
+    lo, hi = int(block.first[item]), int(block.first[item + 1])
+    n_doc = int(t.counts[row])
+    mine, other = block.tokens.named(item, lo, hi), t.named(row, base, base + n_doc)
+    ok = np.ones(len(places), dtype=bool)
+    for j in range(min(WIDTH, hi - lo)):
+        i, k = places[:, 1] + j, places[:, 0] + j
+        a, b = lo + i, base + k
+        ok &= (block.tokens.ids[a] == t.ids[b]) | (block.tokens.values[a] == t.values[b]) | mine[i] | other[k]
+    return ok
+
+
 def find_in(data: np.ndarray, offsets: np.ndarray, block: Block, similarity: float) -> Iterator[tuple[int, int, float, int, int, int]]:
-    """(row, item position, share of windows found, slots, changed, broken) for every item found, broken ones included."""
+    """(row, item position, share of windows found, slots, changed, broken) for every item found, broken ones included.
+
+    Exact windows come first; where they do not settle it, windows count too that differ in names at a sentence's start."""
     t = templates(data, offsets)
     h, owner = shingles(t.ids, t.row, t.counts, WIDTH)
-    if not len(h) or not len(block.keys):
+    if not len(h) or not len(block.exact.keys):
         return
-    maybe = np.flatnonzero(block.sieve[h & U((1 << 22) - 1)])
-    key = np.minimum(np.searchsorted(block.keys, h[maybe]), len(block.keys) - 1)
-    real = block.keys[key] == h[maybe]
-    maybe, key = maybe[real], key[real]
+    at1, key1 = block.exact.probe(h)
+    at2, key2 = block.loose.probe(shingles(t.loose_ids(), t.row, t.counts, WIDTH)[0])
+    del h
     begins = np.searchsorted(owner, np.arange(len(offsets)))
     firsts = np.concatenate(([0], np.cumsum(t.counts)))
-    rows = owner[maybe]
-    for row in np.unique(rows):
-        lo, hi = np.searchsorted(rows, [row, row + 1])
-        own = np.unique(key[lo:hi])
-        lens = block.opens[own + 1] - block.opens[own]
-        post = np.repeat(block.opens[own] - np.concatenate(([0], np.cumsum(lens)[:-1])), lens) + np.arange(lens.sum())
-        codes = np.unique(np.stack([block.post_item[post], np.repeat(own, lens)], axis=1), axis=0)
-        items, found = np.unique(codes[:, 0], return_counts=True)
-        share = found / block.n_windows[items]
-        for item, s in zip(items[share >= similarity].tolist(), share[share >= similarity].tolist(), strict=True):
-            where_doc, where_item = [], []
-            for w, k in zip(maybe[lo:hi].tolist(), key[lo:hi].tolist(), strict=True):
-                a, b = np.searchsorted(block.post_item[block.opens[k] : block.opens[k + 1]], [item, item + 1]) + block.opens[k]
-                for p in block.post_at[a:b].tolist():
-                    where_doc.append(w - int(begins[row]))
-                    where_item.append(p)
-            yield int(row), item, s, *_slots(block, item, t, int(firsts[row]), np.array(where_doc), np.array(where_item))
+    rows1, rows2 = owner[at1], owner[at2]
+    for row in np.union1d(rows1, rows2).tolist():
+        one, two = slice(*np.searchsorted(rows1, [row, row + 1])), slice(*np.searchsorted(rows2, [row, row + 1]))
+        base, begin = int(firsts[row]), int(begins[row])
+        exact = block.exact.windows(key1[one])
+        items, n = np.unique(exact[:, 0], return_counts=True)
+        share = dict(zip(items.tolist(), (n / block.n_windows[items]).tolist(), strict=True))
+        items, n = np.unique(np.unique(np.concatenate([exact, block.loose.windows(key2[two])]), axis=0)[:, 0], return_counts=True)
+        for item in items[n / block.n_windows[items] >= similarity].tolist():
+            places = block.exact.places(item, at1[one] - begin, key1[one])
+            hit = None
+            if share.get(item, 0.0) >= similarity:
+                hit = row, item, share[item], *_slots(block, item, t, row, base, places[:, 0], places[:, 1])
+            if hit is None or broken_too_often(hit[3], hit[5]):
+                more = block.loose.places(item, at2[two] - begin, key2[two])
+                every = np.unique(np.concatenate([places, more[_same(block, item, t, row, base, more)]]), axis=0)
+                s = len(np.unique(every[:, 2])) / int(block.n_windows[item])
+                if s >= similarity:
+                    loose = row, item, s, *_slots(block, item, t, row, base, every[:, 0], every[:, 1], True)
+                    if hit is None or not broken_too_often(loose[3], loose[5]):
+                        hit = loose
+            if hit is not None:
+                yield hit
 
 
 def broken_too_often(slots: int, broken: int) -> bool:

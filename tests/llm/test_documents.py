@@ -250,6 +250,26 @@ def test_the_consistent_one_of_two_copies_counts(spark):
     assert got[(0, 0)].n_changed == 0
 
 
+TOMS = (
+    "Tom has 3 apples and buys 5 more at the shop. Tom then gives 2 of them to a friend. How many apples does Tom have left?",
+    "Tom has 3 apples. Tom gives 2 to Sue. How many apples does Tom have?",
+)
+
+
+def test_names_at_a_sentence_start_are_slots(spark):
+    again = [x.replace("Tom", "Ann").replace("Sue", "Ben").replace("3", "8").replace("2", "4") for x in TOMS]
+    n = iter(["Anna", "Bert", "Carl"])
+    mixed = re.sub("Tom", lambda _: next(n), TOMS[1])
+    got = found(spark, ["They met in The Hague. " + again[0] + " The end.", again[1], mixed, *TOMS], items=TOMS)
+    assert set(got) == {(0, 0), (1, 1), (3, 0), (4, 1)}
+    assert got[(1, 1)].n_slots == 6 and got[(1, 1)].n_changed == 6 and got[(4, 1)].n_changed == 0
+
+
+def test_other_openings_stay_literal(spark):
+    items = ("Where is the old town?", "When was it built?")
+    assert not found(spark, ["Who is the old town?", "Why was it built?"], items=items)
+
+
 def test_half_an_item_is_no_hit(spark):
     assert not found(spark, [ITEM[: len(ITEM) // 2] + " and something else entirely follows in this place."])
 
