@@ -3,7 +3,9 @@
 Fixed kinds find the usual shapes (assignments, access keys, hex runs).  The entropy kind takes candidate strings of
 base-64 and hex characters and slides a window over each: the window's character counts and the sum of c*log2(c) are
 updated in O(1) a step, and a window whose entropy reaches its class's threshold is secret-like.  Overlapping windows
-merge.  The allow-list suppresses entropy findings only; fixed kinds stay.  Offsets are code points, end exclusive.
+merge.  A run shorter than the window, of at least SHORTEST characters, is its own window, with the threshold scaled by its
+greatest possible entropy.  The allow-list suppresses entropy findings only; fixed kinds stay.  Its words hide only the
+piece between delimiters that they are in.  Offsets are code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -27,12 +29,15 @@ ASSIGN_HINT = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+SHORTEST = 20
+PIECE = re.compile(r"[^/_=+-]+")
 # Strings that look random and are not secret (identifiers, digests with a prefix, placeholders).
+WORDS = r"(?i:.*(example|sample|placeholder|xxxxx|0123456789|abcdefghij).*)"
 ALLOW = (
     r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}",
     r"[-_=+/]+",
     r"[0-9]+",
-    r"(?i:.*(example|sample|placeholder|xxxxx|0123456789|abcdefghij).*)",
+    WORDS,
     r"(?i:(https?|www)[-_/].*)",
 )
 
@@ -109,20 +114,24 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def entropy_spans(text: str, classes: Iterable[CharClass] = CLASSES, allow: re.Pattern | None = None) -> list[tuple[int, int, int]]:
+def entropy_spans(text: str, classes: Iterable[CharClass] = CLASSES, allow: tuple[re.Pattern, re.Pattern] | None = None) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of secret-like windows.  A candidate needs a digit and a letter; a candidate, or a
-    finding, that the allow-list matches in full is suppressed."""
-    allow = allow or _ALLOW
+    finding, that the allow-list matches in full is suppressed, and a piece of it that the words match ends its runs."""
+    whole, words = allow or _ALLOW
     found: list[tuple[int, int]] = []
     for m in CANDIDATE.finditer(text):
         word = m[0]
-        if not any(c in _DIGITS for c in word) or not any(c.isalpha() for c in word) or allow.fullmatch(word):
+        if not any(c in _DIGITS for c in word) or not any(c.isalpha() for c in word) or whole.fullmatch(word):
             continue
+        word = PIECE.sub(lambda p: " " * len(p[0]) if words.fullmatch(p[0]) else p[0], word)
         for kind in classes:
             for a, b in _runs(word, kind.chars):
-                for s, e in entropy_windows(word[a:b], kind.window, kind.bits):
+                if b - a < SHORTEST:
+                    continue
+                window = min(kind.window, b - a)
+                for s, e in entropy_windows(word[a:b], window, kind.bits * math.log2(window) / math.log2(kind.window)):
                     piece = word[a + s : a + e]
-                    if any(c in _DIGITS for c in piece) and any(c.isalpha() for c in piece) and not allow.fullmatch(piece):
+                    if any(c in _DIGITS for c in piece) and any(c.isalpha() for c in piece) and not whole.fullmatch(piece):
                         found.append((m.start() + a + s, m.start() + a + e))
     merged: list[tuple[int, int]] = []
     for s, e in sorted(found):
@@ -133,7 +142,14 @@ def entropy_spans(text: str, classes: Iterable[CharClass] = CLASSES, allow: re.P
     return [(s, 3, e) for s, e in merged]
 
 
-_ALLOW = re.compile("|".join(f"(?:{x})" for x in ALLOW))
+def allowed(allow: tuple[str, ...]) -> tuple[re.Pattern, re.Pattern]:
+    """(patterns for a whole candidate or finding, those for a piece between delimiters)."""
+    parts = [x for x in allow if x != WORDS], [x for x in allow if x == WORDS]
+    whole, words = (re.compile("|".join(f"(?:{x})" for x in p) or r"(?!)") for p in parts)
+    return whole, words
+
+
+_ALLOW = allowed(ALLOW)
 
 
 def render(spans: list[tuple[int, int, int]]) -> str:
@@ -142,7 +158,7 @@ def render(spans: list[tuple[int, int, int]]) -> str:
 
 def _scan(allow: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pattern = re.compile("|".join(f"(?:{x})" for x in allow)) if allow else re.compile(r"(?!)")
+        pattern = allowed(allow)
         for batch in batches:
             cols: list[list] = [[], [], [], [], [], []]
             for text in batch.column(1):
