@@ -73,11 +73,12 @@ def blocks(html: str) -> list[Block]:
         nonlocal now
         if not s:
             return
+        tag, boiler, article, path = next(x for x in reversed(stack) if x[0] not in INLINE)
+        if stack[-1][1] and not boiler:
+            return  # boilerplate within a line; the rest of its block stays
         if now is None:
             if s.isspace():
                 return
-            tag, boiler, article, path = next(x for x in reversed(stack) if x[0] not in INLINE)
-            boiler = boiler or stack[-1][1]
             now = Block(path, boiler, article)
             out.append(now)
         now.text.append(s)

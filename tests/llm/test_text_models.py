@@ -31,6 +31,13 @@ def test_article_element_and_broken_markup():
     assert html_text.main_text("plain text, only.") == "plain text, only."
 
 
+def test_inline_boilerplate_goes_alone():
+    for tag in ('<span class="tag">News</span>', '<a class="share" href=x>Share</a>', '<b class="notice">Note</b>', "<span hidden>secret</span>"):
+        for page in (f"<p>{tag} A long paragraph, with text.</p>", f"<p>A long paragraph, {tag}with text.</p>", f"<article><p>{tag}A long paragraph, with text.</p></article>"):
+            assert html_text.main_text(page) == "A long paragraph, with text."
+    assert html_text.main_text('<span class="ad"><p>Buy, now.</p></span><p>Real text, here.</p>') == "Real text, here."
+
+
 def test_pages_of_the_table(spark, data):
     import re
     from html import unescape
