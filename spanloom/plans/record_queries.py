@@ -201,9 +201,18 @@ def dense_top1_filtered(spark, d):
     )
 )
 def rare_token_match(spark, d):
+    return Q.rare_token_match(*_terms_and_words(spark, d))
+
+
+@query()
+def rare_token_best(spark, d):
+    return Q.rare_token_best(*_terms_and_words(spark, d))
+
+
+def _terms_and_words(spark, d):
     terms = table(spark, d, "benchmark").select(F.col("item_id").alias("term_id"), F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     words = V.docs(spark, d).select("doc_id", F.explode(F.split("body", " ")).alias("w"))
-    return Q.rare_token_match(terms, words)
+    return terms, words
 
 
 #: An invented ledger: a base run, single edits, a combination, one arithmetic slip, a decimal comma and a blank.

@@ -229,3 +229,20 @@ def test_samples_and_topk(spark):
     queries = spark.createDataFrame([(9, [1.0, 0.0, 1.0])], "query_id long, embedding array<float>")
     assert [r.vec_id for r in Q.dense_topk(queries, index.repartition(3), 3).orderBy("rank").collect()] == [0, 2, 3]
     assert Q.dense_topk(queries.limit(0), index, 2).count() == 0
+
+
+def test_best_rare_token_term_equals_plain(spark):
+    from spanloom.operators import search as Q
+
+    terms = {1: "alpha beta gamma", 2: "alpha beta delta", 3: "common rare", 4: "common", 5: "common rare"}
+    docs = {i: "common" for i in range(40)} | {40: "alpha beta gamma", 41: "rare common", 42: "beta alpha", 43: "nothing here", 44: ""}
+    t = spark.createDataFrame([(i, w) for i, x in terms.items() for w in x.split(" ")], "term_id long, w string")
+    d = spark.createDataFrame([(i, w) for i, x in docs.items() for w in x.split(" ")], "doc_id long, w string")
+    for threshold in (0.88, 0.6):
+        want = {}
+        for i, x in docs.items():
+            a = set(x.split())
+            got = [(len(a & set(y.split())) / len(a | set(y.split())), -k) for k, y in terms.items()]
+            if max(got)[0] >= threshold:
+                want[i] = (-max(got)[1], round(max(got)[0], 6))
+        assert {r.doc_id: (r.term_id, round(r.score, 6)) for r in Q.rare_token_best(t, d, threshold=threshold).collect()} == want
