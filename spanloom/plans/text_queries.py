@@ -121,14 +121,26 @@ _NEEDLE = _hits(f"SELECT DISTINCT doc_id, text FROM mention WHERE s % 7 = 0 AND
     )
 )
 def locate_all(spark, d):
-    need = V.mentions(spark, d).filter("start % 7 = 0").filter(_PLAIN).select("doc_id", "text").distinct()
+    return _located(spark, d, V.mentions(spark, d).filter("start % 7 = 0").filter(_PLAIN))
+
+
+@query()
+def locate_all_whole(spark, d):
+    """Every mention, self-overlapping texts included, which the SQL of ``locate_all`` cannot tell."""
+    return _located(spark, d, V.mentions(spark, d))
+
+
+def _located(spark, d, mentions):
+    need = mentions.select("doc_id", "text").distinct()
     hits = L.occurrences(need, V.docs(spark, d), nfc_fallback=False)
     return hits.groupBy("doc_id", "text").agg(F.count("*").alias("n"), F.min("start").cast("long").alias("first"), F.max("start").cast("long").alias("last"))
 
 
-def _requests(spark, d):
-    """Requests with the context that a voter would quote: now and then off by a character, or short."""
-    m = L.with_context(V.votes(spark, d).filter("voter_ord < 2 and start % 4 = 0").filter(_PLAIN), V.docs(spark, d))
+def _requests(spark, d, whole=False):
+    """Requests with the context that a voter would quote: now and then off by a character, or short.  All votes if
+    ``whole``, else those that the SQL takes."""
+    votes = V.votes(spark, d)
+    m = L.with_context(votes if whole else votes.filter("voter_ord < 2 and start % 4 = 0").filter(_PLAIN), V.docs(spark, d))
     k = F.col("start") % 5
     before = F.when(k == 0, F.expr("right(left, 6)")).when(k == 1, F.concat(F.lit("x"), "left")).otherwise(F.col("left"))
     after = F.when(k == 1, F.expr("left(right, 6)")).when(k == 2, F.lit("")).otherwise(F.col("right"))
@@ -166,6 +178,12 @@ def locate_group_ordinal(spark, d):
     return V.flat(out.select("doc_id", "voter", "item_ord", "start", "reason"))
 
 
+@query()
+def locate_group_ordinal_whole(spark, d):
+    out = L.locate_group(_requests(spark, d, whole=True), V.docs(spark, d), nfc_fallback=False)
+    return V.flat(out.select("doc_id", "voter", "item_ord", "start", "reason"))
+
+
 @query(
     V.sql(
         """SELECT doc_id, voter, item_ord, CASE WHEN nh = 1 THEN p1 WHEN n0 = 1 THEN p0 WHEN n0 > 1 THEN NULL WHEN nb = 1 THEN pb WHEN na = 1 THEN pa END AS "start", nh AS n_hits,
@@ -180,10 +198,25 @@ def locate_strict_reasons(spark, d):
     return V.flat(out.select("doc_id", "voter", "item_ord", "start", "n_hits", "reason"))
 
 
+@query()
+def locate_strict_reasons_whole(spark, d):
+    out = L.locate_strict(_requests(spark, d, whole=True), V.docs(spark, d), nfc_fallback=False)
+    return V.flat(out.select("doc_id", "voter", "item_ord", "start", "n_hits", "reason"))
+
+
 @query(V.sql("SELECT doc_id, text, count(*) AS n FROM pos GROUP BY ALL", "mention", "docs", extra=_hits(f"SELECT DISTINCT doc_id, text FROM mention WHERE s % 7 = 0 AND strlen(text) > length(text) AND {_PLAIN_SQL}")))
 def locate_nfc_fallback(spark, d):
     """Needles are taken apart (NFD), so that only the fallback finds them; the composed form's count is the truth."""
-    need = V.mentions(spark, d).filter("start % 7 = 0 and octet_length(text) > length(text)").filter(_PLAIN).select("doc_id", "text").distinct()
+    return _located_nfc(spark, d, V.mentions(spark, d).filter("start % 7 = 0").filter(_PLAIN))
+
+
+@query()
+def locate_nfc_fallback_whole(spark, d):
+    return _located_nfc(spark, d, V.mentions(spark, d))
+
+
+def _located_nfc(spark, d, mentions):
+    need = mentions.filter("octet_length(text) > length(text)").select("doc_id", "text").distinct()
     need = need.withColumn("composed", F.col("text")).withColumn("text", nfd(F.col("text")))
     hits = L.occurrences(need, V.docs(spark, d))
     return hits.join(need, ["doc_id", "text"]).groupBy("doc_id", F.col("composed").alias("text")).agg(F.count("*").alias("n"))
@@ -199,7 +232,7 @@ def locate_rate(spark, d):
 def roundtrip(spark, d):
     """Spans become requests with 15 characters of context and are located again.  Passages that repeat word for word may
     come back in another of their places."""
-    m = L.with_context(V.mentions(spark, d).filter("start % 3 = 1"), V.docs(spark, d)).withColumn("voter", F.lit("a"))
+    m = L.with_context(V.mentions(spark, d), V.docs(spark, d)).withColumn("voter", F.lit("a"))
     req = m.select("doc_id", "voter", "item_ord", "text", "type", "assertions", F.col("left").alias("before"), F.col("right").alias("after"), F.col("start").alias("want"))
     got = L.locate_group(req.drop("want"), V.docs(spark, d), nfc_fallback=False)
     both = got.join(req.select("doc_id", "item_ord", "want"), ["doc_id", "item_ord"])

@@ -246,3 +246,23 @@ def test_best_rare_token_term_equals_plain(spark):
             if max(got)[0] >= threshold:
                 want[i] = (-max(got)[1], round(max(got)[0], 6))
         assert {r.doc_id: (r.term_id, round(r.score, 6)) for r in Q.rare_token_best(t, d, threshold=threshold).collect()} == want
+
+
+def test_whole_queries_take_every_mention_and_vote(spark, data):
+    import re
+
+    from spanloom.plans import views as V
+    from spanloom.plans.catalogue import QUERIES
+
+    bodies = {r.doc_id: r.body for r in V.docs(spark, data).collect()}
+    mentions = V.mentions(spark, data).select("doc_id", "text").collect()
+    want = {}
+    for r in mentions:
+        if (r.doc_id, r.text) not in want:
+            at = [m.start() for m in re.finditer(f"(?={re.escape(r.text)})", bodies[r.doc_id])]
+            want[r.doc_id, r.text] = (len(at), at[0], at[-1])
+    assert {(r.doc_id, r.text): (r.n, r.first, r.last) for r in QUERIES["locate_all_whole"](spark, data).collect()} == want
+    votes = V.votes(spark, data).count()
+    for name in ("locate_group_ordinal_whole", "locate_strict_reasons_whole", "locate_first_whole"):
+        assert QUERIES[name](spark, data).count() == votes
+    assert QUERIES["roundtrip"](spark, data).collect()[0].n == len(mentions)
