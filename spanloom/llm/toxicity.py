@@ -2,12 +2,12 @@
 
 A word's vector is the sum of hashed embeddings of the word and of its leading bytes (so inflected forms share weight).
 Filters of widths 1, 2 and 3 run over the whole text, ReLU and max pooling over all positions give one value for each
-filter, and a logistic layer turns these into a score.  One embedding dimension is a prior: the smoothed log-odds of the
-bucket among labelled texts.  It is estimated on one half of the sample while filters and the remaining dimensions learn on the
-other, so that they learn how far to trust it, and is then estimated again on the whole sample.
+filter, and a logistic layer turns these into a score.  All of it is learned: embeddings, filters and the layer start as
+small random values and follow the gradient of the log loss, which reaches the words at each filter's maximum.
 
 Training takes a bounded sample of labelled rows to the driver (``rows`` by hash order, each of at most ``max_bytes``).
-Scoring covers every whole text, slice by slice, on the executors.
+A fifth of it is not trained on: with the final weights it tells where the score crosses 0.5 (the best F1) and the
+thresholds of the languages.  Scoring covers every whole text, slice by slice, on the executors.
 """
 
 from __future__ import annotations
@@ -25,11 +25,14 @@ from spanloom.llm.shingles import U, Words, buffers, mix, slices, stream
 from spanloom.llm.tables import text_or_empty
 
 TRAIN_ROWS = 4000
-MAX_BYTES = 1 << 18
+MAX_BYTES = 1 << 16
 BUCKETS = 1 << 15
 SLICE = 1 << 18  # bytes in hand at a time; small enough for the processor's caches
 PREFIXES = (4, 5, 6, 7)
-DIM, FILTERS, WIDTHS = 8, 4, (1, 2, 3)
+DIM, FILTERS, WIDTHS = 8, 8, (1, 2, 3)
+EPOCHS, BATCH, RATE, WORD_RATE = 4, 32, 0.01, 0.05
+CALIBRATE = 5  # every so many-th row of either label
+PRIOR_ROWS = 10  # toxic rows that the common threshold counts for against a language's own
 _SALT = stream(1 + len(PREFIXES), 5)
 
 
@@ -102,132 +105,131 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _log_odds(feats: list[np.ndarray], y: np.ndarray, strength: float = 4.0) -> np.ndarray:
-    """(features, BUCKETS) shrunken log-odds of document frequency, 0 for a bucket that was not seen."""
-    pos = np.zeros((feats[0].shape[1], BUCKETS))
-    neg = np.zeros_like(pos)
-    for f, label in zip(feats, y, strict=True):
-        to = pos if label else neg
-        for k in range(f.shape[1]):
-            to[k][np.unique(f[:, k])] += 1
-    p = min(max(float(np.mean(y)), 0.01), 0.99)
-    return (np.log((pos + strength * p) / (neg + strength * (1 - p))) - np.log(p / (1 - p))) / feats[0].shape[1]
-
-
 def _batch(feats: list[np.ndarray], index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([feats[i] for i in index]), np.repeat(np.arange(len(index)), [len(feats[i]) for i in index])
 
 
-def best_cut(score: np.ndarray, y: np.ndarray) -> float:
-    """The threshold of the best F1 on given scores, half-way to the next lower score; 0.5 without both labels."""
+def best_cut(logit: np.ndarray, y: np.ndarray) -> float:
+    """The logit of the best F1, half-way to the next lower one; of equal ones the highest, 0 without both labels."""
     if not len(y) or y.min() == y.max():
-        return 0.5
-    order = np.argsort(-score, kind="stable")
+        return 0.0
+    order = np.argsort(-logit, kind="stable")
     hits = np.cumsum(y[order])
     f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
-    f1[:-1][score[order][:-1] == score[order][1:]] = -1
+    f1[:-1][logit[order][:-1] == logit[order][1:]] = -1
     k = int(f1.argmax())
-    low = score[order][k + 1] if k + 1 < len(y) else 0.0
-    return float((score[order][k] + low) / 2)
+    low = logit[order][k + 1] if k + 1 < len(y) else logit[order][k] - 1
+    return float((logit[order][k] + low) / 2)
 
 
-def train(texts: list[str], labels: list[int], langs: list[str | None], epochs: int = 8, seed: int = 11, min_lang: int = 60) -> Model:
-    """Fit on the given texts.  Thresholds of languages with fewer than ``min_lang`` calibration rows stay at 0.5."""
-    rng = np.random.default_rng(seed)
-    model = Model(
-        (rng.normal(0, 0.05, (1 + len(PREFIXES), BUCKETS, DIM))).astype(np.float32),
-        {w: rng.normal(0, 0.1, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS},
+class Adam:
+    """Steps of bounded size for dense parameters, in place."""
+
+    def __init__(self, params: list[np.ndarray], rate: float):
+        self.params, self.rate, self.step = params, rate, 0
+        self.moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
+
+    def update(self, grads: list[np.ndarray]) -> None:
+        self.step += 1
+        for p, g, (m, v) in zip(self.params, grads, self.moments, strict=True):
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            p -= self.rate * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.999**self.step)) + 1e-8)
+
+
+def _new_model(rng: np.random.Generator, odds: float) -> Model:
+    return Model(
+        rng.normal(0, 0.1, (1 + len(PREFIXES), BUCKETS, DIM)).astype(np.float32),
+        {w: rng.normal(0, (w * DIM) ** -0.5, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS},
         {w: np.zeros(FILTERS, dtype=np.float32) for w in WIDTHS},
         rng.normal(0, 0.1, FILTERS * len(WIDTHS)).astype(np.float32),
-        0.0,
+        odds,
     )
-    y = np.array(labels, dtype=np.int64)
-    model.emb[:, :, 0] = 0
-    if len(y) < 4 or y.min() == y.max():
-        model.out[:] = 0
-        model.out_bias = 8.0 if len(y) and y.min() == 1 else -8.0
-        return model
-    for w in WIDTHS:
-        model.conv[w][:, 0, : FILTERS // 2] = 1.0 / w
-    model.out[:] = np.abs(model.out) + 0.2
-    model.out_bias = -1.0
+
+
+def _gradients(model: Model, f: np.ndarray, row: np.ndarray, y: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Gradients of the mean log loss of a batch: dense ones (filters, their biases, output layer, its bias), and those of
+    the words that have any, by place."""
+    x = model.vectors(f)
+    sums, first, top = model.maxima(x, row)
+    z = np.zeros((len(y), sums.shape[1]), dtype=np.float32)
+    z[row[first]] = np.maximum(top + np.concatenate([model.bias[w] for w in WIDTHS]), 0)
+    g = ((sigmoid(model.logits(z)) - y) / len(y)).astype(np.float32)
+    conv = {w: np.zeros_like(model.conv[w]) for w in WIDTHS}
+    bias = {w: np.zeros(FILTERS, dtype=np.float32) for w in WIDTHS}
+    gz = g[:, None] * model.out[None, :] * (z > 0)
+    place, col = np.nonzero(sums == np.repeat(top, np.diff(np.append(first, len(row))), axis=0))
+    one = np.unique(row[place] * sums.shape[1] + col, return_index=True)[1]
+    place, col = place[one], col[one]  # the first place of each maximum
+    up = gz[row[place], col]
+    gx = np.zeros_like(x)
+    for i, w in enumerate(WIDTHS):
+        own = (col // FILTERS == i) & (up != 0)
+        p, c, u = place[own], col[own] % FILTERS, up[own]
+        np.add.at(bias[w], c, u)
+        for j in range(w):
+            ok = np.flatnonzero(p + j < len(row))
+            ok = ok[row[p[ok] + j] == row[p[ok]]]
+            np.add.at(conv[w][j].T, c[ok], u[ok, None] * x[p[ok] + j])
+            np.add.at(gx, p[ok] + j, u[ok, None] * model.conv[w][j][:, c[ok]].T)
+    words = np.flatnonzero(gx.any(axis=1))
+    return [*conv.values(), *bias.values(), z.T @ g, np.array([g.sum()], dtype=np.float32)], words, gx[words]
+
+
+def _features_of(texts: list[str | None]) -> list[np.ndarray]:
     feats: list[np.ndarray] = []
-    data, offs = buffers(pa.array(texts, pa.large_string()))
+    data, offs = buffers(pc.utf8_lower(pa.array([x or "" for x in texts], pa.large_string())))
     for a, b in slices(offs, SLICE):
         words = Words(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
-        f = features(words)
         cut = np.searchsorted(words.row, np.arange(b - a + 1))
+        f = features(words)
         feats += [f[cut[i] : cut[i + 1]] for i in range(b - a)]
-    part = np.zeros(len(y), dtype=bool)  # the half that the prior is estimated on, with its share of either label
+    return feats
+
+
+def train(texts: list[str | None], labels: list[int], langs: list[str | None], epochs: int = EPOCHS, seed: int = 11, min_lang: int = 60) -> Model:
+    """Fit on the given texts.  Languages with fewer than ``min_lang`` calibration rows, or one label, stay at 0.5; those
+    of others lean to the common threshold as far as they have few toxic rows."""
+    rng = np.random.default_rng(seed)
+    y = np.array(labels, dtype=np.int64)
+    if len(y) < 4 or y.min() == y.max():
+        model = _new_model(rng, 8.0 if len(y) and y.min() == 1 else -8.0)
+        model.out[:] = 0
+        return model
+    model = _new_model(rng, float(np.log(y.mean() / (1 - y.mean()))))
+    feats = _features_of(texts)
+    aside = np.zeros(len(y), dtype=bool)
     for label in (0, 1):
         own = rng.permutation(np.flatnonzero(y == label))
-        part[own[: len(own) // 2]] = True
-    prior, learn = np.flatnonzero(part), np.flatnonzero(~part)
-    model.emb[:, :, 0] = _log_odds([feats[i] for i in prior], y[prior])
-    dense = [*model.conv.values(), *model.bias.values(), model.out]
-    moment = [[np.zeros_like(d), np.zeros_like(d)] for d in dense]
-    seen = np.full(model.emb.shape[:2], 0.1, dtype=np.float32)
-    bias_moment, step = [0.0, 0.0], 0
+        aside[own[::CALIBRATE] if len(own) >= CALIBRATE else own[:0]] = True
+    learn, held = np.flatnonzero(~aside), np.flatnonzero(aside)
+    offset = np.array([model.out_bias], dtype=np.float32)
+    adam = Adam([*model.conv.values(), *model.bias.values(), model.out, offset], RATE)
+    seen = np.zeros(model.emb.shape, dtype=np.float32)
     for _ in range(epochs):
         order = rng.permutation(learn)
-        for at in range(0, len(order), 32):
-            pick = order[at : at + 32]
+        for at in range(0, len(order), BATCH):
+            pick = order[at : at + BATCH]
             f, row = _batch(feats, pick)
-            n, step = len(pick), step + 1
             if not len(f):
                 continue
-            x = model.vectors(f)
-            y_map, first, top = model.maxima(x, row)
-            z = np.zeros((n, y_map.shape[1]), dtype=np.float32)
-            z[row[first]] = np.maximum(top + np.concatenate([model.bias[w] for w in WIDTHS]), 0)
-            g = ((sigmoid(model.logits(z)) - y[pick]) / n).astype(np.float32)
-            grads = [np.zeros_like(d) for d in dense]
-            grads[-1] = z.T @ g + 1e-4 * model.out
-            gz = g[:, None] * model.out[None, :] * (z > 0)
-            lengths = np.diff(np.append(first, len(row)))
-            pos, col = np.nonzero(y_map == np.repeat(top, lengths, axis=0))
-            _, one = np.unique(row[pos] * y_map.shape[1] + col, return_index=True)
-            pos, col = pos[one], col[one]  # the first place of each maximum
-            up = gz[row[pos], col]
-            at_word, grad = [], []
-            for wi, w in enumerate(WIDTHS):
-                own = (col // FILTERS == wi) & (up != 0)
-                p, c, u = pos[own], col[own] % FILTERS, up[own]
-                np.add.at(grads[len(WIDTHS) + wi], c, u)
-                for j in range(w):
-                    ok = (p + j < len(row)) & (row[np.minimum(p + j, len(row) - 1)] == row[p])
-                    np.add.at(grads[wi][j].T, c[ok], u[ok, None] * x[p[ok] + j])
-                    at_word.append(p[ok] + j)
-                    grad.append(u[ok, None] * model.conv[w][j][:, c[ok]].T)
-            for d, gr, (m, v) in zip(dense, grads, moment, strict=True):
-                m += 0.1 * (gr - m)
-                v += 0.01 * (gr * gr - v)
-                d -= 0.02 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
-            gb = float(g.sum())
-            bias_moment = [0.9 * bias_moment[0] + 0.1 * gb, 0.99 * bias_moment[1] + 0.01 * gb * gb]
-            model.out_bias -= 0.02 * (bias_moment[0] / (1 - 0.9**step)) / ((bias_moment[1] / (1 - 0.99**step)) ** 0.5 + 1e-6)
-            used, back = np.unique(np.concatenate(at_word), return_inverse=True)
-            gx = np.zeros((len(used), DIM), dtype=np.float32)
-            np.add.at(gx, back, np.concatenate(grad))
-            gx[:, 0] = 0  # the prior is not trained
+            dense, words, gx = _gradients(model, f, row, y[pick])
+            adam.update(dense)
+            model.out_bias = float(offset[0])
             for k in range(f.shape[1]):
-                np.add.at(seen[k], f[used, k], (gx**2).sum(axis=1))
-                np.add.at(model.emb[k], f[used, k], -0.02 * gx / np.sqrt(seen[k][f[used, k]])[:, None])
-
-    def scores(index: np.ndarray) -> np.ndarray:
-        return np.concatenate([model.logits(model.pooled(*_batch(feats, index[k : k + 64]), len(index[k : k + 64]))) for k in range(0, len(index), 64)])
-
-    raw = scores(learn)
-    cut = best_cut(sigmoid(raw), y[learn])
-    cut = min(max(cut, 1e-6), 1 - 1e-6)
-    model.shift = float(np.log(cut / (1 - cut)))
-    shifted = sigmoid(raw - model.shift)
-    by_lang = np.array([x or "" for x in langs])[learn]
+                bucket, back = np.unique(f[words, k], return_inverse=True)
+                g = np.zeros((len(bucket), DIM), dtype=np.float32)
+                np.add.at(g, back, gx)
+                seen[k][bucket] += g * g
+                model.emb[k][bucket] -= WORD_RATE * g / (np.sqrt(seen[k][bucket]) + 1e-8)
+    raw = np.concatenate([np.empty(0)] + [model.logits(model.pooled(*_batch(feats, held[k : k + 64]), len(held[k : k + 64]))) for k in range(0, len(held), 64)])
+    model.shift = best_cut(raw, y[held])
+    by_lang = np.array([x or "" for x in langs])[held]
     for lang in sorted(set(by_lang)):
-        own = by_lang == lang
-        if own.sum() >= min_lang and 0 < y[learn][own].sum() < own.sum():
-            model.thresholds[str(lang)] = min(max(best_cut(shifted[own], y[learn][own]), 0.2), 0.8)
-    model.emb[:, :, 0] = _log_odds(feats, y)
+        own, toxic = by_lang == lang, int(y[held][by_lang == lang].sum())
+        if own.sum() >= min_lang and 0 < toxic < own.sum():
+            cut = (best_cut(raw[own], y[held][own]) - model.shift) * toxic / (toxic + PRIOR_ROWS)
+            model.thresholds[str(lang)] = float(sigmoid(np.array(cut)))
     return model
 
 
@@ -237,16 +239,23 @@ def fold(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """At most ``rows`` labelled rows outside fold 0, by hash of their id, with text and lang."""
-    pick = labels.filter("doc_id is not null and toxic is not null").filter(fold(F.col("doc_id")) != 0).select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"))
-    chosen = pick.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(rows)
-    texts = docs.select(F.col("doc_id").cast("long"), F.lower(text_or_empty()).alias("text"), F.col("lang").cast("string")).filter(F.octet_length("text") <= max_bytes)
-    return texts.join(F.broadcast(chosen), "doc_id").limit(2 * rows)
+    """doc_id, text, toxic, lang: at most ``rows`` labelled rows outside fold 0, by hash of their id.
+
+    Of rows that repeat a doc_id the least text counts, of its labels the toxic one, so the sample does not depend on how
+    the tables are read; lang is null where ``docs`` has none."""
+    own = labels.filter("doc_id is not null and toxic is not null").filter(fold(F.col("doc_id")) != 0)
+    chosen = own.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), lang.alias("lang")).filter(F.octet_length("text") <= max_bytes)
+    met = texts.join(F.broadcast(chosen), "doc_id")
+    return met.groupBy("doc_id", "toxic").agg(F.min(F.struct("text", "lang")).alias("x")).select("doc_id", "x.text", "toxic", "x.lang")
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, max_bytes: int = MAX_BYTES) -> Model:
-    """Train on the sample, in an order that does not depend on how the tables are partitioned."""
-    got = sorted((r.doc_id, r.text, r.toxic, r.lang) for r in training_rows(docs, labels, rows, max_bytes).fillna("", ["lang"]).collect())
+    """Train on the sample, in an order that does not depend on how the tables are partitioned.
+
+    ``rows`` texts of at most ``max_bytes`` come to the driver; that bounds the sample, not what is scored."""
+    got = sorted((r.doc_id, r.text, r.toxic, r.lang or "") for r in training_rows(docs, labels, rows, max_bytes).collect())
     return train([r[1] for r in got], [r[2] for r in got], [r[3] for r in got])
 
 
@@ -272,8 +281,9 @@ def _score(model, text_at: int, carry: bool):
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``.
 
-    Null texts are empty; texts without words get the score of an empty text; equal texts get equal scores; a null
-    doc_id is in no fold.  Only the text enters a score."""
+    Null texts are empty; texts without words get the score of an empty text; equal texts and repeated rows get equal
+    scores; very long texts are scored whole, a slice of rows at a time; a null doc_id is in no fold; an empty table gives an
+    empty table.  Only the text enters a score, whatever other columns there are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     scored = rows.mapInArrow(_score(shared, 1, False), "doc_id long, score double")
@@ -281,7 +291,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def reject_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` without the rows whose score reaches the threshold of their language (0.5 where it has none)."""
+    """``docs`` without the rows whose score reaches the threshold of their language (0.5 where it, or the column, is
+    missing).  Columns keep their names, types and order, clashing ones too; null and empty texts score as empty ones;
+    repeated rows stay or go together."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     cols = docs.columns
     plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)])
