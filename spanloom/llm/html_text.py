@@ -1,10 +1,12 @@
 """Main-text extraction by tag-path ratios.
 
-A page is cut into text blocks, each with the path of tags from the root to it.  For every path the text length, the
-punctuation and the share of link text are aggregated; sequences of them over the page are smoothed, fused into one
-score, and blocks are kept whose score reaches a threshold of the page.  Paths through elements that never hold an
-article's text (navigation, forms, scripts and so on) score zero, and where a page marks an article or main element,
-the blocks outside it do too.
+A page is cut into text blocks, each with the path of tags from the root to it; paths are numbers, interned as (parent
+path, step), so deep pages cost no more than flat ones.  For every path the text length, the punctuation and the share of
+link text are aggregated; their sequences over the page are smoothed, fused into one score, and a block is kept where the
+score reaches a share of the page's mean.  Elements that never hold an article's text (navigation, forms, scripts and so
+on) take no part.  Where a page marks an article or main element, only blocks inside it do.  Class names are weights:
+a name that often means boilerplate leaves a block to its own path's ratios, without its neighbours'; names of reader
+comments and adverts weigh nothing.
 """
 
 from __future__ import annotations
@@ -20,69 +22,124 @@ from pyspark.sql import functions as F
 
 # HTML element names by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed noframes plaintext".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes plaintext".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder mstyle".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 BOILER_TAGS = frozenset("nav footer aside form script style noscript template iframe svg button select option textarea input dialog menu head title".split())
-BOILER_NAMES = re.compile(
-    r"(?i)(^|[\s_-])(nav|navbar|navigation|menu|breadcrumbs?|footer|header|masthead|sidebar|side-bar|aside|ads?|advert\w*|banner|promo\w*|sponsor\w*|cookies?|consent|notice|popup|modal|"
-    r"newsletter|subscribe|signup|login|comments?|comment-\w+|disqus|respond|replies|share|sharing|social|related|recommend\w*|widget|toolbar|pagination|pager|tags?|copyright|legal|disclaimer|search|skip-link|toc)($|[\s_-])"
+# Words in class and id names; what weighs nothing, and what leaves a block to its own path's ratios.
+DROPPED_NAMES = re.compile(
+    r"(?i)(^|[\s_-])(comments|comment-(list|section|area|form)|disqus|respond|replies|ads?|advert\w*|promo\w*|sponsor(ed)?|cookies?|consent|popup|modal|newsletter|subscribe|signup|login)($|[\s_-])"
+)
+DOUBTFUL_NAMES = re.compile(
+    r"(?i)(^|[\s_-])(nav|navbar|navigation|menu|breadcrumbs?|footer|header|masthead|sidebar|side-bar|aside|banner|notice|comment|share|sharing|social|related|recommend\w*|widget|toolbar|pagination|"
+    r"pager|tags?|copyright|legal|disclaimer|search|skip-link|toc)($|[\s_-])"
 )
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
 _SPACE = re.compile(r"\s+")
 _PUNCT = re.compile(r"[.,;:!?¿¡…。，！？]")
 _ATTR = re.compile(r"""(?i)(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_MARKUP = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*)(?:>|$)""", re.S)
+_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*)(?:>|\Z)""", re.S)
+#: Elements that end an open one of the second set when they begin, unless one of the third is nearer.
+ENDS = {
+    "li": (("li",), ("ul", "ol")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "td": (("td", "th"), ("tr", "table")),
+    "th": (("td", "th"), ("tr", "table")), "tr": (("tr",), ("table",)), "option": (("option",), ("select",)),
+}
+PLAIN, DOUBTFUL, DROPPED = 0, 1, 2
+#: Share of the mean score, weight of a doubtful name, weight of links (they are menus, unless the page says that they are
+#: content): without and with a marked article.
+LIMITS = {False: (0.25, 0.15, 1.0), True: (0.15, 0.35, 0.5)}
 
 
 class Block:
-    __slots__ = ("path", "text", "links", "boiler", "article")
+    """path: number of its tag path; rank: PLAIN or what its elements' names say; article: inside a marked element."""
+
+    __slots__ = ("path", "text", "links", "rank", "article")
 
-    def __init__(self, path: str, boiler: bool, article: bool):
-        self.path, self.boiler, self.article = path, boiler, article
+    def __init__(self, path: int, rank: int, article: bool):
+        self.path, self.rank, self.article = path, rank, article
         self.text: list[str] = []
         self.links = 0
 
 
-def _boiler(tag: str, attrs: str, inside_article: bool) -> bool:
+def _rank(tag: str, attrs: str, inside_article: bool) -> tuple[int, str]:
+    """What an element's name and attributes say of the text in it, and the doubtful class or id, which is then part of
+    the path, as its text is of another kind than that of other elements there."""
     if tag in BOILER_TAGS or tag == "header" and not inside_article:
-        return True
+        return DROPPED, ""
     if not attrs or "=" not in attrs and "hidden" not in attrs.lower() or tag in ("html", "body"):
-        return False
+        return PLAIN, ""
+    rank, doubtful = PLAIN, ""
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return DROPPED, ""
         if name == "style" and re.search(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return DROPPED, ""
         if name == "role" and value.lower() in BOILER_ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("article", "main", "h1") and BOILER_NAMES.search(value):
-            return True
-    return False
+            return DROPPED, ""
+        if name in ("class", "id") and tag not in ("article", "main", "h1"):
+            if DROPPED_NAMES.search(value):
+                return DROPPED, ""
+            if DOUBTFUL_NAMES.search(value):
+                rank, doubtful = DOUBTFUL, value
+    return rank, doubtful
+
+
+class Stack:
+    """Open elements, with the places of each tag and of the block elements among them, so that every question about the
+    elements above costs the same however deep the page is."""
+
+    def __init__(self):
+        self.tags, self.ranks, self.articles, self.paths = [""], [PLAIN], [False], [0]
+        self.places: dict[str, list[int]] = {}
+        self.blocks = [0]
+        self.paths_by_step: dict[tuple[int, str, str], int] = {}
+
+    def last(self, tags: tuple[str, ...]) -> int:
+        """Place of the innermost open element with one of ``tags``; 0 without one."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def push(self, tag: str, rank: int, name: str, article: bool) -> None:
+        path = self.paths[-1]
+        if tag not in INLINE:
+            path = self.paths_by_step.setdefault((path, tag, name), len(self.paths_by_step) + 1)
+            self.blocks.append(len(self.tags))
+        self.places.setdefault(tag, []).append(len(self.tags))
+        self.tags.append(tag)
+        self.ranks.append(rank)
+        self.articles.append(article)
+        self.paths.append(path)
+
+    def cut(self, place: int) -> None:
+        """Close the element at ``place`` and all in it."""
+        while len(self.tags) > place:
+            tag = self.tags.pop()
+            self.places[tag].pop()
+            if tag not in INLINE:
+                self.blocks.pop()
+            self.ranks.pop()
+            self.articles.pop()
+            self.paths.pop()
 
 
 def blocks(html: str) -> list[Block]:
     """The page's text blocks in page order; badly nested markup is closed as browsers do, and never loses text."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, str]] = [("", False, False, "")]  # tag, boiler, article, path
+    stack = Stack()
     now: Block | None = None
-    links = 0
 
     def text(s: str) -> None:
         nonlocal now
-        if not s:
-            return
-        tag, boiler, article, path = next(x for x in reversed(stack) if x[0] not in INLINE)
-        if stack[-1][1] and not boiler:
-            return  # boilerplate within a line; the rest of its block stays
+        block = stack.blocks[-1]
+        if not s or stack.ranks[-1] > stack.ranks[block]:
+            return  # boilerplate within a line goes; the rest of its block stays
         if now is None:
             if s.isspace():
                 return
-            now = Block(path, boiler, article)
+            now = Block(stack.paths[block], stack.ranks[block], stack.articles[block])
             out.append(now)
         now.text.append(s)
-        if links:
+        if stack.places.get("a"):
             now.links += len(s)
 
     at, n = 0, len(html)
@@ -99,49 +156,28 @@ def blocks(html: str) -> list[Block]:
                 text(html[m.start() + 9 : at - 3])
             continue
         close, tag, attrs = m[1] == "/", m[2].lower(), m[3]
-        if not close:
-            if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}\s*(?:>|$)", re.I).search(html, at)
-                at = end.end() if end else n
-                continue
-            if tag == "br":
-                text(" ")
-                continue
-            if tag not in INLINE:
-                now = None
-            if tag in VOID or attrs.endswith("/"):
-                continue
-            if tag in CLOSES_P and any(x[0] == "p" for x in stack):
-                while stack[-1][0] != "p":
-                    if stack[-1][0] == "a":
-                        links -= 1
-                    stack.pop()
-                stack.pop()
-            if tag in ("li", "dt", "dd", "td", "th", "tr", "option"):
-                same = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "td": ("tr", "table"), "th": ("tr", "table"), "tr": ("table",), "option": ("select",)}[tag]
-                own = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",), "option": ("option",)}[tag]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in same:
-                        break
-                    if stack[k][0] in own:
-                        links -= sum(1 for x in stack[k:] if x[0] == "a")
-                        del stack[k:]
-                        break
-            _, boiler, article, path = stack[-1]
-            article = article or tag in ("article", "main")
-            boiler = boiler or _boiler(tag, attrs, article)
-            stack.append((tag, boiler, article, path if tag in INLINE else f"{path}/{tag}"))
-            links += tag == "a"
-        else:
-            if tag not in INLINE:
-                now = None
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    links -= sum(1 for x in stack[k:] if x[0] == "a")
-                    del stack[k:]
-                    break
-                if stack[k][0] not in INLINE and tag in INLINE:
-                    break  # a stray inline end tag closes nothing outside its block
+        if tag not in INLINE and tag != "br":
+            now = None
+        if close:
+            place = stack.last((tag,))
+            if place and not (tag in INLINE and stack.blocks[-1] > place):
+                stack.cut(place)  # a stray inline end tag closes nothing outside its block
+            continue
+        if tag in RAW:
+            end = re.compile(rf"</{re.escape(tag)}\s*(?:>|\Z)", re.I).search(html, at)
+            at = end.end() if end else n
+        elif tag == "br":
+            text(" ")
+        elif tag not in VOID and not attrs.endswith("/"):
+            if tag in CLOSES_P and stack.last(("p",)):
+                stack.cut(stack.last(("p",)))
+            if tag in ENDS:
+                own, scope = (stack.last(x) for x in ENDS[tag])
+                if own > scope:
+                    stack.cut(stack.places[next(t for t in ENDS[tag][0] if stack.last((t,)) == own)][-1])
+            article = stack.articles[-1] or tag in ("article", "main")
+            rank, name = _rank(tag, attrs, article)
+            stack.push(tag, max(stack.ranks[-1], rank), name, article)
     return out
 
 
@@ -157,33 +193,28 @@ def smooth(values: list[float], radius: int = 1) -> list[float]:
 def main_blocks(html: str) -> list[str]:
     """The texts of the content blocks, white space within a block turned into one space."""
     found = [(b, _SPACE.sub(" ", "".join(b.text)).strip()) for b in blocks(html)]
-    found = [(b, t) for b, t in found if t]
-    pool = [(b, t) for b, t in found if not b.boiler]
+    pool = [(b, t) for b, t in found if t and b.rank != DROPPED]
     marked = [(b, t) for b, t in pool if b.article]
     pool = marked or pool
     if not pool:
         return []
-    length: dict[str, int] = defaultdict(int)
-    punct: dict[str, int] = defaultdict(int)
-    linked: dict[str, int] = defaultdict(int)
-    nodes: dict[str, int] = defaultdict(int)
+    length, punct, linked, nodes = (defaultdict(int) for _ in range(4))
     for b, t in pool:
         length[b.path] += len(t)
         punct[b.path] += len(_PUNCT.findall(t))
-        linked[b.path] += b.links
+        linked[b.path] += min(b.links, len(t))
         nodes[b.path] += 1
-    text_ratio = {p: length[p] / nodes[p] for p in length}
-    punct_ratio = {p: punct[p] / nodes[p] for p in length}
-    most_t, most_p = max(text_ratio.values()) or 1.0, max(punct_ratio.values()) or 1.0
-    by_text = smooth([text_ratio[b.path] / most_t for b, _ in pool])
-    by_punct = smooth([punct_ratio[b.path] / most_p for b, _ in pool])
-    unlinked = [1 - min(1.0, linked[b.path] / max(1, length[b.path])) for b, _ in pool]
-    score = [(0.5 * x + 0.5 * y) * z for x, y, z in zip(by_text, by_punct, unlinked, strict=True)]
-    # inside a marked article only link lists go; elsewhere a block must reach a share of the page's mean score
-    limit = 1e-9 if marked else 0.25 * sum(score) / len(score)
-    if marked:
-        return [t for (b, t), s in zip(pool, score, strict=True) if s > limit or b.links < 0.5 * len(t)]
-    return [t for (b, t), s in zip(pool, score, strict=True) if s >= limit and b.links <= 0.5 * len(t)]
+    most_t, most_p = max(length[p] / nodes[p] for p in length), max(punct[p] / nodes[p] for p in length) or 1.0
+    own = {p: 0.5 * length[p] / nodes[p] / most_t + 0.5 * punct[p] / nodes[p] / most_p for p in length}
+    link_share = {p: linked[p] / length[p] for p in length}
+    around = smooth([own[b.path] for b, _ in pool])
+    share, doubt, links = LIMITS[bool(marked)]
+    score = []
+    for (b, _), near in zip(pool, around, strict=True):
+        named = b.rank == DOUBTFUL
+        score.append((doubt * own[b.path] if named else near) * (1 - (1.0 if named else links) * link_share[b.path]))
+    limit = share * sum(score) / len(score)
+    return [t for (b, t), s in zip(pool, score, strict=True) if s > 0 and s >= limit]
 
 
 def main_text(html: str) -> str:
@@ -201,6 +232,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars (code points of text) for every row of ``pages``.
 
     Null or empty html, and pages without content, give an empty text; repeated rows give equal rows; a page is read
-    whole whatever its length; other columns are not read."""
+    whole whatever its length or depth, in time that grows with its length; blocks of equal scores are kept or dropped
+    together; an empty table gives an empty table; other columns, clashing ones too, are not read."""
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce("html", F.lit("")).alias("html"))
     return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -38,6 +38,27 @@ def test_inline_boilerplate_goes_alone():
     assert html_text.main_text('<span class="ad"><p>Buy, now.</p></span><p>Real text, here.</p>') == "Real text, here."
 
 
+LONG = "A long paragraph of real article text, with commas and stops. And more of it; so that it counts."
+
+
+def test_article_text_under_doubtful_names_stays():
+    page = f"""<body><nav><a>Home</a></nav><article><h1>Title</h1><p>{LONG}</p><div class="related-work">{LONG}</div><p class="legal">{LONG}</p><p>x &lt; <math><mi>y</mi></math></p>
+      <div class="share">Share: <a>One</a> <a>Two</a></div><section class="comments"><p>{LONG}</p></section><ul class="tags"><li><a>tag</a></li></ul><aside>{LONG}</aside></article><footer>{LONG}</footer>"""
+    assert html_text.main_blocks(page) == ["Title", LONG, LONG, LONG, "x < y"]
+    assert html_text.main_blocks(f"<main><p>{LONG}</p><ul><li><a href=x>A linked source</a></li><li>Plain</li></ul><p>Of.</p></main>") == [LONG, "A linked source", "Plain", "Of."]
+    unmarked = f'<body><div class="menu"><a>Home</a> <a>News</a></div><div><h1>Head</h1><p>{LONG}</p><p>{LONG}</p></div><ul><li><a>One</a></li><li><a>Two</a></li></ul>'
+    assert html_text.main_blocks(unmarked) == ["Head", LONG, LONG]
+
+
+def test_deep_and_unclosed_pages_take_linear_time():
+    import time
+
+    began = time.time()
+    for step in ("<div>", "<ul><li>", "<li><b>", "</i><b>", "<p><i>", "<td><tr>"):
+        assert html_text.main_text(step * 100_000 + LONG) == LONG
+    assert time.time() - began < 60
+
+
 def test_pages_of_the_table(spark, data):
     import re
     from html import unescape
@@ -87,6 +108,65 @@ def test_classifier_learns_what_it_has_not_seen():
     assert ((score >= 0.5) == y).mean() > 0.97 and set(m.thresholds) == {"de", "en"}
 
 
+def test_gradients_equal_differences():
+    rng = np.random.default_rng(4)
+    m = toxicity._new_model(rng, -1.0)
+    m.emb *= 10  # away from the kinks of pooling
+    f, row, y = rng.integers(0, 50, (12, 1 + len(toxicity.PREFIXES))).astype(np.int32), np.array([0, 0, 0, 0, 1, 2, 2, 2, 2, 2, 3, 3]), np.array([1, 0, 0, 1])
+
+    def loss():
+        p = toxicity.sigmoid(m.logits(m.pooled(f, row, 4)).astype(np.float64))
+        return -np.mean(np.where(y == 1, np.log(p), np.log(1 - p)))
+
+    dense, words, gx = toxicity._gradients(m, f, row, y)
+    params = [*m.conv.values(), *m.bias.values(), m.out]
+    for p, g in zip(params, dense, strict=False):
+        for at in rng.integers(0, p.size, 4):
+            flat, old = p.reshape(-1), p.reshape(-1)[at]
+            flat[at] = old + 1e-3
+            high = loss()
+            flat[at] = old - 1e-3
+            low = loss()
+            flat[at] = old
+            assert g.reshape(-1)[at] == pytest.approx((high - low) / 2e-3, abs=2e-3)
+    assert len(words) and gx.shape == (len(words), toxicity.DIM)
+
+
+def test_learned_weights_carry_the_score():
+    """Held-out accuracy at the larger scale; with the embeddings set to zero nothing is left of it."""
+    import os
+
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("needs the larger tables")
+    c = duckdb.connect()
+    rows = c.execute(f"SELECT doc_id, coalesce(text, ''), lang, toxic FROM '{folder}/documents.parquet' JOIN '{folder}/labels.parquet' USING (doc_id) WHERE toxic IS NOT NULL ORDER BY doc_id").fetchall()
+    held = [zlib.crc32(str(r[0]).encode()) % 5 == 0 for r in rows]
+    fit, told = [r for r, h in zip(rows, held, strict=True) if not h], [r for r, h in zip(rows, held, strict=True) if h]
+    m = toxicity.train([r[1] for r in fit], [r[3] for r in fit], [r[2] for r in fit])
+    feats, y = toxicity._features_of([r[1] for r in told]), np.array([r[3] for r in told])
+
+    def auc():
+        s = np.concatenate([m.logits(m.pooled(*toxicity._batch(feats, np.arange(k, min(k + 64, len(feats)))), min(64, len(feats) - k))) for k in range(0, len(feats), 64)])
+        wins = (s[y == 1][:, None] > s[y == 0][None, :]).mean() + 0.5 * (s[y == 1][:, None] == s[y == 0][None, :]).mean()
+        return s, wins
+
+    s, wins = auc()
+    assert wins >= 0.95 and ((s >= 0) & (y == 1)).sum() / (s >= 0).sum() > 0.85 and ((s >= 0) & (y == 1)).sum() / y.sum() > 0.8
+    m.emb[:] = 0
+    assert auc()[1] < 0.6
+
+
+def test_sample_does_not_depend_on_repeats_or_lang(spark):
+    rows = labelled(120, 7)
+    docs = spark.createDataFrame([(r[0], r[1]) for r in rows for _ in range(1 + r[0] % 2)], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    a, b = (toxicity.fit(x, labels) for x in (docs, docs.distinct().repartition(3)))
+    assert (a.emb == b.emb).all() and a.thresholds == b.thresholds
+    long = spark.createDataFrame([(1, " ".join(r[1] for r in rows) * 200), (2, "vile " * 100_000)], "doc_id long, text string")
+    assert toxicity.reject_toxic(long.union(long), a).columns == ["doc_id", "text"] and toxicity.score(long.union(long), a).distinct().count() == 2
+
+
 def test_conv_equals_plain_loops():
     rng = np.random.default_rng(2)
     m = toxicity.train(["a b", "c d", "e f", "g h"], [0, 1, 0, 1], ["en"] * 4, epochs=1)
