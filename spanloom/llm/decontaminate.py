@@ -7,7 +7,9 @@ at least ``similarity`` of the item's distinct windows.  Then slots are compared
 document, an item value must always turn into the same document value, as it does when a question is asked again with
 other numbers or names.  Many mismatches mean that the template only looks alike.  Words with a capital at a sentence's
 start are literals, and in a second, looser set of windows names: such a window counts where the words are equal or one of
-them is a name inside a sentence of its text.
+them is a name in its text: it stands as one inside a sentence, or is no closed-class word and nowhere without its capital.
+A third set holds the plain words, whatever their case, so a copy in capitals is found; items of under five words are
+found by that set alone, in one window of their own width, word for word.
 
 The build side is taken in blocks of at most ``block_windows`` windows, a pass over the documents for each block, so what
 is broadcast is bounded whatever the benchmark's size.
@@ -18,6 +20,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.shingles import U, Words, buffers, shingles, slices, stream
-from spanloom.llm.tables import text_or_empty
+from spanloom.llm.tables import keep, text_or_empty
 
 WIDTH, SIMILARITY, BLOCK_WINDOWS = 5, 0.8, 1_000_000
 LITERAL, NUMBER, UNIT, NAME = 0, 1, 2, 3
@@ -39,9 +42,17 @@ day days week weeks month months year years hz khz mhz ghz w kw mw j kj cal kcal
 usd eur gbp dollar dollars cent cents euro euros percent degree degrees byte bytes kb mb gb tb
 """.split()
 NUMBER_WORDS = """
-zero two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty
+zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty
 thirty forty fifty sixty seventy eighty ninety hundred thousand million billion
 """.split()
+# Closed-class words, which are no names at a sentence's start.
+CLOSED = """
+a an the this that these those he she it we you they i his her its our your their my there here what which who whom whose when where why how
+if in on at by for from of to with as and but or so then after before is are was were do does did can could will would each every all some no not
+der die das ein eine er sie es wir ihr ich wer was wann wo warum wie wenn und aber oder im in am an auf mit von zu nach vor ist sind hat haben
+le la les un une des il elle nous vous ils elles je qui que quoi quand comment pourquoi combien si et mais ou dans sur avec de pour par est sont
+el los las una unos del al ella nosotros ellos yo quien cuando donde cuanto cuantos y pero o en con para por es son hay
+""".split()
 
 
 def _hashes(words: list[str]) -> np.ndarray:
@@ -49,7 +60,7 @@ def _hashes(words: list[str]) -> np.ndarray:
     return np.sort(Words(data, offs).hash)
 
 
-_UNIT_HASHES, _NUMBER_HASHES = _hashes(UNITS), _hashes(NUMBER_WORDS)
+_UNIT_HASHES, _NUMBER_HASHES, _CLOSED_HASHES = _hashes(UNITS), _hashes(NUMBER_WORDS), _hashes(CLOSED)
 _BYTE = np.arange(256)
 _DIGIT = (_BYTE >= 48) & (_BYTE <= 57)
 _UP = (_BYTE >= 65) & (_BYTE <= 90)
@@ -61,7 +72,8 @@ _STOP = np.isin(_BYTE, np.frombuffer(b".!?:;", dtype=np.uint8))
 class Template:
     """Tokens of consecutive texts: id (what windows compare), kind, value (hash of what a slot held), row.
 
-    opening: a literal with a capital at a sentence's start.  names: (row, hash) of each capitalised word inside a sentence."""
+    opening: a literal with a capital at a sentence's start.  names: (row, hash) of each capitalised word inside a sentence.
+    words: (row, hash) of every word, in order, before names in a row became one; word_counts: how many each text has."""
 
     ids: np.ndarray
     kinds: np.ndarray
@@ -70,15 +82,26 @@ class Template:
     counts: np.ndarray
     opening: np.ndarray
     names: tuple[np.ndarray, np.ndarray]
+    words: tuple[np.ndarray, np.ndarray]
+    word_counts: np.ndarray
 
     def loose_ids(self) -> np.ndarray:
         """ids with openings as names."""
         return np.where(self.opening, _PLACEHOLDER[NAME], self.ids)
 
     def named(self, row: int, lo: int, hi: int) -> np.ndarray:
-        """Which of the tokens [lo, hi) of ``row`` are names, or openings that are names elsewhere in the text."""
+        """Which of the tokens [lo, hi) of ``row``, all of its tokens, are names, or openings that may be: a name elsewhere in
+        the text, or no closed-class word and nowhere in the text without its capital."""
         a, b = np.searchsorted(self.names[0], [row, row + 1])
-        return (self.kinds[lo:hi] == NAME) | self.opening[lo:hi] & np.isin(self.values[lo:hi], self.names[1][a:b])
+        values, opening = self.values[lo:hi], self.opening[lo:hi]
+        small = values[(self.kinds[lo:hi] == LITERAL) & ~opening]
+        likely = np.isin(values, self.names[1][a:b]) | ~np.isin(values, _CLOSED_HASHES) & ~np.isin(values, small)
+        return (self.kinds[lo:hi] == NAME) | opening & likely
+
+
+def _no_tokens(n_rows: int) -> Template:
+    none, no_hash, zero = np.empty(0, dtype=np.int64), np.empty(0, dtype=U), np.zeros(n_rows, dtype=np.int64)
+    return Template(no_hash, none, no_hash, none, zero, none.astype(bool), (none, no_hash), (none, no_hash), zero)
 
 
 def templates(data: np.ndarray, offsets: np.ndarray) -> Template:
@@ -89,8 +112,7 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> Template:
     words = Words(data, offsets)
     n_rows = len(offsets) - 1
     if not len(words.start):
-        none = np.empty(0, dtype=np.int64)
-        return Template(words.hash, none, words.hash, none, np.zeros(n_rows, dtype=np.int64), none.astype(bool), (none, words.hash))
+        return _no_tokens(n_rows)
     start, end = words.start.copy(), words.end.copy()
     while True:
         lead = (start < end) & ~_WORDLIKE[data[np.minimum(start, len(data) - 1)]]
@@ -112,9 +134,9 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> Template:
     has = start < end
     start, end, row, opens = start[has], end[has], words.row[has], opens[has]
     if not len(start):
-        none = np.empty(0, dtype=np.int64)
-        return Template(np.empty(0, dtype=U), none, np.empty(0, dtype=U), none, np.zeros(n_rows, dtype=np.int64), none.astype(bool), (none, np.empty(0, dtype=U)))
+        return _no_tokens(n_rows)
     value = words.span_hash(start, end)
+    plain, plain_row = value, row
     first = data[start]
     second = data[np.minimum(start + 1, end - 1)]
     latin = (first == 0xC3) & (end - start > 1)
@@ -139,7 +161,7 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> Template:
         value = np.add.reduceat(value, lead)
         kinds, row, opening = kinds[lead], row[lead], opening[lead]
     ids = np.where(kinds == LITERAL, value, _PLACEHOLDER[kinds])
-    return Template(ids, kinds, value, row, np.bincount(row, minlength=n_rows), opening, names)
+    return Template(ids, kinds, value, row, np.bincount(row, minlength=n_rows), opening, names, (plain_row, plain), np.bincount(plain_row, minlength=n_rows))
 
 
 @dataclass
@@ -186,7 +208,9 @@ def _index(h: np.ndarray, owner: np.ndarray, at: np.ndarray, window: np.ndarray)
 
 @dataclass
 class Block:
-    """A block of benchmark items: exact windows, and loose ones in which openings are names."""
+    """A block of benchmark items: exact windows, loose ones in which openings are names, and windows of plain words.
+
+    widths: those of the plain windows, five and the number of words of each shorter item."""
 
     item_ids: list[int]
     first: np.ndarray  # of each item's tokens
@@ -194,6 +218,17 @@ class Block:
     n_windows: np.ndarray  # distinct exact ones, by item
     exact: Index
     loose: Index
+    plain: Index
+    n_plain: np.ndarray  # distinct plain windows, by item
+    widths: list[int]
+
+    def n_words(self, item: int) -> int:
+        return int(self.tokens.word_counts[item])
+
+
+def _distinct_windows(h: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    pairs = np.unique(np.stack([owner.astype(U), h], axis=1), axis=0) if len(h) else np.empty((0, 2), dtype=U)
+    return np.bincount(pairs[:, 0].astype(np.int64), minlength=n)
 
 
 def build_block(item_ids: list[int], texts: list[str]) -> Block:
@@ -202,12 +237,14 @@ def build_block(item_ids: list[int], texts: list[str]) -> Block:
     h, owner = shingles(t.ids, t.row, t.counts, WIDTH)
     begins = np.searchsorted(owner, np.arange(len(texts)))
     at = np.arange(len(h)) - begins[owner] if len(h) else np.empty(0, dtype=np.int64)
-    pairs = np.unique(np.stack([owner.astype(U), h], axis=1), axis=0) if len(h) else np.empty((0, 2), dtype=U)
-    n_windows = np.bincount(pairs[:, 0].astype(np.int64), minlength=len(texts))
+    n_windows = _distinct_windows(h, owner, len(texts))
     window = np.unique(h, return_inverse=True)[1]
     first = np.concatenate(([0], np.cumsum(t.counts)))
     loose = _index(shingles(t.loose_ids(), t.row, t.counts, WIDTH)[0], owner, at, window)
-    return Block(item_ids, first, t, n_windows, _index(h, owner, at, window), loose)
+    g, of = shingles(t.words[1], t.words[0], t.word_counts, WIDTH)
+    plain = _index(g, of, np.zeros(len(g), dtype=np.int64), np.unique(g, return_inverse=True)[1])
+    widths = np.unique(np.minimum(t.word_counts[t.word_counts > 0], WIDTH)).tolist()
+    return Block(item_ids, first, t, n_windows, _index(h, owner, at, window), loose, plain, _distinct_windows(g, of, len(texts)), widths)
 
 
 def _align(at: np.ndarray, n_item: int, n_doc: int, main: int) -> list[tuple[int, int]]:
@@ -279,41 +316,65 @@ def _same(block: Block, item: int, t: Template, row: int, base: int, places: np.
 
 
 def find_in(data: np.ndarray, offsets: np.ndarray, block: Block, similarity: float) -> Iterator[tuple[int, int, float, int, int, int]]:
-    """(row, item position, share of windows found, slots, changed, broken) for every item found, broken ones included.
+    """(row, item position, share of windows found, windows of the item, slots, changed) for every item found.
 
-    Exact windows come first; where they do not settle it, windows count too that differ in names at a sentence's start."""
+    Exact windows come first; where they do not settle it, windows count too that differ in names at a sentence's start;
+    last come the plain words, without slots."""
     t = templates(data, offsets)
     h, owner = shingles(t.ids, t.row, t.counts, WIDTH)
     if not len(h) or not len(block.exact.keys):
         return
+    rows3, key3 = _plain_hits(t, block)
     at1, key1 = block.exact.probe(h)
     at2, key2 = block.loose.probe(shingles(t.loose_ids(), t.row, t.counts, WIDTH)[0])
     del h
     begins = np.searchsorted(owner, np.arange(len(offsets)))
     firsts = np.concatenate(([0], np.cumsum(t.counts)))
     rows1, rows2 = owner[at1], owner[at2]
-    for row in np.union1d(rows1, rows2).tolist():
+    for row in np.unique(np.concatenate([rows1, rows2, rows3])).tolist():
         one, two = slice(*np.searchsorted(rows1, [row, row + 1])), slice(*np.searchsorted(rows2, [row, row + 1]))
         base, begin = int(firsts[row]), int(begins[row])
         exact = block.exact.windows(key1[one])
         items, n = np.unique(exact[:, 0], return_counts=True)
         share = dict(zip(items.tolist(), (n / block.n_windows[items]).tolist(), strict=True))
         items, n = np.unique(np.unique(np.concatenate([exact, block.loose.windows(key2[two])]), axis=0)[:, 0], return_counts=True)
+        done: set[int] = set()
         for item in items[n / block.n_windows[items] >= similarity].tolist():
+            if block.n_words(item) < WIDTH:
+                continue  # left to the plain words
+            windows = int(block.n_windows[item])
             places = block.exact.places(item, at1[one] - begin, key1[one])
-            hit = None
             if share.get(item, 0.0) >= similarity:
-                hit = row, item, share[item], *_slots(block, item, t, row, base, places[:, 0], places[:, 1])
-            if hit is None or broken_too_often(hit[3], hit[5]):
-                more = block.loose.places(item, at2[two] - begin, key2[two])
-                every = np.unique(np.concatenate([places, more[_same(block, item, t, row, base, more)]]), axis=0)
-                s = len(np.unique(every[:, 2])) / int(block.n_windows[item])
-                if s >= similarity:
-                    loose = row, item, s, *_slots(block, item, t, row, base, every[:, 0], every[:, 1], True)
-                    if hit is None or not broken_too_often(loose[3], loose[5]):
-                        hit = loose
-            if hit is not None:
-                yield hit
+                slots, changed, broken = _slots(block, item, t, row, base, places[:, 0], places[:, 1])
+                if not broken_too_often(slots, broken):
+                    done.add(item)
+                    yield row, item, share[item], windows, slots, changed
+                    continue
+            more = block.loose.places(item, at2[two] - begin, key2[two])
+            every = np.unique(np.concatenate([places, more[_same(block, item, t, row, base, more)]]), axis=0)
+            s = len(np.unique(every[:, 2])) / windows
+            if s >= similarity:
+                slots, changed, broken = _slots(block, item, t, row, base, every[:, 0], every[:, 1], True)
+                if not broken_too_often(slots, broken):
+                    done.add(item)
+                    yield row, item, s, windows, slots, changed
+        items, n = np.unique(block.plain.windows(key3[slice(*np.searchsorted(rows3, [row, row + 1]))])[:, 0], return_counts=True)
+        for item, found in zip(items.tolist(), n.tolist(), strict=True):
+            if item not in done and found >= similarity * block.n_plain[item]:
+                yield row, item, found / int(block.n_plain[item]), int(block.n_plain[item]), 0, 0
+
+
+def _plain_hits(t: Template, block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, keys) of the documents' windows of plain words that the block has, in row order."""
+    rows, keys = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+    for width in block.widths:
+        h, owner = shingles(t.words[1], t.words[0], t.word_counts, width)
+        at, key = block.plain.probe(h)
+        rows.append(owner[at])
+        keys.append(key)
+    row, key = np.concatenate(rows), np.concatenate(keys)
+    order = np.argsort(row, kind="stable")
+    return row[order], key[order]
 
 
 def broken_too_often(slots: int, broken: int) -> bool:
@@ -345,9 +406,8 @@ def _matches(shared, similarity: float):
             data, offs = buffers(batch.column(1))
             out: list[tuple] = []
             for a, b in slices(offs):
-                for row, item, s, slots, changed, broken in find_in(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], block, similarity):
-                    if not broken_too_often(slots, broken):
-                        out.append((ids[a + row], block.item_ids[item], s, int(block.n_windows[item]), slots, changed))
+                for row, item, s, windows, slots, changed in find_in(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], block, similarity):
+                    out.append((ids[a + row], block.item_ids[item], s, windows, slots, changed))
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], ["doc_id", "item_id", "similarity", "n_windows", "n_slots", "n_changed"])
 
@@ -357,17 +417,33 @@ def _matches(shared, similarity: float):
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """doc_id, item_id, similarity, n_windows, n_slots, n_changed: a row for every item found in a row of ``docs``.
 
-    similarity: the share of the item's distinct template windows that the document has.  A text of fewer than five
-    tokens is one window, its whole sequence, so short items are found only in documents that consist of them.  Null and
-    empty texts hold nothing; repeated rows of ``docs`` give repeated rows; a null doc_id is passed on.  Other columns
-    are not read."""
+    similarity: the share of the item's distinct windows (n_windows) that the document has.  n_slots and n_changed are 0
+    for items found by their plain words.  Items of under five words are found anywhere, but only word for word.  Null and
+    empty texts and items hold and match nothing; repeated rows of ``docs`` give repeated rows, equal items one row each;
+    very long texts are searched whole; a null doc_id is passed on; an empty table gives no rows.  Other columns, clashing
+    ones too, are not read.
+
+    With several blocks each one's hits are written before the next is broadcast, so that one is in memory at a time."""
     rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
     schema = "doc_id long, item_id long, similarity double, n_windows long, n_slots long, n_changed long"
-    out = None
+    parts: list[DataFrame] = []
+    for part in _each_block(docs, benchmark, block_windows, lambda shared, _: rows.mapInArrow(_matches(shared, similarity), schema)):
+        parts.append(part)
+    return reduce(DataFrame.union, parts) if parts else docs.sparkSession.createDataFrame([], schema)
+
+
+def _each_block(docs: DataFrame, benchmark: DataFrame, block_windows: int, step) -> Iterator[DataFrame]:
+    """``step`` (shared block, what it gave before) for each block; all but the last are written and their block freed."""
+    shared, out = None, None
     for block in blocks(benchmark, block_windows):
-        part = rows.mapInArrow(_matches(docs.sparkSession.sparkContext.broadcast(block), similarity), schema)
-        out = part if out is None else out.union(part)
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+        if out is not None:
+            out = keep(out)
+            shared.destroy()
+            yield out
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        out = step(shared, out)
+    if out is not None:
+        yield out
 
 
 def _clean(shared, similarity: float, text_at: int):
@@ -377,19 +453,21 @@ def _clean(shared, similarity: float, text_at: int):
             data, offs = buffers(pc.fill_null(batch.column(text_at), ""))
             keep = np.ones(batch.num_rows, dtype=bool)
             for a, b in slices(offs):
-                for row, _, _, slots, _, broken in find_in(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], block, similarity):
-                    if not broken_too_often(slots, broken):
-                        keep[a + row] = False
+                for row, *_ in find_in(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], block, similarity):
+                    keep[a + row] = False
             yield batch.filter(pa.array(keep))
 
     return run
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark item; a pass for each block, without a shuffle."""
+    """``docs`` without the rows that hold a benchmark item; a pass for each block, without a shuffle.
+
+    Columns keep their names, types and order, clashing ones too; null and empty texts stay; repeated rows stay or go
+    together; very long texts are searched whole; an empty benchmark drops nothing."""
     cols = docs.columns
-    out = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)])
-    schema = out.schema
-    for block in blocks(benchmark, block_windows):
-        out = out.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(block), similarity, cols.index("text")), schema)
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)])
+    schema, out = plain.schema, plain
+    for out in _each_block(docs, benchmark, block_windows, lambda shared, before: (plain if before is None else before).mapInArrow(_clean(shared, similarity, cols.index("text")), schema)):
+        pass
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(cols)])
