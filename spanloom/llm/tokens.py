@@ -1,62 +1,38 @@
 """Token counts without token ids.
 
 A text's count is the sum, over its distinct pre-tokens, of how often it has the pre-token times the pieces of that
-pre-token.  Pieces are counted once for each distinct pre-token of a task (a bounded memo over the library's own
-encoder) and joined to the per-document frequencies; nothing is shuffled, and no id sequence of a text is built.
+pre-token.
+
+1. Each task folds its texts into distinct pre-tokens with their frequencies; these meet by key, and the pieces of each
+   distinct pre-token of the corpus are counted once, with the library's own encoder.
+2. The counts are joined to the frequencies of each document: the COMMON most frequent pre-tokens by a broadcast table of
+   that size, so most occurrences are summed where their text is read; the others are written as (row, key, frequency),
+   joined by key and summed by row.  None of those keys is frequent, so that join has no hot key.
 
 The pre-token used is the blank-delimited chunk.  The model drops white space and never joins pieces across it, and its
-special strings contain none, so a text's count is the sum over its chunks.  Only ASCII blanks and line ends cut; other
-white space stays inside a chunk, where the library treats it as it would in the text.
+special strings contain none, so a text's count is the sum over its chunks.  Only ASCII white space cuts; other white
+space stays inside a chunk, where the library treats it as it would in the text.  Chunks are told apart by 64-bit hashes:
+among n distinct ones two agree with probability n * n / 2**65 (5e-7 for four million), and then one of them is counted as
+the other.  A chunk of more than LONG_CHUNK bytes is counted by the task that reads its text.
 """
 
 from __future__ import annotations
 
 import os
-import re
-from collections import Counter
 from collections.abc import Iterator
-from operator import mul
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.tables import text_or_empty
+from spanloom.llm.shingles import U, Words, buffers, slices
+from spanloom.llm.tables import keep, text_or_empty
 
 LIMIT = 2048
-MEMO = 400_000
-LONG_CHUNK = 200
-
-
-_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
-
-
-class PieceCounts(dict):
-    """chunk -> number of pieces, for chunks of up to LONG_CHUNK characters; forgets all when it has MEMO entries.
-
-    A chunk of Latin letters with punctuation after them is the two pre-tokens it looks like (the model cuts there and
-    ignores case), so "Word", "word," and "word." share one count of "word"."""
-
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
-        self.parts: dict[str, int] = {"": 0}
-
-    def learn(self, chunks: list[str]) -> None:
-        if len(self) + len(chunks) > MEMO:
-            self.clear()
-        cut = [m.groups() if (m := _SIMPLE.fullmatch(c)) else (c, "") for c in chunks]
-        cut = [(w.lower() if p or _SIMPLE.fullmatch(w) else w, p) for w, p in cut]
-        new = list({x for pair in cut for x in pair if x not in self.parts})
-        if len(new) + len(self.parts) > MEMO:
-            self.parts = {"": 0}
-            new = list({x for pair in cut for x in pair if x})
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.parts[x] = len(e)
-        for c, (w, p) in zip(chunks, cut, strict=True):
-            self[c] = self.parts[w] + self.parts[p]
+COMMON = 1_000_000
+LONG_CHUNK = 256
+FOLD = 1_000_000
 
 
 def _open(path: str):
@@ -69,50 +45,132 @@ def _open(path: str):
     return tokenizer
 
 
-def count_texts(texts: list[str], counts: PieceCounts) -> list[int]:
-    """Tokens of each text."""
-    bags = [Counter(t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")) for t in texts]
-    new: set[str] = set()
-    long: dict[str, int] = {}
-    for bag in bags:
-        bag.pop("", None)
-        new.update(c for c in bag if c not in counts)
-    for c in [c for c in new if len(c) > LONG_CHUNK]:
-        new.remove(c)
-        long[c] = len(counts.tokenizer.encode(c, add_special_tokens=False))
-    if len(new) + len(counts) > MEMO:
-        new = {c for bag in bags for c in bag if c not in long}
-    counts.learn(list(new))
-    if long:
-        return [sum(n * (long[c] if c in long else counts[c]) for c, n in bag.items()) for bag in bags]
-    return [sum(map(mul, bag.values(), map(counts.__getitem__, bag))) for bag in bags]
-
-
-def _count(path: str, limit: int, group: int):
+def _pieces(tokenizer, texts: list[str], group: int = 10_000) -> np.ndarray:
+    out = [len(e) for k in range(0, len(texts), group) for e in tokenizer.encode_batch_fast(texts[k : k + group], add_special_tokens=False)]
+    return np.array(out, dtype=np.int64)
+
+
+def _chunks(column: pa.Array) -> Iterator[tuple[int, int, Words, np.ndarray]]:
+    """Slices of a text column: first row, end row, their chunks, and which of these are short."""
+    data, offs = buffers(column)
+    for a, b in slices(offs):
+        words = Words(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], cased=True)
+        yield a, b, words, words.end - words.start <= LONG_CHUNK
+
+
+class Folded:
+    """Distinct (key, chunk) with frequencies, folded again whenever FOLD entries have come together."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
+        self.n = 0
+
+    def add(self, words: Words, short: np.ndarray) -> None:
+        start, end, key = words.start[short], words.end[short], words.hash[short]
+        key, first, n = np.unique(key, return_index=True, return_counts=True)
+        size = end[first] - start[first]
+        ends = np.cumsum(size)
+        at = np.repeat(start[first] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+        offsets = np.concatenate(([0], ends)).astype(np.int64)
+        text = pa.LargeStringArray.from_buffers(len(key), pa.py_buffer(offsets), pa.py_buffer(words.data[at] if len(at) else np.empty(0, dtype=np.uint8)))
+        self.parts.append((key, n, text))
+        self.n += len(key)
+
+    def fold(self) -> None:
+        if len(self.parts) < 2:
+            return
+        key, n = (np.concatenate([p[i] for p in self.parts]) for i in (0, 1))
+        text = pa.chunked_array([p[2] for p in self.parts]).combine_chunks()
+        own, first, back = np.unique(key, return_index=True, return_inverse=True)
+        self.parts = [(own, np.bincount(back, weights=n).astype(np.int64), text.take(pa.array(first)))]
+        self.n = len(own)
+
+    def take(self) -> pa.RecordBatch:
+        self.fold()
+        key, n, text = self.parts[0] if self.parts else (np.empty(0, dtype=U), np.empty(0, dtype=np.int64), pa.array([], pa.large_string()))
+        self.parts, self.n = [], 0
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), text.cast(pa.string()), pa.array(n, pa.int64())], ["key", "chunk", "n"])
+
+
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    folded = Folded()
+    for batch in batches:
+        for _, _, words, short in _chunks(batch.column(0)):
+            folded.add(words, short)
+            if folded.n >= FOLD:
+                folded.fold()
+                if folded.n >= FOLD // 2:
+                    yield folded.take()
+    yield folded.take()
+
+
+def _count_distinct(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = _open(path)
+        for batch in batches:
+            pieces = pa.array(_pieces(tokenizer, batch.column(1).to_pylist()), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pieces, batch.column(2)], ["key", "pieces", "n"])
+
+    return run
+
+
+def piece_counts(texts: DataFrame, tokenizer_path: str) -> DataFrame:
+    """key, pieces, n: for each distinct pre-token of ``texts`` (text) its hash, its pieces and its frequency."""
+    folded = texts.mapInArrow(_distinct, "key long, chunk string, n long")
+    distinct = folded.repartition("key").groupBy("key").agg(F.min("chunk").alias("chunk"), F.sum("n").alias("n"))
+    return distinct.mapInArrow(_count_distinct(tokenizer_path), "key long, pieces long, n long")
+
+
+def _sums(path: str, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = PieceCounts(_open(path))
+        keys, pieces = shared.value
+        tokenizer = None
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            n: list[int] = []
-            part: list[str] = []
-            size = 0
-            for t in texts:
-                part.append(t)
-                size += len(t)
-                if size >= group:
-                    n += count_texts(part, counts)
-                    part, size = [], 0
-            n += count_texts(part, counts)
-            arrays = [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            text, known, rare_n, rare_keys, rare_counts = batch.column(1), [], [], [], []
+            for a, b, words, short in _chunks(text):
+                at = np.minimum(np.searchsorted(keys, words.hash), max(len(keys) - 1, 0))
+                hit = short & (keys[at] == words.hash) if len(keys) else np.zeros(len(short), dtype=bool)
+                value = np.where(hit, pieces[at], 0) if len(keys) else np.zeros(len(short), dtype=np.int64)
+                alone = np.flatnonzero(~short)
+                if len(alone):
+                    tokenizer = tokenizer or _open(path)
+                    value[alone] = _pieces(tokenizer, [words.data[words.start[i] : words.end[i]].tobytes().decode() for i in alone])
+                known.append(np.bincount(words.row, weights=value, minlength=b - a).astype(np.int64))
+                rest = np.flatnonzero(short & ~hit)
+                order = np.lexsort((words.hash[rest], words.row[rest]))
+                row, key = words.row[rest][order], words.hash[rest][order]
+                new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (key[1:] != key[:-1])))) if len(row) else np.empty(0, dtype=np.int64)
+                rare_keys.append(key[new].view(np.int64))
+                rare_counts.append(np.diff(np.append(new, len(row))).astype(np.int64))
+                rare_n.append(np.bincount(row[new], minlength=b - a) if len(new) else np.zeros(b - a, dtype=np.int64))
+            ends = np.concatenate([[0], *[x.astype(np.int64) for x in rare_n]]).cumsum()
+            none = np.empty(0, dtype=np.int64)
+            pairs = pa.StructArray.from_arrays([pa.array(np.concatenate([none, *rare_keys])), pa.array(np.concatenate([none, *rare_counts]))], ["key", "n"])
+            rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.concatenate([none, *known])), rare], ["doc_id", "n_bytes", "known", "rare"])
 
     return run
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, group: int = 1 << 20) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, common: int = COMMON) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit for every row of ``docs``.
 
-    ``tokenizer_path`` is read on the executors.  Null texts are empty and have no tokens; repeated rows give equal
-    rows; texts are taken ``group`` characters at a time, longer ones alone; other columns are not read."""
+    ``tokenizer_path`` is read on the executors.  Null and empty texts have no tokens; repeated rows give equal rows; very
+    long texts are cut like others and never shuffled; pre-tokens of equal frequency are broadcast or joined, with the
+    same result; a null doc_id is passed on; an empty table gives an empty table; other columns, clashing ones too, are not read."""
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
-    return rows.mapInArrow(_count(tokenizer_path, limit, group), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    table = keep(piece_counts(rows.select("text"), tokenizer_path))
+    top = table.orderBy(F.desc("n"), "key").limit(common).select("key", "pieces").toPandas()
+    order = np.argsort(top["key"].to_numpy(dtype=np.int64).view(U))
+    shared = spark.sparkContext.broadcast((top["key"].to_numpy(dtype=np.int64).view(U)[order], top["pieces"].to_numpy(dtype=np.int64)[order]))
+    schema = "doc_id long, n_bytes long, known long, rare array<struct<key:long,n:long>>"
+    summed = rows.mapInArrow(_sums(tokenizer_path, shared), schema)
+    if len(top) < common:
+        out = summed.select("doc_id", "n_bytes", F.col("known").alias("n_tokens"))
+    else:
+        summed = keep(summed.withColumn("row", F.monotonically_increasing_id()))
+        rare = summed.select("row", F.explode("rare").alias("r")).select("row", "r.key", "r.n").join(table.select("key", "pieces"), "key")
+        more = rare.groupBy("row").agg(F.sum(F.col("n") * F.col("pieces")).alias("more"))
+        out = summed.drop("rare").join(more, "row", "left").select("doc_id", "n_bytes", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_tokens"))
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

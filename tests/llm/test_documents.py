@@ -216,6 +216,23 @@ def test_token_counts_equal_the_library(spark):
     assert token_counts(docs.limit(0), path).count() == 0
 
 
+def test_rare_pre_tokens_are_joined(spark, data, monkeypatch):
+    """The same counts with one, ten and all pre-tokens broadcast, and with small folds."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from spanloom.llm import tokens
+
+    path = public_tokenizers.path(Q.TOKENIZER)
+    t = Tokenizer.from_file(path)
+    docs = spark.read.parquet(f"{data}/documents.parquet").withColumn("n_tokens", F.lit("x"))
+    docs = docs.union(docs.filter("doc_id % 9 = 0")).union(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    want = Counter((r.doc_id, len(t.encode(r.text or "", add_special_tokens=False))) for r in docs.select("doc_id", "text").collect())
+    monkeypatch.setattr(tokens, "FOLD", 500)
+    for common in (1, 10, 1_000_000):
+        assert Counter((r.doc_id, r.n_tokens) for r in tokens.token_counts(docs, path, common=common).collect()) == want
+
+
 # ---- decontamination
 
 ITEM = "If Maria buys 12 apples for 5 dollars each and then Maria sells 3 of the apples, how many apples has Maria got left in the basket?"
