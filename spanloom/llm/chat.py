@@ -16,8 +16,9 @@ START, END, TRAINED_ROLE = "<|im_start|>", "<|im_end|>", "assistant"
 
 
 def escaped(text: Column) -> Column:
-    """Content cannot imitate a mark: "<|" becomes "< |"; a null text is empty."""
-    return F.replace(F.coalesce(text, F.lit("")), F.lit("<|"), F.lit("< |"))
+    """Neither a text nor a role can imitate a mark: "<" and "|" with n spaces between get one more, so different texts stay
+    different; null is empty."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"<( *)\|", "< $1|")
 
 
 def _side(turns: Column, side: int) -> Column:
@@ -29,10 +30,12 @@ def preference_pairs(turns: DataFrame, pair: Column, side: Column, order: list[s
 
     ``turns`` has role and text; ``pair`` and ``side`` (0 chosen, 1 rejected) are expressions over it and ``order`` puts a
     side's turns in order (ties by role, then text; nulls first).  Rows whose pair is null belong to no conversation and
-    are left out.  Turns are equal where role and text are, nulls as empty.  Masks are the trained spans of a completion
+    are left out; extra columns, clashing ones too, are not read; repeated rows are turns of their own; an empty table
+    gives no pairs.  A conversation is rendered whole, so its length is bounded by what one row may hold (2 GB).  Turns are
+    equal where role and text are, nulls as empty.  Masks are the trained spans of a completion
     as start:end, comma-joined, in code points.  status: pair; identical (both completions are empty); extended (one is);
     unpaired (a side is missing: all of the other is its completion)."""
-    role = F.coalesce(F.col("role"), F.lit(""))
+    role = escaped(F.col("role"))
     rows = turns.select(pair.cast("long").alias("pair_id"), side.cast("int").alias("side"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], role.alias("role"), escaped(F.col("text")).alias("text"))
     rows = rows.filter("pair_id is not null and side in (0, 1)").repartition("pair_id")
     head = F.concat(F.lit(START), F.col("role"), F.lit("\n"))
@@ -81,15 +84,16 @@ def preference_pairs(turns: DataFrame, pair: Column, side: Column, order: list[s
 
 def neighbour_pairs(conversations: DataFrame) -> DataFrame:
     """The pairs of the conversations table, which names none: conv_id 2k is chosen over 2k + 1."""
-    return preference_pairs(conversations, F.floor(F.col("conv_id") / 2), F.pmod("conv_id", F.lit(2)), ["turn"])
+    return preference_pairs(conversations, F.shiftright("conv_id", 1), F.pmod("conv_id", F.lit(2)), ["turn"])
 
 
+_ESCAPED = "regexp_replace(coalesce({0}, ''), '<( *)\\|', '< \\1|', 'g')"
 ORACLE = f"""
 WITH t AS (
-  SELECT CAST(floor(conv_id / 2.0) AS BIGINT) AS pair_id, conv_id % 2 AS side, coalesce(role, '') AS role,
-    '{START}' || coalesce(role, '') || chr(10) || replace(coalesce(text, ''), '<|', '< |') || '{END}' || chr(10) AS shown,
-    length('{START}' || coalesce(role, '') || chr(10)) AS head,
-    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), text NULLS FIRST) AS ord
+  SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, {_ESCAPED.format("role")} AS role,
+    '{START}' || {_ESCAPED.format("role")} || chr(10) || {_ESCAPED.format("text")} || '{END}' || chr(10) AS shown,
+    length('{START}' || {_ESCAPED.format("role")} || chr(10)) AS head,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, {_ESCAPED.format("role")}, {_ESCAPED.format("text")}) AS ord
   FROM conversations WHERE conv_id IS NOT NULL),
 o AS (SELECT *, sum(length(shown)) OVER (PARTITION BY pair_id, side ORDER BY ord) AS stop FROM t),
 j AS (SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.ord, b.ord) AS ord, a.ord IS NOT NULL AS ina, b.ord IS NOT NULL AS inb,

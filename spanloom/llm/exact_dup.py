@@ -49,7 +49,8 @@ def exact_duplicates(docs: DataFrame, digest=sha256, salts: int = SALTS) -> Data
         .select("digest", "contents", "t.keep_id", "t.group_size", "t.used", F.when(F.col("contents") > 1, F.col("t.content")).alias("content"))
     )
     winners = keep(whole).select("digest", "contents", "keep_id", "group_size", "content", F.explode("used").alias("salt"))
-    thin = rows.select("doc_id", "digest", "salt", F.sha2("content", 256).alias("text_sha256"))
+    hashed = F.lower(F.hex("digest")) if digest is sha256 else F.sha2("content", 256)
+    thin = rows.select("doc_id", "digest", "salt", hashed.alias("text_sha256"))
     out = thin.join(winners.filter("contents = 1").drop("contents", "content"), ["digest", "salt"])
     clashes = winners.filter("contents > 1")
     if not clashes.isEmpty():

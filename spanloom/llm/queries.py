@@ -17,17 +17,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of each document that the mix takes: its size times its draws."""
+    """Words of each document that the mix takes: its size times its draws, told as epoch:shard:place in the shard's shuffle."""
+
+    def _draw(d):
+        key = F.xxhash64(F.lit(mixing.SEED), d["shard"], d["epoch"], F.col("doc_id"))
+        return F.concat_ws(":", d["epoch"].cast("string"), d["shard"].cast("string"), key.cast("string"))
+
     drawn = mixing.with_draws(table(spark, sf_dir, "documents"))
-    return drawn.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), F.array_join(F.transform("draws", lambda d: d["shard"].cast("string")), ",").alias("out_shards"))
+    return drawn.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), F.array_join(F.transform("draws", _draw), ",").alias("draws"))
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.find_secrets(table(spark, sf_dir, "documents")).drop("found")
+    return secrets.find_secrets(table(spark, sf_dir, "documents"), found=False)
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_rows(table(spark, sf_dir, "documents"), 40)
+    return sharding.shard_rows(table(spark, sf_dir, "documents"), 40, sharding.map_folder(spark, sf_dir))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -156,7 +156,7 @@ def render(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def _scan(allow: tuple[str, ...]):
+def _scan(allow: tuple[str, ...], found_too: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pattern = allowed(allow)
         for batch in batches:
@@ -169,20 +169,24 @@ def _scan(allow: tuple[str, ...]):
                     c.append(sum(1 for x in base if x[1] == k))
                 cols[3].append(hashlib.sha256(render(base).encode()).hexdigest())
                 cols[4].append(render(every))
-                cols[5].append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in every])
+                if found_too:
+                    cols[5].append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in every])
             found = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-            arrays = [batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.string()) for c in cols[3:5]), pa.array(cols[5], found)]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "found"])
+            arrays = [batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.string()) for c in cols[3:5])]
+            names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+            yield pa.RecordBatch.from_arrays(arrays + ([pa.array(cols[5], found)] if found_too else []), names + (["found"] if found_too else []))
 
     return run
 
 
-def find_secrets(docs: DataFrame, allow: tuple[str, ...] = ALLOW) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, found (array of kind, start, end) for every row.
+def find_secrets(docs: DataFrame, allow: tuple[str, ...] = ALLOW, found: bool = True) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, and if asked found (array of kind, start, end) for every row.
 
-    Null texts are empty; rows are independent of each other, so repeats give equal rows; other columns are not read."""
-    schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, found array<struct<kind:string,start:long,end:long>>"
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(_scan(tuple(allow)), schema)
+    Null and empty texts hold nothing; rows are independent of each other, so repeats give equal rows; very long texts are
+    scanned whole, in time that grows with their length; spans that start together are told in the order of the kinds; an
+    empty table gives an empty table; other columns, clashing ones too, are not read."""
+    schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string" + (", found array<struct<kind:string,start:long,end:long>>" if found else "")
+    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(_scan(tuple(allow), found), schema)
 
 
 def redact(text: str, mark: str = "[secret]") -> str:

@@ -34,6 +34,13 @@ def kept_at(df: DataFrame) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def exists(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that match ``pattern``, in any file system that Spark reads."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target)
+    return sorted(str(x.getPath()) for x in found or [])
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Remove a table that nothing reads any more."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

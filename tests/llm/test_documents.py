@@ -111,6 +111,58 @@ def test_mix_follows_targets_and_repeats(spark, data):
     assert all(abs(taken[s] - target[s]) <= 0.15 * target[s] + 20 for s in target)
 
 
+def test_many_sources_are_planned_in_bundles(spark, monkeypatch):
+    """The same targets as on the driver, and taken words near them, with one hot source and a null one."""
+    rows = [(i, " ".join(["w"] * (1 + i % 5)), None if i % 97 == 0 else f"s{i % 60:02d}" if i % 3 else "hot") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("draws", F.lit(1)).repartition(3)
+    want = {r.source: (r.source_size, r.target) for r in mixing.drawn(docs).select("row.source", "source_size", "target").distinct().collect()}
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 5)
+    monkeypatch.setattr(mixing, "BUNDLE_ROWS", 200)
+    got = mixing.drawn(docs, n_shards=4).select("row.doc_id", "row.source", "size", "source_size", "target", "draws").collect()
+    assert sorted(r.doc_id for r in got) == list(range(4000))
+    taken: dict = {}
+    shards = Counter()
+    for r in got:
+        assert want[r.source] == (r.source_size, pytest.approx(r.target)) and len(r.draws) <= 3 and len({d.epoch for d in r.draws}) == len(r.draws)
+        taken[r.source] = taken.get(r.source, 0) + r.size * len(r.draws)
+        shards.update(d.shard for d in r.draws)
+    assert all(abs(taken[s] - t) <= 12 for s, (_, t) in want.items()) and set(shards) == set(range(4)) and max(shards.values()) < 1.3 * min(shards.values())
+    again = mixing.drawn(docs, n_shards=4).select("row.doc_id", "draws").collect()
+    assert Counter((r.doc_id, str(r.draws)) for r in again) == Counter((r.doc_id, str(r.draws)) for r in got)
+
+
+def test_mix_is_written_shuffled_by_shard(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "a b c", "x" if i % 3 else "y") for i in range(300)], "doc_id long, text string, source string")
+    mixing.write_mix(mixing.mixed(docs, n_shards=3), str(tmp_path / "mix"))
+    back = spark.read.parquet(str(tmp_path / "mix"))
+    want = Counter(r.doc_id for r in mixing.copies(docs, n_shards=3).collect())
+    assert Counter(r.doc_id for r in back.collect()) == want and {r.out_shard for r in back.collect()} == {0, 1, 2}
+    files = back.withColumn("f", F.input_file_name()).groupBy("f").agg(F.collect_list("order_key").alias("k")).collect()
+    assert all(r.k == sorted(r.k) for r in files)
+
+
+def test_map_is_stored_and_edited(spark, tmp_path):
+    folder = str(tmp_path / "map")
+    docs = spark.createDataFrame([(i, "t" * (i % 50)) for i in range(3000)], "doc_id long, text string")
+    first = {r.doc_id: (r.shard, r.map_version) for r in sharding.shard_rows(docs, 5, folder).collect()}
+    again = {r.doc_id: (r.shard, r.map_version) for r in sharding.shard_rows(docs, 5, folder).collect()}
+    assert first == again and {v for _, v in first.values()} == {1}
+    more = docs.union(spark.createDataFrame([(i, "x" * 300) for i in range(3000, 3400)], "doc_id long, text string"))
+    rows = sharding.shard_rows(more, 5, folder).collect()
+    loads = Counter()
+    for r in rows:
+        loads[r.shard] += r.size
+    assert {r.map_version for r in rows} == {2} and max(loads.values()) < 1.01 * min(loads.values())
+    assert sum(first[r.doc_id][0] == r.shard for r in rows if r.doc_id < 3000) > 2000
+    assert {r.map_version for r in sharding.shard_rows(more, 6, folder).collect()} == {3} and {r.map_version for r in sharding.shard_rows(more, 4, folder).collect()} == {4}
+    hot = spark.createDataFrame([(None, f"text {i}") for i in range(2000)], "doc_id long, text string")
+    rows = sharding.shard_rows(hot, 4).collect()
+    assert max(Counter(r.shard for r in rows).values()) < 600 and len({(r.shard, r.slot) for r in rows}) == 2000
+    parts = sharding.shard(more, 5, folder=folder)[0]
+    sharding.write_shards(parts, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 3400
+
+
 def test_copies_of_an_epoch_are_disjoint(spark):
     docs = spark.createDataFrame([(i, "w " * (1 + i % 9), "ab"[i % 2], "x") for i in range(300)] + [(None, None, None, "y")], "doc_id long, text string, source string, epoch string")
     rows = mixing.mixed(docs, n_shards=5).collect()
