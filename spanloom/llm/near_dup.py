@@ -4,14 +4,16 @@
    of its SuperMinHash signature.  Texts and sets are not kept.
 2. Documents with equal sets are one *class* (their similarity is 1); only the class's smallest doc_id goes on, so a
    group of thousands of copies costs one row from here.
-3. Classes that share a band key become candidates.  Each bucket emits edges from its smallest member (linear in the
-   bucket), and their components are *clusters*: whoever shares a bucket is in one cluster, so no pair is lost to the
-   star shape.
-4. A Bloom filter of fixed size picks the texts of clustered classes in a second pass.  Each cluster is compared
-   exactly on full sets: sets with too many shingles that no other member has are ruled out first, the rest meet in one
-   sparse count of common shingles.  Large clusters are dealt into blocks of bounded size, a task for each pair of
-   blocks.  A task emits spanning links, never pairs.
-5. Links of many-block clusters meet in the components step again; the smallest doc_id names each component.
+3. Classes that share a band key become candidates.  A bucket is split by SALTS; each part links its members to its
+   smallest one, and these to the smallest of the bucket: linear in the bucket, and no task has more than a salt's share
+   of a hot key.  Components of these links are *clusters*: whoever shares a bucket is in one cluster, so no pair is lost.
+4. Texts of clustered classes are picked in a second pass by a Bloom filter.  First each class is compared, on full sets,
+   with the smallest of its centres; a group of near copies is joined by that alone, in linear work.
+5. Clusters that are still in pieces (more than two classes, and not all joined) are compared exactly: sets with too
+   many shingles that no other member has are ruled out first, the rest meet in one sparse count of common shingles.
+   Large clusters are dealt into blocks of bounded size, a task for each pair of blocks.  Tasks emit spanning links, never
+   pairs.
+6. All links meet in the components step again; the smallest doc_id names each component.
 
 Bands: with 25 bands of 5 rows a pair at similarity 0.85 shares no band with probability 4e-7 (0.8: 5e-5).
 """
@@ -23,17 +25,18 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm.components import connected_components
 from spanloom.llm.shingles import Words, buffers, shingle_sets, shingles, slices
 from spanloom.llm.superminhash import band_keys, signatures
-from spanloom.llm.tables import keep, text_or_empty
+from spanloom.llm.tables import drop, keep, kept_at, text_or_empty
 
 M, ROWS, BANDS = 128, 5, 25
-BLOCK_SETS, BLOCK_SHINGLES = 1024, 2_000_000
-BLOOM_BITS = 1 << 23
+BLOCK_SETS, BLOCK_SHINGLES = 512, 2_000_000
+BLOOM_BITS, BLOOM_MOST, BITS_EACH = 1 << 23, 1 << 29, 12
+SALTS = 16
 
 
 def _sketch_batches(width: int, m: int, bands: int, rows: int):
@@ -66,27 +69,36 @@ def sketches(docs: DataFrame, width: int = 5, m: int = M, bands: int = BANDS, ro
     )
 
 
-def _bloom_at(ids: Column) -> Column:
-    return F.pmod(F.xxhash64(ids), F.lit(BLOOM_BITS))
+def bloom_bits(n: int) -> int:
+    """Size of the filter for ``n`` ids: a power of two with BITS_EACH bits for each, from 1 MB to 64 MB."""
+    bits = BLOOM_BITS
+    while bits < min(BITS_EACH * n, BLOOM_MOST):
+        bits *= 2
+    return bits
 
 
 def bloom_filter(ids: DataFrame, name: str) -> Column:
     """A test that holds for every id of the column and for few others.
 
-    The filter has BLOOM_BITS bits whatever the number of ids (at most 131,072 longs come to the driver), so its size is
-    bounded; more ids only let more rows through, and the join that follows decides."""
-    at = ids.select(_bloom_at(F.col(name)).alias("at"))
+    The driver gets the filter's words, 64 MB at most; above some 40 million ids more rows are let through, and the join
+    that follows decides."""
+    bits = bloom_bits(ids.count())
+
+    def place(c: Column) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(bits))
+
+    at = ids.select(place(F.col(name)).alias("at"))
     words = at.selectExpr("cast(at div 64 as int) i", "shiftleft(1L, cast(at % 64 as int)) w").groupBy("i").agg(F.bit_or("w").alias("w")).toPandas()
-    table = np.zeros(BLOOM_BITS // 64, dtype=np.int64)
+    table = np.zeros(bits // 64, dtype=np.int64)
     table[words["i"].to_numpy(dtype=np.int64)] = words["w"].to_numpy(dtype=np.int64)
-    bits = ids.sparkSession.sparkContext.broadcast(table)
+    shared = ids.sparkSession.sparkContext.broadcast(table)
 
     @F.pandas_udf("boolean")
     def hit(position):
         p = position.to_numpy(dtype=np.int64)
-        return position.__class__(((bits.value[p >> 6] >> (p & 63)) & 1).astype(bool))
+        return position.__class__(((shared.value[p >> 6] >> (p & 63)) & 1).astype(bool))
 
-    return hit(_bloom_at(F.col("doc_id")))
+    return hit(place(F.col("doc_id")))
 
 
 def _common_counts(code: np.ndarray, owner: np.ndarray, df: np.ndarray, live: np.ndarray, n: int) -> np.ndarray:
@@ -175,32 +187,93 @@ def _verify_batches(width: int, per_cent: int):
     return run
 
 
+def _star_batches(width: int, per_cent: int):
+    """Rows (center, salt, member, doc_id, text) come sorted so that a centre's own text precedes its members; the sets of
+    one centre and one batch are held at a time."""
+
+    def linked(a: np.ndarray, b: np.ndarray) -> bool:
+        if 100 * min(len(a), len(b)) < per_cent * max(len(a), len(b)):
+            return False
+        common = len(np.intersect1d(a, b, assume_unique=True))
+        return 100 * common >= per_cent * (len(a) + len(b) - common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own = None, []
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            rows = zip(*(batch.column(c).to_pylist() for c in range(4)), shingle_sets(batch.column(4), width), strict=True)
+            for center, salt, member, doc_id, shingle_set in rows:
+                if (center, salt) != key:
+                    key, own = (center, salt), []
+                if not member:
+                    own.append(shingle_set)
+                elif len(shingle_set) and any(linked(shingle_set, x) for x in own):
+                    out.append((doc_id, center))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _bucket_links(classes: DataFrame) -> DataFrame:
+    """(rep, center) for classes (rep, bands) that share a band key; no key is held by one task as a whole."""
+    band = classes.select("rep", F.explode("bands").alias("key")).withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)))
+    part = Window.partitionBy("key", "salt")
+    parts = band.withColumn("center", F.min("rep").over(part))
+    tops = band.groupBy("key", "salt").agg(F.min("rep").alias("rep")).withColumn("center", F.min("rep").over(Window.partitionBy("key")))
+    tops = tops.filter("rep <> center").select("rep", "center")
+    return parts.filter("rep <> center").select("rep", "center").union(tops).distinct()
+
+
 def near_duplicates(docs: DataFrame, per_cent: int = 85, width: int = 5, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (needs doc_id and text).
 
     Documents are linked where 100 * intersection >= per_cent * union of their shingle sets; component_id is the
     smallest doc_id reachable.  Null and empty texts have no shingles and are linked with nothing.  A row whose doc_id
     is null is never linked: its component_id is null and it is kept.  Rows repeated with the same doc_id and text agree in
-    everything.  kept: doc_id = component_id.  Other columns of ``docs`` are not read."""
+    everything.  kept: doc_id = component_id.  Very long texts are compared whole; an empty table gives an empty table; other
+    columns of ``docs``, clashing ones too, are not read."""
+    spark, spent = docs.sparkSession, []
+
+    def held(df: DataFrame) -> DataFrame:
+        """Kept until the result's last step is written."""
+        table, path = kept_at(df)
+        spent.append(path)
+        return table
+
     base = keep(sketches(docs, width))
     linked = base.filter("digest is not null and doc_id is not null")
-    classes = keep(linked.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.max("n_shingles").alias("n")))
-    band = classes.select("rep", F.explode("bands").alias("key"))
-    buckets = keep(band.groupBy("key").agg(F.min("rep").alias("center"), F.count("*").alias("n")).filter("n > 1").select("key", "center"))
-    clusters = connected_components(band.join(buckets, "key").select("rep", "center"), "rep", "center")
-    members = keep(clusters.join(classes.groupBy(F.col("rep").alias("node")).agg(F.sum("n").alias("n")), "node"))
+    classes = keep(linked.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.max("n_shingles").alias("n"), F.count("*").alias("rows")))
+    links = held(_bucket_links(classes))
+    clusters = held(connected_components(links, "rep", "center"))
+    texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).filter("doc_id is not null").filter(bloom_filter(clusters, "node"))
+    # each class against the smallest of its centres
+    star = links.groupBy("rep").agg(F.min("center").alias("center")).withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)))
+    own = star.select("center", "salt").distinct().select("center", "salt", F.lit(False).alias("member"), F.col("center").alias("id"))
+    ask = own.union(star.select("center", "salt", F.lit(True), "rep"))
+    rows = texts.join(ask, F.col("doc_id") == F.col("id")).select("center", "salt", "member", "doc_id", "text")
+    joined = held(rows.repartition("center", "salt").sortWithinPartitions("center", "salt", "member", "doc_id").mapInArrow(_star_batches(width, per_cent), "a long, b long"))
+    pieces = held(connected_components(joined, "a", "b"))
+    # clusters that this left in pieces; a cluster of two has no other pair
+    told = clusters.join(pieces.withColumnRenamed("component", "piece"), "node", "left").withColumn("piece", F.coalesce("piece", "node"))
+    open_ = told.groupBy("component").agg(F.count("*").alias("members"), F.min("piece").alias("lo"), F.max("piece").alias("hi")).filter("members > 2 and lo <> hi").select("component")
+    sizes = classes.groupBy(F.col("rep").alias("node")).agg(F.sum("n").alias("n"))
+    members = held(clusters.join(open_, "component", "left_semi").join(sizes, "node"))
     dealt = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks"))
     placed = members.join(dealt, "component").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     spread = placed.select("node", "component", "side", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         "node", F.col("component").alias("cluster"), F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side"
     )
-    texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).filter("doc_id is not null").filter(bloom_filter(members, "node"))
     rows = texts.join(spread, F.col("doc_id") == F.col("node")).select("cluster", "i", "j", "side", "doc_id", "text")
-    pairs = keep(rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "doc_id").mapInArrow(_verify_batches(width, per_cent), "a long, b long"))
-    # links across blocks meet here
-    final = keep(connected_components(pairs, "a", "b"))
-    classes = classes.select("digest", "rep").join(final, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("root"))
-    out = base.drop("bands").join(keep(classes), "digest", "left")
+    pairs = held(rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "doc_id").mapInArrow(_verify_batches(width, per_cent), "a long, b long"))
+    final = connected_components(joined.union(pairs), "a", "b")
+    # only classes that have copies or links are told to the rows; a hot class in SALTS parts
+    root = classes.select("digest", "rep", "rows").join(final, F.col("rep") == F.col("node"), "left").filter("rows > 1 or component is not null")
+    root = keep(root.select("digest", F.coalesce("component", "rep").alias("root"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
+    for path in spent:
+        drop(spark, path)
+    thin = base.drop("bands").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    alone = thin.filter("digest is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("root"))
+    out = thin.filter("digest is not null").join(root, ["digest", "salt"], "left").select("doc_id", "n_shingles", "root").union(alone)
     return out.select(
         "doc_id",
         "n_shingles",
