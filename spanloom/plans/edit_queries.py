@@ -121,14 +121,19 @@ def _fix_labels(add: bool) -> str:
     )
 
 
+def _reversed(votes):
+    """Every other voter names its labels in the other order, which is the same set."""
+    return votes.withColumn("assertions", F.when(F.col("voter_ord") % 2 == 1, F.reverse("assertions")).otherwise(F.col("assertions")))
+
+
 @query(_fix_labels(False))
 def fix_assertions_full(spark, d):
-    return V.flat(E.fix_assertions(V.base(spark, d), V.others(spark, d), 2).select(*_BASE, "changed"))
+    return V.flat(E.fix_assertions(V.base(spark, d), _reversed(V.others(spark, d)), 2).select(*_BASE, "changed"))
 
 
 @query(_fix_labels(True))
 def fix_assertions_add(spark, d):
-    return V.flat(E.fix_assertions(V.base(spark, d), V.others(spark, d), 2, "add").select(*_BASE, "changed"))
+    return V.flat(E.fix_assertions(V.base(spark, d), _reversed(V.others(spark, d)), 2, "add").select(*_BASE, "changed"))
 
 
 @query(
@@ -170,6 +175,94 @@ def diff_sets(spark, d):
     return V.flat(E.diff(_gold(spark, d), _pred(spark, d)))
 
 
+# ---- edits of a coded set: changed rows are coded anew
+_CODED = [*_BASE, "codes"]
+_CB = 'b.doc_id, b.base_ord, b.s AS "start", b.e AS "end", b.type, b.text, b.asr AS assertions'
+_CODES_OF = "coalesce((SELECT max(codes) FROM cmap m WHERE m.surface = lower(trim({0})) AND m.type = {1}), '')"
+
+
+def _coded_base(spark, d):
+    return _gold(spark, d).withColumnRenamed("ord", "base_ord").select(*_CODED)
+
+
+@query(
+    V.sql(
+        f"SELECT {_K}, text, n_votes, c.asr AS assertions, coalesce(m.codes, '') AS codes FROM oc c LEFT JOIN (SELECT surface, type AS mt, codes FROM cmap) m ON m.surface = lower(trim(c.text)) AND m.mt = c.type "
+        "WHERE n_votes >= 2 AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = c.doc_id AND b.s < c.e AND b.e > c.s)",
+        "base", "okey", "omode", "cmap", extra=_OCONS,
+    )
+)
+def augment_coded(spark, d):
+    out = E.augment(V.base(spark, d), V.others(spark, d), 2, codes=V.code_map(spark, d))
+    return V.flat(out.select("doc_id", "start", "end", "type", "text", "n_votes", "assertions", "codes"))
+
+
+@query(
+    _fix_spans(True).rsplit("SELECT b.doc_id", 1)[0].rstrip()
+    + ",\n"
+    + ",\n".join(f"{n} AS ({V.SQL[n]})" for n in ("coded", "cmap"))
+    + f""",\nga AS ({_SETS["ga"]}),
+fixed AS (SELECT b.doc_id, b.base_ord, coalesce(rs, b.s) AS s, coalesce(re, b.e) AS e, coalesce(rt, b.type) AS type, coalesce(rx, b.text) AS text, b.asr, b.codes AS old, rs IS NOT NULL AS changed
+  FROM ga b LEFT JOIN won w ON w.doc_id = b.doc_id AND w.base_ord = b.base_ord)
+SELECT doc_id, base_ord, s AS "start", e AS "end", f.type, text, asr AS assertions, CASE WHEN changed THEN coalesce(m.codes, '') ELSE old END AS codes
+FROM fixed f LEFT JOIN cmap m ON m.surface = lower(trim(f.text)) AND m.type = f.type"""
+)
+def fix_spans_coded(spark, d):
+    return V.flat(E.fix_spans(_coded_base(spark, d), V.others(spark, d), 2, both=True, codes=V.code_map(spark, d)).select(*_CODED))
+
+
+@query(
+    V.sql(
+        """SELECT t.doc_id, t.base_ord, CASE WHEN won THEN ns ELSE s END AS "start", CASE WHEN won THEN ne ELSE e END AS "end", t.type, CASE WHEN won THEN new ELSE t.text END AS text, asr AS assertions,
+          CASE WHEN won THEN coalesce(m.codes, '') ELSE t.codes END AS codes,
+          CASE WHEN new IS NULL THEN 'no proposal' WHEN NOT fits THEN 'not a shorter piece' WHEN NOT ok THEN 'not verbatim' WHEN NOT won THEN 'bounds taken' ELSE 'tightened' END AS outcome
+        FROM (SELECT *, ok AND row_number() OVER (PARTITION BY doc_id, ok, ns, ne ORDER BY base_ord) = 1 AS won FROM v) t LEFT JOIN cmap m ON m.surface = lower(trim(t.new)) AND m.type = t.type""",
+        "base", "cmap", "docs",
+        extra={
+            "gb": "SELECT b.* EXCLUDE (s, e), s + CASE WHEN s % 31 = 0 THEN 1 ELSE 0 END AS s, e + CASE WHEN s % 31 = 0 THEN 1 ELSE 0 END AS e, coalesce(m.codes, '') AS codes FROM base b LEFT JOIN cmap m ON m.surface = lower(trim(b.text)) AND m.type = b.type",
+            "prop": "SELECT DISTINCT doc_id, text AS old, CASE WHEN doc_id % 7 = 0 THEN text ELSE split_part(text, ' ', 1) END AS new FROM base WHERE doc_id % 2 = 0",
+            "j": """SELECT b.*, new, coalesce(length(new) > 0 AND length(new) < length(text) AND instr(text, new) > 0, false) AS fits, s + instr(text, new) - 1 AS ns, s + instr(text, new) - 1 + length(new) AS ne
+              FROM gb b LEFT JOIN prop p ON p.doc_id = b.doc_id AND p.old = b.text""",
+            "v": "SELECT j.*, fits AND coalesce(substr(body, ns + 1, ne - ns) = new, false) AS ok FROM j JOIN docs USING (doc_id)",
+        },
+    )
+)
+def tighten_coded(spark, d):
+    """Codes of the shorter texts, and bounds that are off by one now and then, which must not be tightened."""
+    base = _coded_base(spark, d)
+    new = F.when(F.col("doc_id") % 7 == 0, F.col("text")).otherwise(F.split_part("text", F.lit(" "), F.lit(1)))
+    proposals = base.filter("doc_id % 2 = 0").select("doc_id", F.col("text").alias("old"), new.alias("new")).distinct()
+    off = F.when(F.col("start") % 31 == 0, 1).otherwise(0)
+    base = base.withColumn("_off", off).withColumn("start", F.col("start") + F.col("_off")).withColumn("end", F.col("end") + F.col("_off")).drop("_off")
+    return V.flat(E.tighten(base, proposals, V.docs(spark, d), V.code_map(spark, d)).select(*_CODED, "outcome"))
+
+
+@query(
+    V.sql(
+        f"""SELECT {_CB.replace("b.type", "coalesce(t.lo, b.type) AS type")}, CASE WHEN coalesce(t.lo <> b.type, false) AND t.lo NOT IN ('{vocab.DIAGNOSIS}', '{vocab.DRUG}') THEN '' ELSE codes END AS codes
+        FROM ga b LEFT JOIN tv t ON t.doc_id = b.doc_id AND t.s = b.s AND t.e = b.e""",
+        "base", "cmap", extra={"ga": _SETS["ga"], "tv": "SELECT doc_id, s, e, min(type) AS lo FROM votes WHERE voter <> 'a' GROUP BY ALL HAVING count(*) >= 2 AND min(type) = max(type)"},
+    )
+)
+def fix_types_coded(spark, d):
+    return V.flat(E.fix_types(_coded_base(spark, d), V.others(spark, d), 2).select(*_CODED))
+
+
+@query(
+    V.sql(
+        f"SELECT {_B} FROM base b WHERE NOT (b.type IN ('{vocab.DRUG}', '{vocab.SYMPTOM}') AND doc_id IN (SELECT doc_id FROM cov) AND EXISTS (SELECT 1 FROM bad WHERE bad.sf = lower(trim(b.text)) AND bad.type = b.type))",
+        "base", extra=_uncorroborated(2),
+    )
+)
+def prune_some_types(spark, d):
+    return V.flat(E.prune_uncorroborated(V.base(spark, d), V.others(spark, d), 2, types=(vocab.DRUG, vocab.SYMPTOM)).select(*_BASE))
+
+
+@query(V.sql(f"SELECT {_B} FROM base WHERE lower(trim(text)) NOT IN ({_WEAK})", "base"))
+def prune_weak(spark, d):
+    return V.flat(E.prune_weak(V.base(spark, d)).select(*_BASE))
+
+
 _MODE_KEYS = {"text_type": "lt, type", "pos_type": "s, e, type", "text_pos_type": "lt, s, e, type"}
 
 
