@@ -56,19 +56,21 @@ def cluster_consensus(votes: DataFrame, k: int, trusted: str | None = None) -> D
     """Clusters of overlapping spans of one type, kept with k voters or the trusted one: doc_id, type, start, end,
     support, assertion.  Bounds and label are the cluster's modes, of the trusted voter's votes where it has any."""
     spans = islands(votes, ["doc_id", "type"])
-    is_trusted = F.col("voter") == trusted if trusted else F.lit(False)
+    t = F.col("voter") == trusted if trusted else F.lit(False)
     keys = ["doc_id", "type", "island"]
-    weigh = spans.withColumn("_t", is_trusted).withColumn("_bounds", F.struct("start", "end"))
-    head = weigh.groupBy(*keys).agg(F.bit_count(F.bit_or(voter_bit())).cast("int").alias("support"), F.bool_or("_t").alias("has_trusted"))
-
-    def mode(value: str) -> DataFrame:
-        # a trusted vote outranks any number of others
-        n = weigh.groupBy(*keys, value).agg(F.count_if("_t").alias("t"), F.count("*").alias("n"), F.min(F.when(F.col("_t"), F.struct("voter_ord", "item_ord"))).alias("ft"), F.min(F.struct("voter_ord", "item_ord")).alias("f"))
-        least = F.struct((-F.col("t")).alias("t"), F.when(F.col("t") > 0, F.col("ft")).alias("ft"), (-F.when(F.col("t") > 0, 0).otherwise(F.col("n"))).alias("n"), F.col("f"))
-        return n.groupBy(*keys).agg(F.min_by(value, least).alias(value))
-
-    out = head.join(mode("_bounds"), keys).join(mode("assertions"), keys).filter((F.col("support") >= k) | F.col("has_trusted"))
-    return out.select("doc_id", "type", "_bounds.start", "_bounds.end", "support", "assertions")
+    each = spans.select(*keys, "voter_ord", F.struct("voter_ord", "item_ord").alias("at"), F.struct("start", "end").alias("bounds"), "assertions", t.alias("t"))
+    # a vote counts once for its bounds and once for its labels: both modes in one pass over the exchange of the islands
+    sides = F.array(F.struct(F.col("bounds").alias("b"), F.lit(None).cast("array<string>").alias("a")), F.struct(F.lit(None).cast(each.schema["bounds"].dataType).alias("b"), F.col("assertions").alias("a")))
+    seen = each.withColumn("v", F.explode(sides)).groupBy(*keys, "v").agg(
+        F.count_if("t").alias("nt"), F.count("*").alias("n"), F.min(F.when(F.col("t"), F.col("at"))).alias("ft"), F.min("at").alias("f"), F.bit_or(voter_bit()).alias("bits"), F.bool_or("t").alias("has")
+    )
+    # a trusted vote outranks any number of others
+    least = F.struct((-F.col("nt")).alias("t"), F.when(F.col("nt") > 0, F.col("ft")).alias("ft"), (-F.when(F.col("nt") > 0, 0).otherwise(F.col("n"))).alias("n"), F.col("f"))
+    is_bounds = F.col("v.b").isNotNull()
+    best = seen.groupBy(*keys).agg(
+        F.min_by("v.b", F.when(is_bounds, least)).alias("b"), F.min_by("v.a", F.when(~is_bounds, least)).alias("assertions"), F.bit_count(F.bit_or("bits")).cast("int").alias("support"), F.bool_or("has").alias("has")
+    )
+    return best.filter((F.col("support") >= k) | F.col("has")).select("doc_id", "type", "b.start", "b.end", "support", "assertions")
 
 
 def covered_docs(votes: DataFrame) -> DataFrame:

@@ -98,35 +98,22 @@ def tolerant_json(spark, d):
 
 
 def _hits(need: str) -> dict[str, str]:
-    """CTE ``pos`` (doc_id, text, p): where the distinct texts of ``need`` occur.  Texts without a border cannot overlap
-    themselves, so the pieces between them give every place."""
+    """CTE ``pos`` (doc_id, text, p): every place, overlapping ones included, of the distinct texts of ``need``; a step of the
+    recursion finds the next place of each."""
     return {
-        "cut": f"SELECT n.doc_id, n.text, unnest(string_split(body, n.text)) AS piece, generate_subscripts(string_split(body, n.text), 1) AS j FROM ({need}) n JOIN docs USING (doc_id)",
-        "pos": """SELECT doc_id, text, (sum(length(piece)) OVER (PARTITION BY doc_id, text ORDER BY j) + (j - 1) * length(text))::BIGINT AS p FROM cut
-          QUALIFY j < count(*) OVER (PARTITION BY doc_id, text)""",
+        "need": need,
+        "pos": """SELECT doc_id, text, instr(body, text)::BIGINT - 1 AS p FROM need JOIN docs USING (doc_id) WHERE instr(body, text) > 0
+          UNION ALL SELECT h.doc_id, h.text, h.p + instr(substr(body, h.p + 2), h.text) FROM pos h JOIN docs d ON d.doc_id = h.doc_id WHERE instr(substr(body, h.p + 2), h.text) > 0""",
     }
 
 
-_PLAIN_SQL = "len(list_filter(range(1, length(text)), lambda k: left(text, k) = right(text, k))) = 0"
-_PLAIN = "not exists(sequence(1, length(text) - 1), k -> left(text, k) = right(text, k))"
-
-
-_NEEDLE = _hits(f"SELECT DISTINCT doc_id, text FROM mention WHERE s % 7 = 0 AND {_PLAIN_SQL}")
-
-
 @query(
     V.sql(
         "SELECT doc_id, text, count(*) AS n, min(p)::BIGINT AS first, max(p)::BIGINT AS last FROM pos GROUP BY ALL",
-        "mention", "docs", extra=_NEEDLE,
+        "mention", "docs", extra=_hits("SELECT DISTINCT doc_id, text FROM mention"),
     )
 )
 def locate_all(spark, d):
-    return _located(spark, d, V.mentions(spark, d).filter("start % 7 = 0").filter(_PLAIN))
-
-
-@query()
-def locate_all_whole(spark, d):
-    """Every mention, self-overlapping texts included, which the SQL of ``locate_all`` cannot tell."""
     return _located(spark, d, V.mentions(spark, d))
 
 
@@ -136,11 +123,9 @@ def _located(spark, d, mentions):
     return hits.groupBy("doc_id", "text").agg(F.count("*").alias("n"), F.min("start").cast("long").alias("first"), F.max("start").cast("long").alias("last"))
 
 
-def _requests(spark, d, whole=False):
-    """Requests with the context that a voter would quote: now and then off by a character, or short.  All votes if
-    ``whole``, else those that the SQL takes."""
-    votes = V.votes(spark, d)
-    m = L.with_context(votes if whole else votes.filter("voter_ord < 2 and start % 4 = 0").filter(_PLAIN), V.docs(spark, d))
+def _requests(spark, d):
+    """All votes as requests with the context that a voter would quote: now and then off by a character, or short."""
+    m = L.with_context(V.votes(spark, d), V.docs(spark, d))
     k = F.col("start") % 5
     before = F.when(k == 0, F.expr("right(left, 6)")).when(k == 1, F.concat(F.lit("x"), "left")).otherwise(F.col("left"))
     after = F.when(k == 1, F.expr("left(right, 6)")).when(k == 2, F.lit("")).otherwise(F.col("right"))
@@ -148,7 +133,7 @@ def _requests(spark, d, whole=False):
 
 
 _REQ = {
-    "vc": "SELECT v.*, substr(body, greatest(s - 15, 0) + 1, least(15, s)::BIGINT) AS l, substr(body, e + 1, 15) AS r FROM votes v JOIN docs USING (doc_id) WHERE voter_ord < 2 AND s % 4 = 0 AND " + _PLAIN_SQL,
+    "vc": "SELECT v.*, substr(body, greatest(s - 15, 0) + 1, least(15, s)::BIGINT) AS l, substr(body, e + 1, 15) AS r FROM votes v JOIN docs USING (doc_id)",
     "req": "SELECT doc_id, voter, item_ord, text, type, CASE s % 5 WHEN 0 THEN right(l, 6) WHEN 1 THEN 'x' || l ELSE l END AS bef, CASE s % 5 WHEN 1 THEN left(r, 6) WHEN 2 THEN '' ELSE r END AS aft FROM vc",
 } | _hits("SELECT DISTINCT doc_id, text FROM req") | {
     "hit": "SELECT doc_id, text, p, substr(body, greatest(p - 15, 0) + 1, least(15, p)) AS l, substr(body, p + length(text) + 1, 15) AS r FROM pos JOIN docs USING (doc_id)",
@@ -178,12 +163,6 @@ def locate_group_ordinal(spark, d):
     return V.flat(out.select("doc_id", "voter", "item_ord", "start", "reason"))
 
 
-@query()
-def locate_group_ordinal_whole(spark, d):
-    out = L.locate_group(_requests(spark, d, whole=True), V.docs(spark, d), nfc_fallback=False)
-    return V.flat(out.select("doc_id", "voter", "item_ord", "start", "reason"))
-
-
 @query(
     V.sql(
         """SELECT doc_id, voter, item_ord, CASE WHEN nh = 1 THEN p1 WHEN n0 = 1 THEN p0 WHEN n0 > 1 THEN NULL WHEN nb = 1 THEN pb WHEN na = 1 THEN pa END AS "start", nh AS n_hits,
@@ -198,20 +177,9 @@ def locate_strict_reasons(spark, d):
     return V.flat(out.select("doc_id", "voter", "item_ord", "start", "n_hits", "reason"))
 
 
-@query()
-def locate_strict_reasons_whole(spark, d):
-    out = L.locate_strict(_requests(spark, d, whole=True), V.docs(spark, d), nfc_fallback=False)
-    return V.flat(out.select("doc_id", "voter", "item_ord", "start", "n_hits", "reason"))
-
-
-@query(V.sql("SELECT doc_id, text, count(*) AS n FROM pos GROUP BY ALL", "mention", "docs", extra=_hits(f"SELECT DISTINCT doc_id, text FROM mention WHERE s % 7 = 0 AND strlen(text) > length(text) AND {_PLAIN_SQL}")))
+@query(V.sql("SELECT doc_id, text, count(*) AS n FROM pos GROUP BY ALL", "mention", "docs", extra=_hits("SELECT DISTINCT doc_id, text FROM mention WHERE strlen(text) > length(text)")))
 def locate_nfc_fallback(spark, d):
     """Needles are taken apart (NFD), so that only the fallback finds them; the composed form's count is the truth."""
-    return _located_nfc(spark, d, V.mentions(spark, d).filter("start % 7 = 0").filter(_PLAIN))
-
-
-@query()
-def locate_nfc_fallback_whole(spark, d):
     return _located_nfc(spark, d, V.mentions(spark, d))
 
 

@@ -159,4 +159,4 @@ def sql(select: str, *names: str, recursive: str = "", extra: dict[str, str] | N
     for n in names:
         need(n)
     parts = [f"{n} AS ({SQL[n]})" for n in seen] + [f"{n} AS ({q})" for n, q in (extra or {}).items()] + ([recursive] if recursive else [])
-    return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(parts) + "\n" + select
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + select

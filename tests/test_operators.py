@@ -261,8 +261,8 @@ def test_whole_queries_take_every_mention_and_vote(spark, data):
         if (r.doc_id, r.text) not in want:
             at = [m.start() for m in re.finditer(f"(?={re.escape(r.text)})", bodies[r.doc_id])]
             want[r.doc_id, r.text] = (len(at), at[0], at[-1])
-    assert {(r.doc_id, r.text): (r.n, r.first, r.last) for r in QUERIES["locate_all_whole"](spark, data).collect()} == want
+    assert {(r.doc_id, r.text): (r.n, r.first, r.last) for r in QUERIES["locate_all"](spark, data).collect()} == want
     votes = V.votes(spark, data).count()
-    for name in ("locate_group_ordinal_whole", "locate_strict_reasons_whole", "locate_first_whole"):
+    for name in ("locate_group_ordinal", "locate_strict_reasons", "locate_first"):
         assert QUERIES[name](spark, data).count() == votes
     assert QUERIES["roundtrip"](spark, data).collect()[0].n == len(mentions)
