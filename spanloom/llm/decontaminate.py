@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.shingles import U, Words, buffers, shingles, slices, stream
-from spanloom.llm.tables import keep, text_or_empty
+from spanloom.llm.tables import keep, map_arrow, text_or_empty
 
 WIDTH, SIMILARITY, BLOCK_WINDOWS = 5, 0.8, 1_000_000
 LITERAL, NUMBER, UNIT, NAME = 0, 1, 2, 3
@@ -427,7 +427,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
     schema = "doc_id long, item_id long, similarity double, n_windows long, n_slots long, n_changed long"
     parts: list[DataFrame] = []
-    for part in _each_block(docs, benchmark, block_windows, lambda shared, _: rows.mapInArrow(_matches(shared, similarity), schema)):
+    for part in _each_block(docs, benchmark, block_windows, lambda shared, _: map_arrow(rows, _matches(shared, similarity), schema)):
         parts.append(part)
     return reduce(DataFrame.union, parts) if parts else docs.sparkSession.createDataFrame([], schema)
 
@@ -468,6 +468,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float =
     cols = docs.columns
     plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)])
     schema, out = plain.schema, plain
-    for out in _each_block(docs, benchmark, block_windows, lambda shared, before: (plain if before is None else before).mapInArrow(_clean(shared, similarity, cols.index("text")), schema)):
+    for out in _each_block(docs, benchmark, block_windows, lambda shared, before: map_arrow(plain if before is None else before, _clean(shared, similarity, cols.index("text")), schema)):
         pass
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(cols)])

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.llm.tables import map_arrow
+
 # HTML element names by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes plaintext".split())
@@ -235,4 +237,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     whole whatever its length or depth, in time that grows with its length; blocks of equal scores are kept or dropped
     together; an empty table gives an empty table; other columns, clashing ones too, are not read."""
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce("html", F.lit("")).alias("html"))
-    return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return map_arrow(rows, _extract, "page_id long, url string, text string, n_chars long")

@@ -34,7 +34,7 @@ MAX_EPOCHS = 3
 MAX_SOURCES = 1_000
 BUNDLE_ROWS = 200_000
 SEED = 7
-PARTS = 8  # pieces of an output shard, each sorted by itself
+PARTS = 64  # pieces of an output shard, each sorted by itself
 
 
 def word_count(text: Column) -> Column:

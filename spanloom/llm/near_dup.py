@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from spanloom.llm.components import connected_components
 from spanloom.llm.shingles import Words, buffers, shingle_sets, shingles, slices
 from spanloom.llm.superminhash import band_keys, signatures
-from spanloom.llm.tables import drop, keep, kept_at, text_or_empty
+from spanloom.llm.tables import drop, keep, kept_at, map_arrow, text_or_empty
 
 M, ROWS, BANDS = 128, 5, 25
 BLOCK_SETS, BLOCK_SHINGLES = 512, 2_000_000
@@ -64,9 +64,8 @@ def _sketch_batches(width: int, m: int, bands: int, rows: int):
 
 def sketches(docs: DataFrame, width: int = 5, m: int = M, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, digest (null without words), bands: one row per row of ``docs``."""
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(
-        _sketch_batches(width, m, bands, rows), "doc_id long, n_shingles long, digest binary, bands array<long>"
-    )
+    texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
+    return map_arrow(texts, _sketch_batches(width, m, bands, rows), "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
 def bloom_bits(n: int) -> int:
@@ -251,7 +250,7 @@ def near_duplicates(docs: DataFrame, per_cent: int = 85, width: int = 5, block_s
     own = star.select("center", "salt").distinct().select("center", "salt", F.lit(False).alias("member"), F.col("center").alias("id"))
     ask = own.union(star.select("center", "salt", F.lit(True), "rep"))
     rows = texts.join(ask, F.col("doc_id") == F.col("id")).select("center", "salt", "member", "doc_id", "text")
-    joined = held(rows.repartition("center", "salt").sortWithinPartitions("center", "salt", "member", "doc_id").mapInArrow(_star_batches(width, per_cent), "a long, b long"))
+    joined = held(map_arrow(rows.repartition("center", "salt").sortWithinPartitions("center", "salt", "member", "doc_id"), _star_batches(width, per_cent), "a long, b long"))
     pieces = held(connected_components(joined, "a", "b"))
     # clusters that this left in pieces; a cluster of two has no other pair
     told = clusters.join(pieces.withColumnRenamed("component", "piece"), "node", "left").withColumn("piece", F.coalesce("piece", "node"))
@@ -264,7 +263,7 @@ def near_duplicates(docs: DataFrame, per_cent: int = 85, width: int = 5, block_s
         "node", F.col("component").alias("cluster"), F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side"
     )
     rows = texts.join(spread, F.col("doc_id") == F.col("node")).select("cluster", "i", "j", "side", "doc_id", "text")
-    pairs = held(rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "doc_id").mapInArrow(_verify_batches(width, per_cent), "a long, b long"))
+    pairs = held(map_arrow(rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "doc_id"), _verify_batches(width, per_cent), "a long, b long"))
     final = connected_components(joined.union(pairs), "a", "b")
     # only classes that have copies or links are told to the rows; a hot class in SALTS parts
     root = classes.select("digest", "rep", "rows").join(final, F.col("rep") == F.col("node"), "left").filter("rows > 1 or component is not null")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.tables import text_or_empty
+from spanloom.llm.tables import map_arrow, text_or_empty
 
 KINDS = ("assign", "access", "hex", "entropy")
 # The patterns of the base kinds.
@@ -186,7 +186,7 @@ def find_secrets(docs: DataFrame, allow: tuple[str, ...] = ALLOW, found: bool =
     scanned whole, in time that grows with their length; spans that start together are told in the order of the kinds; an
     empty table gives an empty table; other columns, clashing ones too, are not read."""
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string" + (", found array<struct<kind:string,start:long,end:long>>" if found else "")
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(_scan(tuple(allow), found), schema)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")), _scan(tuple(allow), found), schema)
 
 
 def redact(text: str, mark: str = "[secret]") -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -47,5 +48,19 @@ def drop(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+BATCH_BYTES = 8 << 20
+
+
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """``df.mapInArrow`` in batches of at most BATCH_BYTES and one row, unless the session asks for smaller ones: texts of
+    any length then cost a task, on both sides, memory for one batch or one text."""
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, "64m").strip().lower()
+    size = int(re.sub(r"[^0-9-]", "", now)) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(re.sub(r"[0-9b-]", "", now)[:1], 1)
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))

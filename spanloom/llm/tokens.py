@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.shingles import U, Words, buffers, slices
-from spanloom.llm.tables import keep, text_or_empty
+from spanloom.llm.tables import keep, map_arrow, text_or_empty
 
 LIMIT = 2048
 COMMON = 1_000_000
@@ -116,9 +116,9 @@ def _count_distinct(path: str):
 
 def piece_counts(texts: DataFrame, tokenizer_path: str) -> DataFrame:
     """key, pieces, n: for each distinct pre-token of ``texts`` (text) its hash, its pieces and its frequency."""
-    folded = texts.mapInArrow(_distinct, "key long, chunk string, n long")
+    folded = map_arrow(texts, _distinct, "key long, chunk string, n long")
     distinct = folded.repartition("key").groupBy("key").agg(F.min("chunk").alias("chunk"), F.sum("n").alias("n"))
-    return distinct.mapInArrow(_count_distinct(tokenizer_path), "key long, pieces long, n long")
+    return map_arrow(distinct, _count_distinct(tokenizer_path), "key long, pieces long, n long")
 
 
 def _sums(path: str, shared):
@@ -165,7 +165,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, commo
     order = np.argsort(top["key"].to_numpy(dtype=np.int64).view(U))
     shared = spark.sparkContext.broadcast((top["key"].to_numpy(dtype=np.int64).view(U)[order], top["pieces"].to_numpy(dtype=np.int64)[order]))
     schema = "doc_id long, n_bytes long, known long, rare array<struct<key:long,n:long>>"
-    summed = rows.mapInArrow(_sums(tokenizer_path, shared), schema)
+    summed = map_arrow(rows, _sums(tokenizer_path, shared), schema)
     if len(top) < common:
         out = summed.select("doc_id", "n_bytes", F.col("known").alias("n_tokens"))
     else:

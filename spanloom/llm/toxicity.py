@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.shingles import U, Words, buffers, mix, slices, stream
-from spanloom.llm.tables import text_or_empty
+from spanloom.llm.tables import map_arrow, text_or_empty
 
 TRAIN_ROWS = 4000
 MAX_BYTES = 1 << 16
@@ -286,7 +286,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     empty table.  Only the text enters a score, whatever other columns there are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    scored = rows.mapInArrow(_score(shared, 1, False), "doc_id long, score double")
+    scored = map_arrow(rows, _score(shared, 1, False), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -301,5 +301,5 @@ def reject_toxic(docs: DataFrame, model: Model) -> DataFrame:
     cuts = F.lit(0.5)
     for lang, cut in sorted(model.thresholds.items()):
         cuts = F.when(F.col(f"c{cols.index('lang')}") == lang, cut).otherwise(cuts) if "lang" in cols else cuts
-    kept = plain.mapInArrow(_score(shared, cols.index("text"), True), f"{types}, score double").filter(F.col("score") < cuts)
+    kept = map_arrow(plain, _score(shared, cols.index("text"), True), f"{types}, score double").filter(F.col("score") < cuts)
     return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(cols)])
