@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom import vocab
-from spanloom.functions.text import escape, lenient_double, unescape
+from spanloom.functions.text import banned, escape, lenient_double, unescape, words
 from spanloom.operators.spans import adjacent_overlaps
 
 
@@ -148,3 +148,36 @@ def dose_verdict(deltas: DataFrame, pairs: DataFrame) -> DataFrame:
 def additivity(deltas: DataFrame, parts: list[str], whole: str) -> DataFrame:
     """Sum of single deltas against the combined run: additive at 80 per cent of the sum or more."""
     return deltas.agg(F.sum(F.when(F.col("run").isin(*parts), F.col("delta"))).alias("parts_sum"), F.max(F.when(F.col("run") == whole, F.col("delta"))).alias("whole")).withColumn("additive", F.col("whole") >= 0.8 * F.col("parts_sum"))
+
+
+# ---- what a build takes from its voters
+
+
+def short_term(text: Column) -> Column:
+    """One word of fewer than five characters."""
+    return (F.size(words(text)) < 2) & (F.length(text) < 5)
+
+
+def numeric_only(text: Column) -> Column:
+    return text.rlike(r"^[\d.,]+$")
+
+
+def clean_votes(votes: DataFrame, ban: bool = True) -> DataFrame:
+    """``votes`` with reason and with types trimmed and assertions of the vocabulary only, each once, sorted.
+
+    reason: accepted, broken item (no text), unknown type, or banned and why; what is not accepted is for counting."""
+    allowed = F.array(*[F.lit(a) for a in vocab.ASSERTIONS])
+    kind = F.trim(F.coalesce("type", F.lit("")))
+    why = F.when(F.col("text").isNull(), "broken item").when(~kind.isin(*vocab.TYPES), "unknown type")
+    if ban:
+        why = F.coalesce(why, F.concat(F.lit("banned: "), banned(F.col("text"))))
+    none = F.array().cast("array<string>")
+    return votes.select(
+        *[F.col(c) for c in votes.columns if c not in ("type", "assertions")], kind.alias("type"), F.array_sort(F.array_distinct(F.array_intersect(F.coalesce("assertions", none), allowed))).alias("assertions"),
+        F.coalesce(why, F.lit("accepted")).alias("reason"),
+    )
+
+
+def most_common(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """The n most frequent keys with their counts; ties by key.  A top-k: each task keeps n rows."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *keys).limit(n)

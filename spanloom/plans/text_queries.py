@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spanloom import vocab
 from spanloom.functions.text import nfd
 from spanloom.operators import locate as L
 from spanloom.operators import structure as S
@@ -44,10 +45,58 @@ def lines_section_ffill(spark, d):
     return S.forward_fill(lines, "doc_id", "line_no", header, F.col("line"), "section").select("doc_id", F.col("line_no").cast("long").alias("line_no"), "section")
 
 
-@query()
+_SECTION, _BULLET, _LABELLED = r"^\s*(\d)\.\s+(.{3,60}?)\s*$", r"^\s*[-–•*]\s*(.*)$", r"^\s*([^:\-–•*][^:]{2,55}):\s*(.*)$"
+
+
+def _listed(values) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+def parsed_sql(docs: str) -> dict[str, str]:
+    """CTE ``pl``: the content lines of ``docs`` (doc_id, text) with their section and label."""
+    one = "translate(text, concat(" + ", ".join(f"chr({ord(c)})" for c in S.BREAKS) + "), repeat(chr(10), " + str(len(S.BREAKS)) + "))"
+    below = "OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING)"
+    return {
+        "pl0": f"SELECT doc_id, unnest(string_split({one}, chr(10))) AS line, generate_subscripts(string_split({one}, chr(10)), 1) - 1 AS line_no FROM {docs}",
+        "pl1": "SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM pl0",
+        "pl2": rf"""SELECT *, CASE WHEN regexp_matches(line, '{_SECTION}') THEN 'section' WHEN regexp_matches(line, '{_BULLET}') THEN 'bullet' WHEN regexp_matches(line, '{_LABELLED}') THEN 'value'
+          WHEN length(trim(line)) <= 60 AND NOT regexp_matches(line, '\d') AND len(list_filter([{_listed(vocab.SUBHEADER_PREFIXES)}], lambda p: starts_with(lower(trim(line)), p))) > 0 THEN 'label' ELSE 'plain' END AS kind
+          FROM pl1 WHERE regexp_matches(line, '\S')""",
+        "pl3": rf"""SELECT *, CASE kind WHEN 'bullet' THEN regexp_extract(line, '{_BULLET}', 1) WHEN 'value' THEN regexp_extract(line, '{_LABELLED}', 2) ELSE regexp_replace(line, '^\s+', '') END AS body,
+          last_value(CASE WHEN kind = 'section' THEN lower(trim(regexp_extract(line, '{_SECTION}', 2))) END IGNORE NULLS) {below} AS sec,
+          last_value(CASE kind WHEN 'value' THEN lower(trim(regexp_extract(line, '{_LABELLED}', 1))) WHEN 'label' THEN lower(trim(line)) WHEN 'section' THEN '' END IGNORE NULLS) {below} AS lab FROM pl2""",
+        "pl": rf"""SELECT doc_id, line_no, s + length(line) - length(body) AS s, regexp_replace(body, '\s+$', '') AS text, coalesce(sec, '') AS section, coalesce(lab, '') AS sub, kind,
+          coalesce(sec, '') IN ({_listed(vocab.HISTORY_SECTIONS)}) OR coalesce(lab, '') IN ({_listed(vocab.HISTORICAL_SUBS)}) AS historical, coalesce(lab, '') IN ({_listed(vocab.SKIPPED_SUBS)}) AS skip
+          FROM pl3 WHERE kind IN ('bullet', 'value', 'plain') AND regexp_replace(body, '\s+$', '') <> ''""",
+    }
+
+
+#: Documents whose lines take the shapes of notes: by their number, sections, bullets, labels with and without a value.
+_NOTE_HEADS = {0: "1. tiền sử bệnh", 1: "- ", 2: "bệnh lý mãn tính: ", 3: "kết quả xét nghiệm", 5: "2. Bệnh sử", 7: "Vị trí:"}
+_NOTES = {
+    "nl": "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE text IS NOT NULL",
+    "notes": "SELECT doc_id, string_agg(CASE (doc_id + line_no * 3) % 11 " + " ".join(f"WHEN {k} THEN '{v}' || {chr(39) * 2 if not v.endswith(' ') else 'line'}" for k, v in _NOTE_HEADS.items()) + " ELSE line END, chr(10) ORDER BY line_no) AS text FROM nl GROUP BY doc_id",
+}
+
+
+def notes(spark, d):
+    """doc_id, text of the notes."""
+    lines = table(spark, d, "documents").filter("text is not null").select("doc_id", F.split("text", "\n").alias("l"))
+
+    def shaped(line, no):
+        k = (F.col("doc_id") + no * 3) % 11
+        out = None
+        for n, head in _NOTE_HEADS.items():
+            value = F.concat(F.lit(head), line) if head.endswith(" ") else F.lit(head)
+            out = F.when(k == n, value) if out is None else out.when(k == n, value)
+        return out.otherwise(line)
+
+    return lines.select("doc_id", F.array_join(F.transform("l", shaped), "\n").alias("text"))
+
+
+@query(V.sql('SELECT doc_id, line_no::BIGINT AS line_no, s AS "start", s + length(text) AS "end", text, section, sub, kind, historical, skip FROM pl', extra=_NOTES | parsed_sql("notes")))
 def parsed_lines(spark, d):
-    """Sections, labels and content lines: many regular expressions in a fixed order; tests cover each."""
-    return V.flat(S.parse_lines(table(spark, d, "documents").select("doc_id", "text")))
+    return V.flat(S.parse_lines(notes(spark, d)))
 
 
 @query(
