@@ -48,13 +48,6 @@ def repeats(spans: DataFrame, hits: DataFrame) -> DataFrame:
     return greedy(free, [-(F.col("end") - F.col("start")), F.col("start")], ["text", "type"])
 
 
-def word_bounded(text: Column, start: Column, end: Column) -> Column:
-    """Neither neighbour of the span is a letter or digit."""
-    word = r"[0-9A-Za-zÀ-ỹ]"
-    before, after = F.substring(text, start, F.lit(1)), F.substring(text, end + 1, F.lit(1))
-    return ~F.when(start > 0, before.rlike(word)).otherwise(F.lit(False)) & ~after.rlike(word)
-
-
 # ---- clinical drug names
 
 
@@ -194,6 +187,24 @@ def first_dictionary_entry(text: Column, entries: list[tuple[str, str]]) -> Colu
 
 
 def is_dosed(text: Column) -> Column:
-    """Drug re-typing predicate: after the first word every other one is a dose, route or frequency."""
+    """After the first word every other one is a dose, route or frequency."""
     tail = F.regexp_replace(text, r"(?U)^\S+", "")
     return tail.rlike(r"(?iuU)^(?:[\s,]+(?:" + vocab.DOSE + "|" + vocab.ROUTE + "|" + vocab.FREQUENCY + r"))+\s*$")
+
+
+def force_drugs(spans: DataFrame, index: DataFrame) -> DataFrame:
+    """``spans`` with type and forced: spans of other types that are a drug's name (gram of ``index``, the longest of up to
+    three words), alone or followed by nothing but amounts, units, routes and frequencies, are drugs; not those that tell of
+    poisoning, allergy and the like."""
+    word = r"[A-Za-zÀ-ỹ][A-Za-zÀ-ỹ0-9'\-]*"
+    t = F.trim("text")
+    heads = F.array(*[F.struct(F.lit(n).alias("n"), F.regexp_extract(t, f"^{word}" + rf"(?:[^A-Za-zÀ-ỹ]+{word})" * (n - 1), 0).alias("head")) for n in (3, 2, 1)])
+    key = F.struct(*[F.col(c) for c in spans.columns])
+    tries = spans.filter((F.col("type") != vocab.DRUG) & (t != "") & ~F.lower(t).rlike(vocab.NO_DRUG)).select(key.alias("k"), t.alias("t"), F.explode(heads).alias("h")).filter("h.head <> ''")
+    gram = F.lower(F.array_join(F.regexp_extract_all("h.head", F.lit(word), F.lit(0)), " "))
+    named = tries.withColumn("gram", gram).join(index.select("gram").distinct(), "gram", "left_semi").groupBy("k", "t").agg(F.max_by("h.head", "h.n").alias("head"))
+    tail = F.filter(F.split(F.substr("t", F.length("head") + 1), r"(?U)\s+"), lambda w: w != "")
+    forced = named.filter(F.forall(tail, lambda w: F.lower(w).rlike(vocab.DRUG_TAIL))).select("k.*").distinct()
+    keys = [c for c in spans.columns]
+    told = spans.join(forced.withColumn("forced", F.lit(True)), keys, "left").withColumn("forced", F.coalesce("forced", F.lit(False)))
+    return told.withColumn("type", F.when(F.col("forced"), vocab.DRUG).otherwise(F.col("type")))

@@ -6,15 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom import vocab
-from spanloom.functions.text import banned, escape, lenient_double, unescape, words
+from spanloom.functions.text import banned, escape, lenient_double, nfc, undot, unescape, words
 from spanloom.operators.spans import adjacent_overlaps
 
 
 def violations(spans: DataFrame, docs: DataFrame, known_codes: DataFrame, expected: DataFrame, max_overlaps: int = 3) -> DataFrame:
     """doc_id, ord, rule: one row for each rule that a span or document breaks; empty means the set may be written.
 
-    spans: doc_id, ord, start, end, type, text, assertions, codes; docs: doc_id, body; known_codes: code; expected: the
-    documents that must be there."""
+    spans: doc_id, ord, start, end, type, text, assertions, codes; docs: doc_id, body; known_codes: type, code, those of
+    diagnoses without dots; expected: the documents that must be there.  Texts may differ from the document in their
+    Unicode form."""
     code = F.explode(F.when(F.size("codes") > 0, F.col("codes")))
     joined = spans.join(docs, "doc_id", "left")
     allowed = F.array(*[F.lit(a) for a in vocab.ASSERTIONS])
@@ -25,12 +26,15 @@ def violations(spans: DataFrame, docs: DataFrame, known_codes: DataFrame, expect
         F.when(~F.col("type").isin(*vocab.TYPES), "unknown type"),
         F.when(F.size(F.array_except("assertions", allowed)) > 0, "unknown assertion"),
         F.when(F.size(F.array_distinct("assertions")) < F.size("assertions"), "repeated assertion"),
-        F.when(~F.coalesce(position, F.lit(False)), "position").otherwise(F.when(slice_ != F.col("text"), "text")),
+        F.when(~F.coalesce(position, F.lit(False)), "position"),
         F.when(~coded & (F.size("codes") > 0), "codes on an uncoded type"),
         F.when((F.col("type") == vocab.DIAGNOSIS) & F.exists("codes", lambda c: (F.length(c) > 3) & ~F.contains(c, F.lit("."))), "undotted code"),
     ]
     own = joined.select("doc_id", "ord", F.explode(F.array_compact(F.array(*rules))).alias("rule"))
-    unknown = spans.filter(coded).select("doc_id", "ord", code.alias("code")).join(known_codes.select("code").distinct(), "code", "left_anti").select("doc_id", "ord", F.lit("unknown code").alias("rule")).distinct()
+    other = joined.filter(position & (slice_ != F.col("text"))).select("doc_id", "ord", "text", slice_.alias("slice"))
+    own = own.unionByName(other.filter(nfc(F.col("slice")) != nfc(F.col("text"))).select("doc_id", "ord", F.lit("text").alias("rule")))
+    asked = spans.filter(coded).select("doc_id", "ord", "type", code.alias("code")).withColumn("code", F.when(F.col("type") == vocab.DIAGNOSIS, undot(F.col("code"))).otherwise(F.col("code")))
+    unknown = asked.join(known_codes.select("type", "code").distinct(), ["type", "code"], "left_anti").select("doc_id", "ord", F.lit("unknown code").alias("rule")).distinct()
     none = F.lit(None).cast(spans.schema["ord"].dataType).alias("ord")
     crowded = adjacent_overlaps(spans).filter(F.col("n") > max_overlaps).select("doc_id", none, F.lit("overlaps").alias("rule"))
     present = spans.select("doc_id").distinct()
@@ -125,7 +129,8 @@ def ledger_numbers(raw: DataFrame) -> DataFrame:
 def ledger_deltas(ledger: DataFrame, base_run: str) -> DataFrame:
     """Each scored run against the base: delta and the part of each axis, in points."""
     scored = ledger.filter("score is not null and wer is not null and j_assert is not null and j_cand is not null")
-    base = scored.filter(F.col("run") == base_run).select(F.col("score").alias("b"), F.col("wer").alias("bw"), F.col("j_assert").alias("ba"), F.col("j_cand").alias("bc"))
+    own = F.col("run") == base_run  # the first of that name: one row whatever the ledger holds
+    base = scored.agg(*[F.min_by(F.when(own, F.col(c)), F.when(own, F.col("stt"))).alias(n) for c, n in (("score", "b"), ("wer", "bw"), ("j_assert", "ba"), ("j_cand", "bc"))])
     return scored.join(F.broadcast(base)).select(
         "stt", "run", "score", (F.col("score") - F.col("b")).alias("delta"), (-(F.col("wer") - F.col("bw")) * 0.3).alias("by_wer"), ((F.col("j_assert") - F.col("ba")) * 0.3).alias("by_assert"), ((F.col("j_cand") - F.col("bc")) * 0.4).alias("by_cand")
     )

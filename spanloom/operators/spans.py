@@ -31,10 +31,6 @@ def anti_overlap(left: DataFrame, right: DataFrame, same_type: bool = False) ->
     return overlap_flag(left, right, "_hit", same_type).filter("not _hit").drop("_hit")
 
 
-def semi_overlap(left: DataFrame, right: DataFrame, same_type: bool = False) -> DataFrame:
-    return overlap_flag(left, right, "_hit", same_type).filter("_hit").drop("_hit")
-
-
 def overlap_join(left: DataFrame, right: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Pairs of overlapping spans.  Columns of ``right`` other than doc_id must not clash: rename them, with its bounds
     as r_start and r_end.  A pair meets in every bucket that both touch and is kept in the first of them."""

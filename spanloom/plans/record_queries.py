@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanloom import vocab
+from spanloom.functions.text import break_even
 from spanloom.operators import consensus as C
 from spanloom.operators import linking as K
 from spanloom.operators import locate as L
@@ -99,7 +100,7 @@ _FAULTY = {
     "fb": f"""SELECT b.doc_id, base_ord AS ord, s, e, CASE WHEN s % 50 = 0 THEN 'other' ELSE b.type END AS type, CASE WHEN s % 53 = 0 THEN text || 'x' ELSE text END AS text,
       CASE WHEN s % 51 = 0 THEN 'isUncertain' ELSE asr END AS asr, CASE WHEN b.type IN ('{vocab.DIAGNOSIS}', '{vocab.DRUG}') THEN coalesce(m.codes, '') ELSE CASE WHEN s % 57 = 0 THEN '1' ELSE '' END END AS codes
       FROM base b LEFT JOIN cmap m ON m.surface = lower(trim(b.text)) AND m.type = b.type""",
-    "known": "SELECT DISTINCT codes AS code FROM cmap WHERE length(surface) % 2 = 0",
+    "known": "SELECT DISTINCT type, codes AS code FROM cmap WHERE length(surface) % 2 = 0",
     "want": "SELECT doc_id FROM documents WHERE doc_id % 100 <> 0",
 }
 
@@ -110,7 +111,7 @@ _FAULTY = {
         UNION ALL SELECT doc_id, ord, 'text' FROM fb JOIN docs USING (doc_id) WHERE substr(body, s + 1, e - s) <> text
         UNION ALL SELECT doc_id, ord, 'codes on an uncoded type' FROM fb WHERE type NOT IN ('{vocab.DIAGNOSIS}', '{vocab.DRUG}') AND codes <> ''
         UNION ALL SELECT doc_id, ord, 'undotted code' FROM fb WHERE type = '{vocab.DIAGNOSIS}' AND length(codes) > 3 AND instr(codes, '.') = 0
-        UNION ALL SELECT doc_id, ord, 'unknown code' FROM fb WHERE type IN ('{vocab.DIAGNOSIS}', '{vocab.DRUG}') AND codes <> '' AND codes NOT IN (SELECT code FROM known)
+        UNION ALL SELECT doc_id, ord, 'unknown code' FROM fb WHERE type IN ('{vocab.DIAGNOSIS}', '{vocab.DRUG}') AND codes <> '' AND NOT EXISTS (SELECT 1 FROM known k WHERE k.type = fb.type AND k.code = codes)
         UNION ALL SELECT doc_id, NULL, 'overlaps' FROM (SELECT doc_id, s, lag(e) OVER (PARTITION BY doc_id ORDER BY s, e, type) AS pe FROM fb) GROUP BY doc_id HAVING count(*) FILTER (s < pe) > 3
         UNION ALL SELECT doc_id, NULL, 'missing document' FROM want WHERE doc_id NOT IN (SELECT doc_id FROM fb) UNION ALL SELECT DISTINCT doc_id, NULL, 'unexpected document' FROM fb WHERE doc_id NOT IN (SELECT doc_id FROM want)""",
         "base", "cmap", "docs", extra=_FAULTY,
@@ -123,7 +124,7 @@ def hard_gate(spark, d):
     s = s.withColumn("codes", F.when(~coded & (F.col("start") % 57 == 0), F.array(F.lit("1"))).otherwise(F.col("codes")))
     s = s.withColumn("type", F.when(F.col("start") % 50 == 0, F.lit("other")).otherwise(F.col("type"))).withColumn("text", F.when(F.col("start") % 53 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")))
     s = s.withColumn("assertions", F.when(F.col("start") % 51 == 0, F.array(F.lit("isUncertain"))).otherwise(F.col("assertions")))
-    known = m.filter("length(surface) % 2 = 0").select(F.explode("codes").alias("code"))
+    known = m.filter("length(surface) % 2 = 0").select("type", F.explode("codes").alias("code"))
     return V.flat(R.violations(s, V.docs(spark, d), known, table(spark, d, "documents").filter("doc_id % 100 <> 0").select("doc_id")))
 
 
@@ -143,9 +144,46 @@ def train_messages(spark, d):
     return R.train_messages(table(spark, d, "conversations"))
 
 
-@query("SELECT doc_id, CASE WHEN (doc_id - 1) % 7 = 0 THEN 'dev' ELSE 'train' END AS split FROM documents WHERE doc_id > 0")
+@query("SELECT doc_id, CASE WHEN ((doc_id - 1) % 7 + 7) % 7 = 0 THEN 'dev' ELSE 'train' END AS split FROM documents")
 def train_dev_split(spark, d):
-    return R.modulus_split(table(spark, d, "documents").select("doc_id").filter("doc_id > 0"), "doc_id")
+    return R.modulus_split(table(spark, d, "documents").select("doc_id"), "doc_id")
+
+
+_ENTRIES = [("ation", "A1"), ("the", "B2"), ("er", "C3"), ("o", "D4")]
+
+
+@query(V.sql("SELECT doc_id, s AS \"start\", CASE " + " ".join(f"WHEN contains(lower(trim(text)), '{n}') THEN '{c}'" for n, c in _ENTRIES) + " END AS code FROM mention", "mention"))
+def dictionary_label(spark, d):
+    """The code of the first dictionary entry that a mention contains."""
+    return V.flat(V.mentions(spark, d).select("doc_id", "start", K.first_dictionary_entry(F.col("text"), _ENTRIES).alias("code")))
+
+
+_FORCE = {
+    "idx": "SELECT DISTINCT lower(w) AS gram FROM tok WHERE regexp_matches(lower(w), '^[a-z]{6,8}$') AND length(w) % 2 = 0 AND w NOT LIKE '%er'",
+    "fs": "SELECT doc_id, base_ord, type, CASE s % 4 WHEN 0 THEN text || ' 10 mg po' WHEN 1 THEN 'dị ứng ' || text WHEN 2 THEN text || ' 5 mg pain' ELSE text END AS text FROM base",
+    "fh": "SELECT *, CASE WHEN regexp_extract(text, '^[A-Za-zÀ-ỹ][A-Za-zÀ-ỹ0-9''\\-]*', 0) = '' THEN NULL WHEN lower(regexp_extract(text, '^[A-Za-zÀ-ỹ][A-Za-zÀ-ỹ0-9''\\-]*', 0)) IN (SELECT gram FROM idx) THEN regexp_extract(text, '^[A-Za-zÀ-ỹ][A-Za-zÀ-ỹ0-9''\\-]*', 0) END AS head FROM fs",
+}
+
+
+@query(
+    V.sql(
+        f"""SELECT doc_id, base_ord, CASE WHEN type <> '{vocab.DRUG}' AND head IS NOT NULL AND NOT regexp_matches(lower(text), '{vocab.NO_DRUG}')
+          AND len(list_filter(string_split_regex(substr(text, length(head) + 1), '\\s+'), lambda w: w <> '' AND NOT regexp_matches(lower(w), '{vocab.DRUG_TAIL}'))) = 0 THEN '{vocab.DRUG}' ELSE type END AS type FROM fh""",
+        "base", "tok", extra=_FORCE,
+    )
+)
+def force_drugs(spark, d):
+    k = F.col("start") % 4
+    text = F.when(k == 0, F.concat("text", F.lit(" 10 mg po"))).when(k == 1, F.concat(F.lit("dị ứng "), "text")).when(k == 2, F.concat("text", F.lit(" 5 mg pain"))).otherwise(F.col("text"))
+    spans = V.base(spark, d).select("doc_id", "base_ord", "type", text.alias("text"))
+    index = V.tokens(spark, d).filter("length(w) % 2 = 0 and w not like '%er'").select(F.lower("w").alias("gram")).filter(F.col("gram").rlike("^[a-z]{6,8}$")).distinct()
+    return V.flat(K.force_drugs(spans, index).select("doc_id", "base_ord", "type"))
+
+
+@query("SELECT doc_id, round(j / (1 + j), 6) AS needed FROM (SELECT doc_id, (quality + toxic) / 2.0 AS j FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL)")
+def break_even_points(spark, d):
+    j = (F.col("quality") + F.col("toxic")) / 2.0
+    return table(spark, d, "labels").filter("quality is not null and toxic is not null").select("doc_id", F.round(break_even(j), 6).alias("needed"))
 
 
 @query("SELECT doc_id, n_chars FROM (SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS r, count(*) OVER () AS n FROM documents) WHERE r IN (SELECT floor(k * (SELECT count(*) FROM documents) / 30.0) FROM range(30) t(k))")

@@ -76,6 +76,11 @@ ROUTE_FORM = {
     "po": "oral tablet", "uống": "oral tablet", "oral": "oral tablet", "iv": "injection", "tĩnh mạch": "injection", "im": "injection",
     "sc": "injection", "tiêm": "injection", "sl": "sublingual tablet", "khí dung": "inhalation solution",
 }
+DRUG_TAIL = (
+    r"^(?:[\d.,/:%\-()+xX]+|mg|mcg|ml|g|gram|units?|unt|iu|đơn|vị|po|iv|sc|im|pr|sl|neb|inh|oral|uống|tiêm|bid|tid|qid|daily|qd|qhs|qam|q\d+h|prn|"
+    r"xl|er|sr|cr|la|xr|tab|cap|viên|gói|ống)$"
+)
+NO_DRUG = r"ngộ độc|dị ứng|quá liều|phản ứng|tác dụng phụ|lệ thuộc|nghiện"
 STOP_DRUGS = (
     "water", "oxygen", "air", "alcohol", "sodium", "calcium", "iron", "potassium", "magnesium", "nitrogen", "carbon", "coal", "gold",
     "silver", "tin", "lead", "zinc", "copper", "soap", "honey", "milk", "sugar", "salt", "starch", "protein", "oil", "wax", "gas", "ice",
