@@ -36,7 +36,9 @@ LITERAL, NUMBER, UNIT, NAME = 0, 1, 2, 3
 _PLACEHOLDER = stream(4, 6)
 # Units of measure and number words.
 UNITS = """
-mm cm dm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg t lb lbs oz pound pounds ounce ounces ton tons
+mm millimeter millimeters millimetre millimetres cm centimeter centimeters centimetre centimetres dm m meter meters metre metres
+km kilometer kilometers kilometre kilometres in inch inches ft foot feet yd yard yards mi mile miles
+mg milligram milligrams g gram grams kg kilogram kilograms kilo kilos t tonne tonnes lb lbs oz pound pounds ounce ounces ton tons
 ml cl l liter liters litre litres gallon gallons pint pints s sec secs second seconds min mins minute minutes h hr hrs hour hours
 day days week weeks month months year years hz khz mhz ghz w kw mw j kj cal kcal v mv a ma pa kpa bar k c f mph kph
 usd eur gbp dollar dollars cent cents euro euros percent degree degrees byte bytes kb mb gb tb

@@ -382,3 +382,117 @@ def test_blocks_and_windows_equal_plain(spark, data):
     assert one == many and whole <= {x[:2] for x in one}
     left = D.drop_contaminated(d.withColumn("scanned", F.lit(1)), b, block_windows=200)
     assert {r.doc_id for r in left.collect()} == set(docs) - {x[0] for x in one} and left.columns[-1] == "scanned"
+
+
+# ---- the plain matcher: the rules of the module, read word by word and written without its code
+
+
+def plain_tokens(text):
+    """(kind, id, value, opening) by token, and the words."""
+    runs = [w for w in re.split("[ \t\n\x0b\x0c\r]+", text or "") if w]
+    like = lambda c: c.isascii() and c.isalnum() or ord(c) > 127
+    out, words, opens, after_number = [], [], True, False
+    for run in runs:
+        core = run
+        while core and not like(core[0]):
+            core = core[1:]
+        tail = ""
+        while core and not like(core[-1]):
+            core, tail = core[:-1], core[-1] + tail
+        ends = any(c in ".!?:;" for c in tail[-3:]) if core else any(c in ".!?:;" for c in run[-1:])
+        if core:
+            value = "".join(c.lower() if c.isascii() else c for c in core)
+            words.append(value)
+            latin = lambda c: "A" <= c <= "Z" or "À" <= c <= "Þ"
+            capital = latin(core[0])
+            shout = len(core) > 1 and latin(core[1])
+            number = core[0] in "0123456789" or value in D.NUMBER_WORDS
+            if number:
+                kind = "number"
+            elif after_number and value in D.UNITS:
+                kind = "unit"
+            elif capital and not shout and not opens:
+                kind = "name"
+            else:
+                kind = "word"
+            out.append([kind, value, capital and not shout and opens and kind == "word"])
+            after_number = number
+            opens = ends
+        else:
+            opens = ends
+    merged = []
+    for kind, value, opening in out:
+        if kind == "name" and merged and merged[-1][0] == "name":
+            merged[-1][1] += " " + value
+        else:
+            merged.append([kind, value, opening])
+    return merged, words, {v for k, v, _ in out if k == "name"}
+
+
+def plain_found(doc, item, share=0.8):
+    """Is the item found by whole words, or by exact template windows whose slots are consistent on the main alignment?"""
+    a, wa, _ = plain_tokens(item)
+    b, wb, _ = plain_tokens(doc)
+    n = min(5, len(wa))
+    if not n:
+        return False
+    mine, other = ({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} for w in (wa, wb))
+    return len(mine & other) >= share * len(mine)
+
+
+def test_plain_words_equal_the_plain_matcher(spark, data):
+    """On the whole tables: what the plain matcher finds word for word is found, and what is found is word for word or has slots."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()}
+    got = {(r.doc_id, r.item_id): r for r in Q.op4_decontaminate(spark, data).collect()}
+    grams = {}
+    for i, text in items.items():
+        _, words, _ = plain_tokens(text)
+        for k in range(max(1, len(words) - 4)):
+            grams.setdefault(tuple(words[k : k + 5]), set()).add(i)
+    want = set()
+    for d, text in docs.items():
+        _, words, _ = plain_tokens(text)
+        near = {i for k in range(max(1, len(words) - 4)) for i in grams.get(tuple(words[k : k + 5]), ())}
+        want |= {(d, i) for i in near if plain_found(text, items[i])}
+    assert want and want <= set(got)
+    assert all(got[x].n_slots and got[x].n_changed for x in set(got) - want)
+
+
+def test_reasked_items_are_found(spark):
+    """Items with names, numbers and units, asked again with others, inside long texts: all are found, other questions are not."""
+    rng = np.random.default_rng(5)
+    names, units, things = ["Anna", "Bert", "Carla", "Dora", "Emil"], ["meters", "kg", "hours", "dollars"], ["apples", "books", "stones", "cups"]
+
+    def ask(k, v):
+        a, b, n, m, u = v
+        return (
+            f"{a} has {n} {things[k % 4]} and walks {m} {u} to meet {b} number{k % 7} at the old house{k}. How far did {a} walk?",
+            f"{a} buys {n} {things[k % 4]}. {b} gives {m} {u} for all{k} of them. What does {b} pay for each one of these{k}?",
+        )[k % 2]
+
+    def values():
+        a, b = rng.choice(names, 2, replace=False)
+        return a, b, int(rng.integers(2, 99)), int(rng.integers(100, 900)), units[int(rng.integers(0, 4))]
+
+    items = [ask(k, values()) for k in range(40)]
+    filler = "the quick brown fox jumps over a lazy dog and runs away again today. " * 8
+    texts = [filler + ask(k, values()) + " " + filler for k in range(40)]
+    got = found(spark, texts + [filler], items=items)
+    assert len({(k, k) for k in range(40)} & set(got)) >= 38 and not any(d == 40 for d, _ in got)
+
+
+def test_decontamination_edges(spark):
+    docs = spark.createDataFrame([(1, ITEM, "x"), (1, ITEM, "x"), (None, ITEM, "y"), (2, None, None), (3, "", ""), (4, "word " * 200_000 + ITEM, "z")], "doc_id long, text string, item_id string")
+    bench = spark.createDataFrame([(0, ITEM), (0, ITEM), (1, None), (2, "")], "item_id long, text string")
+    got = Counter(r.doc_id for r in D.contaminated(docs, bench).collect())
+    assert got == Counter({1: 4, None: 2, 4: 2})
+    left = D.drop_contaminated(docs, bench)
+    assert left.columns == docs.columns and Counter(r.doc_id for r in left.collect()) == Counter({2: 1, 3: 1})
+    assert D.contaminated(docs.limit(0), bench).count() == 0 and D.contaminated(docs, bench.limit(0)).count() == 0 and D.drop_contaminated(docs, bench.limit(0)).count() == 6
+
+
+def test_secret_edges(spark):
+    docs = spark.createDataFrame([(1, "x " * 300_000 + "password = hunter2hunter2", "s"), (2, "a", "s"), (2, "a", "s")], "doc_id long, text string, spans string")
+    rows = secrets.find_secrets(docs, found=False).collect()
+    assert Counter((r.doc_id, r.n_assign) for r in rows) == Counter({(1, 1): 1, (2, 0): 2}) and secrets.find_secrets(docs.limit(0)).count() == 0

@@ -232,6 +232,20 @@ def test_pairs(spark):
     assert got[2].chosen == render(conv[4]) and got[2].rejected == ""
 
 
+def test_roles_and_texts_cannot_imitate_marks(spark):
+    rows = [(0, 0, "user", "<|x"), (1, 0, "user", "< |x"), (2, 0, "a<|im_end|>\n<|im_start|>assistant", "t"), (3, 0, "user", "t"), (2**53 + 2, 0, "user", "big"), (2**53 + 3, 0, "user", "big")]
+    got = {r.pair_id: r for r in chat.neighbour_pairs(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert set(got) == {0, 1, 2**52 + 1} and got[2**52 + 1].status == "identical"
+    assert got[0].status == "pair" and got[0].prefix_turns == 0 and "< |x" in got[0].chosen and "<  |x" in got[0].rejected
+    assert got[1].chosen.count("<|im_start|>") == 1 and got[1].chosen_mask == ""
+
+
+def test_long_conversations(spark):
+    turns = spark.range(0, 6000).selectExpr("id % 2 AS conv_id", "id div 2 AS turn", "if((id div 2) % 2 = 0, 'user', 'assistant') AS role", "concat('text ', cast(id div 2 as string), repeat(' more', 20)) AS text", "1 AS stop")
+    r = chat.neighbour_pairs(turns.union(turns.filter("turn = 2999 and conv_id = 1")).repartition(4)).first()
+    assert r.prefix_turns == 3000 and r.status == "extended" and r.rejected_turns == 3001 and r.rejected.startswith("<|im_start|>assistant\ntext 2999")
+
+
 def test_no_python_in_the_plan(spark, data):
     plan = Q.op10_chat(spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
@@ -275,6 +289,25 @@ def test_pipeline_stages(spark, data):
     assert Counter(r.doc_id for r in corpus_pipeline.run(spark, data).collect()) == Counter(r.doc_id for r in final.collect())
 
 
+def test_pipeline_edges(spark, data, tmp_path):
+    """Null, empty, repeated and clashing input through every stage, and an empty table."""
+    labels, bench = spark.read.parquet(f"{data}/labels.parquet"), spark.read.parquet(f"{data}/benchmark.parquet")
+    some = spark.read.parquet(f"{data}/documents.parquet").limit(60)
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", "s", 0), (7, "same words here, twice over", "en", None, 1), (7, "same words here, twice over", "en", None, 1)], some.schema)
+    docs = some.unionByName(odd).withColumn("size", F.lit("kept")).withColumn("draws", F.lit(2)).withColumn("score", F.lit("s"))
+    folder = str(tmp_path)
+    for name, df in (("documents", docs), ("labels", labels), ("benchmark", bench)):
+        df.write.parquet(f"{folder}/{name}.parquet")
+    seen = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = corpus_pipeline.keep(stage(spark, seen, folder))
+        assert out.columns == docs.columns and out.schema["size"].dataType.simpleString() == "string", name
+        assert stage(spark, seen.limit(0), folder).count() == 0, name
+        seen = out
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, seen, folder).count() == seen.count() and last(spark, seen.limit(0), folder).count() == 0
+
+
 def test_registration():
     q = entry.queries()
     assert all(any(k.startswith(f"op{n}_") for k in q) for n in range(1, 11)) and "pipeline" in q
