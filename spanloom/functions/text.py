@@ -108,10 +108,11 @@ def escape(c: Column) -> Column:
 
 
 def unescape(c: Column) -> Column:
-    """Inverse of ``escape``.  Pairs are read from the left, so an escaped backslash never starts another pair."""
-    mark = "\x00"
-    hold = F.replace(c, F.lit("\\\\"), F.lit(mark))
-    return F.replace(F.replace(F.replace(hold, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")), F.lit(mark), F.lit("\\"))
+    """Inverse of ``escape``.  Pairs are read from the left, so an escaped backslash never starts another pair; of an unknown
+    pair the second character stays, and so does a backslash at the end."""
+    parts = F.split(c, r"\\\\", -1)
+    plain = F.transform(parts, lambda p: F.regexp_replace(F.replace(F.replace(p, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")), r"(?s)\\(.)", "$1"))
+    return F.array_join(plain, "\\")
 
 
 def cells(c: Column, sep: str = ";") -> Column:

@@ -239,10 +239,22 @@ def _located_nfc(spark, d, mentions):
     return hits.join(need, ["doc_id", "text"]).groupBy("doc_id", F.col("composed").alias("text")).agg(F.count("*").alias("n"))
 
 
-@query(V.sql("SELECT voter, count(*) AS n, count(*) FILTER (WHERE instr(body, text) > 0) AS found FROM votes JOIN docs USING (doc_id) GROUP BY voter", "votes", "docs"))
+@query(
+    V.sql(
+        "SELECT voter, type, count(*) AS n, count(*) FILTER (WHERE instr(body, bef || text) > 0 OR instr(body, text) > 0) AS found, count(*) FILTER (WHERE bef <> '' AND instr(body, bef || text) > 0) AS led FROM req JOIN docs USING (doc_id) GROUP BY voter, type",
+        "votes", "docs", extra={k: _REQ[k] for k in ("vc", "req")},
+    )
+)
 def locate_rate(spark, d):
-    v = V.votes(spark, d).join(V.docs(spark, d), "doc_id")
-    return v.groupBy("voter").agg(F.count("*").alias("n"), F.count_if(F.instr("body", F.col("text")) > 0).alias("found"))
+    v = _requests(spark, d).join(V.docs(spark, d), "doc_id")
+    led = F.instr("body", F.concat("before", "text")) > 0
+    return v.groupBy("voter", "type").agg(F.count("*").alias("n"), F.count_if(led | (F.instr("body", F.col("text")) > 0)).alias("found"), F.count_if((F.col("before") != "") & led).alias("led"))
+
+
+@query(V.sql("SELECT doc_id, count(*) AS concepts, sum(len(string_split(text, ' ')))::BIGINT AS words, round(sum(len(string_split(text, ' '))) / count(*)::DOUBLE, 6) AS words_each FROM base GROUP BY doc_id", "base"))
+def concept_density(spark, d):
+    n = F.size(F.split("text", " "))
+    return V.base(spark, d).groupBy("doc_id").agg(F.count("*").alias("concepts"), F.sum(n).alias("words"), F.round(F.sum(n) / F.count("*"), 6).alias("words_each"))
 
 
 @query()
