@@ -242,9 +242,32 @@ def rare_token_match(spark, d):
     return Q.rare_token_match(*_terms_and_words(spark, d))
 
 
-@query()
+@query(
+    V.sql(
+        """SELECT doc_id, term_id, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term_id) AS k FROM sc) WHERE k = 1""",
+        "tok",
+        extra={
+            "bl": "SELECT item_id * 1000 + generate_subscripts(string_split(text, chr(10)), 1) - 1 AS term_id, unnest(string_split(text, chr(10))) AS l FROM benchmark",
+            "dl": "SELECT doc_id * 1000000 + generate_subscripts(string_split(text, chr(10)), 1) - 1 AS doc_id, unnest(string_split(text, chr(10))) AS l FROM documents WHERE text IS NOT NULL",
+            "bt": "SELECT DISTINCT term_id, w FROM (SELECT term_id, unnest(string_split(l, ' ')) AS w FROM bl) WHERE w <> ''",
+            "dt": "SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(string_split(l, ' ')) AS w FROM dl) WHERE w <> ''",
+            "df": "SELECT w, count(*) AS df FROM dt GROUP BY w",
+            "rr": "SELECT term_id, w, row_number() OVER (PARTITION BY term_id ORDER BY df, w) AS r FROM bt JOIN df USING (w)",
+            "cand": "SELECT DISTINCT term_id, doc_id FROM rr JOIN dt USING (w) WHERE r <= 3",
+            "sh": "SELECT term_id, doc_id, count(*) AS c FROM bt JOIN dt USING (w) GROUP BY ALL",
+            "sc": """SELECT term_id, doc_id, c / (na + nb - c)::DOUBLE AS score FROM cand JOIN sh USING (term_id, doc_id) JOIN (SELECT term_id, count(*) AS na FROM bt GROUP BY term_id) USING (term_id)
+              JOIN (SELECT doc_id, count(*) AS nb FROM dt GROUP BY doc_id) USING (doc_id) WHERE c / (na + nb - c)::DOUBLE >= 0.88 - 1e-9""",
+        },
+    )
+)
 def rare_token_best(spark, d):
-    return Q.rare_token_best(*_terms_and_words(spark, d))
+    """For each line of the documents the line of the benchmark that it is most like."""
+
+    def words(name, key, many):
+        lines = table(spark, d, name).filter("text is not null").select(key, F.posexplode(F.split("text", "\n")).alias("n", "l"))
+        return lines.select((F.col(key) * many + F.col("n")).alias("id"), F.explode(F.split("l", " ")).alias("w"))
+
+    return Q.rare_token_best(words("benchmark", "item_id", 1000).withColumnRenamed("id", "term_id"), words("documents", "doc_id", 1_000_000).withColumnRenamed("id", "doc_id"))
 
 
 def _terms_and_words(spark, d):
