@@ -121,6 +121,32 @@ def piece_counts(texts: DataFrame, tokenizer_path: str) -> DataFrame:
     return map_arrow(distinct, _count_distinct(tokenizer_path), "key long, pieces long, n long")
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys and pieces of a batch as two strings of bytes."""
+    for b in batches:
+        both = [b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), b.column(1).to_numpy(zero_copy_only=False).astype(np.int32).tobytes()]
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in both], ["key", "pieces"])
+
+
+def common_pieces(table: DataFrame, common: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Sorted keys, at most ``common`` and twelve bytes each, with their pieces, and whether these are all keys.
+
+    Frequencies are counted in steps of an eighth of a doubling, a few hundred rows; all keys above some step are taken."""
+    step = F.floor(F.log2(F.col("n")) * 8).cast("int")
+    sizes = sorted(((r.step, r.keys) for r in table.groupBy(step.alias("step")).agg(F.count("*").alias("keys")).collect()), reverse=True)
+    total, least = 0, None
+    for s, n in sizes:
+        if total + n > common:
+            break
+        total, least = total + n, s
+    if least is None:
+        return np.empty(0, dtype=U), np.empty(0, dtype=np.int32), not sizes
+    rows = map_arrow(table.filter(step >= least).select("key", "pieces"), _packed, "key binary, pieces binary").collect()
+    keys = np.frombuffer(b"".join(r.key for r in rows), dtype=np.int64).view(U)
+    order = np.argsort(keys)
+    return keys[order], np.frombuffer(b"".join(r.pieces for r in rows), dtype=np.int32)[order], least == sizes[-1][0]
+
+
 def _sums(path: str, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, pieces = shared.value
@@ -161,12 +187,11 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, commo
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
     table = keep(piece_counts(rows.select("text"), tokenizer_path))
-    top = table.orderBy(F.desc("n"), "key").limit(common).select("key", "pieces").toPandas()
-    order = np.argsort(top["key"].to_numpy(dtype=np.int64).view(U))
-    shared = spark.sparkContext.broadcast((top["key"].to_numpy(dtype=np.int64).view(U)[order], top["pieces"].to_numpy(dtype=np.int64)[order]))
+    keys, pieces, every = common_pieces(table, common)
+    shared = spark.sparkContext.broadcast((keys, pieces))
     schema = "doc_id long, n_bytes long, known long, rare array<struct<key:long,n:long>>"
     summed = map_arrow(rows, _sums(tokenizer_path, shared), schema)
-    if len(top) < common:
+    if every:
         out = summed.select("doc_id", "n_bytes", F.col("known").alias("n_tokens"))
     else:
         summed = keep(summed.withColumn("row", F.monotonically_increasing_id()))
