@@ -15,6 +15,7 @@ from spanloom.operators import linking as K
 from spanloom.operators.locate import find_exact
 from spanloom.operators.records import short_term, systematic_sample
 from spanloom.operators.structure import parse_lines
+from spanloom.sources.shared import keep
 
 LAB_TYPES = (vocab.LAB_NAME, vocab.LAB_RESULT)
 
@@ -161,16 +162,24 @@ def repeat_scan(base: DataFrame, docs: DataFrame, stage: int = 1) -> DataFrame:
     joint = F.when(F.col("gap") & (F.col("n") > 0), F.concat(F.lit(" "), F.lower("piece"))).otherwise(F.concat(F.lit("\x01"), F.lower("piece")))
     cut = _pieces(terms.withColumn("body", F.col("text")), "body")
     keyed = cut.withColumn("j", joint).groupBy("text", "type").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "j"))), lambda x: x["j"]), "").alias("key"), F.count("*").alias("size"))
-    sizes = [r["size"] for r in keyed.select("size").distinct().collect()]  # as many as surfaces have lengths
+    keyed = keep(keyed)
+    sizes = sorted(r["size"] for r in keyed.select("size").distinct().collect())  # as many as surfaces have lengths
+    if not sizes:
+        return base.limit(0).select("doc_id", "start", "end", "text", "type")
     w = Window.partitionBy("doc_id").orderBy("n")
     marks = _pieces(docs, "body").withColumn("stop", F.col("at") + F.length("piece"))
-    ahead = marks.withColumn("_run", F.collect_list(F.struct("piece", "gap", "stop")).over(w.rowsBetween(0, max(sizes, default=1) - 1))).withColumn("_prev", F.lag("piece").over(w))
-    grown = ahead.select("doc_id", "at", "gap", "_prev", "_run", F.explode(F.filter(F.array(*[F.lit(n) for n in sizes or [1]]), lambda n: n <= F.size("_run"))).alias("size"))
-    joined = F.array_join(F.transform(F.slice("_run", F.lit(1), F.col("size")), lambda x, i: F.concat(F.when(x["gap"] & (i > 0), F.lit(" ")).otherwise(F.lit("\x01")), F.lower(x["piece"]))), "")
     word = r"^[0-9A-Za-zÀ-ỹ]"
-    next_ = F.get("_run", F.col("size"))
-    free = ~F.coalesce(~F.col("gap") & F.col("_prev").rlike(word), F.lit(False)) & ~F.coalesce(~next_["gap"] & next_["piece"].rlike(word), F.lit(False))
-    runs = grown.filter(free).select("doc_id", F.col("at").alias("start"), F.element_at("_run", F.col("size"))["stop"].alias("end"), "size", joined.alias("key"))
+    own, led = F.concat(F.lit("\x01"), F.lower("piece")), F.concat(F.when(F.col("gap"), F.lit(" ")).otherwise(F.lit("\x01")), F.lower("piece"))
+    last = sizes[-1]
+    # the pieces ahead as columns, so that keys are plain concatenations
+    ahead = marks.withColumn("_j", led).select(
+        "doc_id", "at", F.lag("piece").over(w).alias("_prev"), "gap", own.alias("_j0"), F.col("stop").alias("_s0"),
+        *[F.lead("_j", i).over(w).alias(f"_j{i}") for i in range(1, last)], *[F.lead("stop", i).over(w).alias(f"_s{i}") for i in range(1, last)],
+        *[F.lead(F.when(~F.col("gap") & F.col("piece").rlike(word), 1).otherwise(0), n).over(w).alias(f"_w{n}") for n in sizes],
+    )
+    ahead = ahead.filter(~F.coalesce(~F.col("gap") & F.col("_prev").rlike(word), F.lit(False)))
+    tries = [F.struct(F.lit(n).cast("long").alias("size"), F.concat(*[f"_j{i}" for i in range(n)]).alias("key"), F.col(f"_s{n - 1}").alias("stop"), (F.coalesce(f"_w{n}", F.lit(0)) == 0).alias("free")) for n in sizes]
+    runs = ahead.select("doc_id", "at", F.explode(F.array(*tries)).alias("x")).filter("x.key is not null and x.free").select("doc_id", F.col("at").alias("start"), F.col("x.stop").alias("end"), "x.size", "x.key")
     hits = runs.join(keyed, ["size", "key"]).join(docs, "doc_id").withColumn("shown", F.expr("substring(body, start + 1, end - start)")).drop("body")
     same = F.col("shown") == F.col("text")
     hits = hits.filter(same if stage == 1 else ~same | short_term(F.col("text")))
