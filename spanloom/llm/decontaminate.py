@@ -1,7 +1,7 @@
 """Benchmark decontamination on canonical templates.
 
 Texts become templates: numbers, units and names turn into typed placeholders, other words into hashes of their
-lower-case letters, punctuation around words goes.  Windows of five template tokens of the benchmark are the build side
+small letters (A to Z and À to Þ are folded), punctuation around words goes.  Windows of five template tokens of the benchmark are the build side
 of a hash join that each task probes with the windows of its documents; an item counts as found where a document holds
 at least ``similarity`` of the item's distinct windows.  Then slots are compared: along the item's alignment in the
 document, an item value must always turn into the same document value, as it does when a question is asked again with
@@ -101,6 +101,18 @@ class Template:
         return (self.kinds[lo:hi] == NAME) | opening & likely
 
 
+def _folded(data: np.ndarray) -> np.ndarray:
+    """The bytes with the Latin capitals À to Þ as small letters; A to Z are folded by the word hashes."""
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    after = data[lead + 1]
+    upper = lead[(after >= 0x80) & (after <= 0x9E) & (after != 0x97)] + 1
+    if not len(upper):
+        return data
+    out = data.copy()
+    out[upper] += 0x20
+    return out
+
+
 def _no_tokens(n_rows: int) -> Template:
     none, no_hash, zero = np.empty(0, dtype=np.int64), np.empty(0, dtype=U), np.zeros(n_rows, dtype=np.int64)
     return Template(no_hash, none, no_hash, none, zero, none.astype(bool), (none, no_hash), (none, no_hash), zero)
@@ -111,7 +123,7 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> Template:
 
     A core that starts with a digit, or is a number word, is a number; one in UNITS right after a number is a unit; one
     with a capital followed by no capital, not at a sentence's start, is a name.  Names in a row are one name."""
-    words = Words(data, offsets)
+    words = Words(_folded(data), offsets)
     n_rows = len(offsets) - 1
     if not len(words.start):
         return _no_tokens(n_rows)

@@ -401,7 +401,7 @@ def plain_tokens(text):
             core, tail = core[:-1], core[-1] + tail
         ends = any(c in ".!?:;" for c in tail[-3:]) if core else any(c in ".!?:;" for c in run[-1:])
         if core:
-            value = "".join(c.lower() if c.isascii() else c for c in core)
+            value = "".join(c.lower() if c.isascii() or "À" <= c <= "Þ" and c != "×" else c for c in core)
             words.append(value)
             latin = lambda c: "A" <= c <= "Z" or "À" <= c <= "Þ"
             capital = latin(core[0])
@@ -482,6 +482,11 @@ def test_reasked_items_are_found(spark):
     assert len({(k, k) for k in range(40)} & set(got)) >= 38 and not any(d == 40 for d, _ in got)
 
 
+def test_copies_in_capitals_with_accents_are_found(spark):
+    item = "Él mañana comerá más piñas, según dice Ángela. ¿Cuántas piñas comerá Ángela según él?"
+    assert (0, 0) in found(spark, ["otra cosa " + item.upper() + " y más"], items=(item,))
+
+
 def test_decontamination_edges(spark):
     docs = spark.createDataFrame([(1, ITEM, "x"), (1, ITEM, "x"), (None, ITEM, "y"), (2, None, None), (3, "", ""), (4, "word " * 200_000 + ITEM, "z")], "doc_id long, text string, item_id string")
     bench = spark.createDataFrame([(0, ITEM), (0, ITEM), (1, None), (2, "")], "item_id long, text string")
