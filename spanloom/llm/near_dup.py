@@ -213,6 +213,11 @@ def _star_batches(width: int, per_cent: int):
     return run
 
 
+def _every_salt() -> Column:
+    """A row for each salt: the small side of a join whose other side has hot keys."""
+    return F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+
+
 def _bucket_links(classes: DataFrame) -> DataFrame:
     """(rep, center) for classes (rep, bands) that share a band key; no key is held by one task as a whole."""
     band = classes.select("rep", F.explode("bands").alias("key")).withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)))
@@ -254,11 +259,13 @@ def near_duplicates(docs: DataFrame, per_cent: int = 85, width: int = 5, block_s
     pieces = held(connected_components(joined, "a", "b"))
     # clusters that this left in pieces; a cluster of two has no other pair
     told = clusters.join(pieces.withColumnRenamed("component", "piece"), "node", "left").withColumn("piece", F.coalesce("piece", "node"))
-    open_ = told.groupBy("component").agg(F.count("*").alias("members"), F.min("piece").alias("lo"), F.max("piece").alias("hi")).filter("members > 2 and lo <> hi").select("component")
+    open_ = told.groupBy("component").agg(F.count("*").alias("members"), F.min("piece").alias("lo"), F.max("piece").alias("hi")).filter("members > 2 and lo <> hi")
+    open_ = open_.select("component", _every_salt())
     sizes = classes.groupBy(F.col("rep").alias("node")).agg(F.sum("n").alias("n"))
-    members = held(clusters.join(open_, "component", "left_semi").join(sizes, "node"))
-    dealt = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks"))
-    placed = members.join(dealt, "component").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    salted = clusters.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    members = held(salted.join(open_, ["component", "salt"], "left_semi").join(sizes, "node"))
+    dealt = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks")).select("component", "blocks", _every_salt())
+    placed = members.join(dealt, ["component", "salt"]).withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     spread = placed.select("node", "component", "side", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         "node", F.col("component").alias("cluster"), F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side"
     )
@@ -267,7 +274,7 @@ def near_duplicates(docs: DataFrame, per_cent: int = 85, width: int = 5, block_s
     final = connected_components(joined.union(pairs), "a", "b")
     # only classes that have copies or links are told to the rows; a hot class in SALTS parts
     root = classes.select("digest", "rep", "rows").join(final, F.col("rep") == F.col("node"), "left").filter("rows > 1 or component is not null")
-    root = keep(root.select("digest", F.coalesce("component", "rep").alias("root"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
+    root = keep(root.select("digest", F.coalesce("component", "rep").alias("root"), _every_salt()))
     for path in spent:
         drop(spark, path)
     thin = base.drop("bands").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
