@@ -14,7 +14,7 @@ def violations(spans: DataFrame, docs: DataFrame, known_codes: DataFrame, expect
     """doc_id, ord, rule: one row for each rule that a span or document breaks; empty means the set may be written.
 
     spans: doc_id, ord, start, end, type, text, assertions, codes; docs: doc_id, body; known_codes: type, code, those of
-    diagnoses without dots; expected: the documents that must be there.  Texts may differ from the document in their
+    diagnoses without dots, or one list of codes as they are; expected: the documents that must be there.  Texts may differ from the document in their
     Unicode form."""
     code = F.explode(F.when(F.size("codes") > 0, F.col("codes")))
     joined = spans.join(docs, "doc_id", "left")
@@ -33,8 +33,12 @@ def violations(spans: DataFrame, docs: DataFrame, known_codes: DataFrame, expect
     own = joined.select("doc_id", "ord", F.explode(F.array_compact(F.array(*rules))).alias("rule"))
     other = joined.filter(position & (slice_ != F.col("text"))).select("doc_id", "ord", "text", slice_.alias("slice"))
     own = own.unionByName(other.filter(nfc(F.col("slice")) != nfc(F.col("text"))).select("doc_id", "ord", F.lit("text").alias("rule")))
-    asked = spans.filter(coded).select("doc_id", "ord", "type", code.alias("code")).withColumn("code", F.when(F.col("type") == vocab.DIAGNOSIS, undot(F.col("code"))).otherwise(F.col("code")))
-    unknown = asked.join(known_codes.select("type", "code").distinct(), ["type", "code"], "left_anti").select("doc_id", "ord", F.lit("unknown code").alias("rule")).distinct()
+    asked = spans.filter(coded).select("doc_id", "ord", "type", code.alias("code"))
+    on = ["code"]
+    if "type" in known_codes.columns:
+        on = ["type", "code"]
+        asked = asked.withColumn("code", F.when(F.col("type") == vocab.DIAGNOSIS, undot(F.col("code"))).otherwise(F.col("code")))
+    unknown = asked.join(known_codes.select(*on).distinct(), on, "left_anti").select("doc_id", "ord", F.lit("unknown code").alias("rule")).distinct()
     none = F.lit(None).cast(spans.schema["ord"].dataType).alias("ord")
     crowded = adjacent_overlaps(spans).filter(F.col("n") > max_overlaps).select("doc_id", none, F.lit("overlaps").alias("rule"))
     present = spans.select("doc_id").distinct()
