@@ -134,10 +134,10 @@ def drawn(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, n_shards: int =
     spark = docs.sparkSession
     block = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed)), F.lit(blocks)).cast("int")
     blocked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), block.alias("block"))
-    per_source = blocked.groupBy("source", "block").agg(F.sum("size").alias("words"))
+    per_source = keep(blocked.groupBy("source", "block").agg(F.sum("size").alias("words")))
     names = sorted((r.source for r in per_source.select("source").distinct().limit(MAX_SOURCES + 1).collect()), key=lambda x: (x is None, x or ""))
     if len(names) > MAX_SOURCES:
-        draws = bundled_draws(keep(per_source), weights, n_shards, seed, share)
+        draws = bundled_draws(per_source, weights, n_shards, seed, share)
     else:
         place = {x: i for i, x in enumerate(names)}
         words = [np.full(blocks, -1, dtype=np.int64) for _ in names]
