@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import chat, decontaminate, exact_dup, filter_audit, html_text, mixing, near_dup, secrets, sharding, tokens, toxicity
+from spanloom.llm import chat, decontaminate, exact_dup, filter_audit, html_text, mixing, near_dup, periodic_runs, secrets, sharding, tokens, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -70,8 +70,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), periodic_runs.planted_order)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_secrets, op3_sharding, op4_decontaminate, op5_near_dup, op6_exact_dup, op7_tokens, op8_html, op9_toxicity, op10_chat, op11_filter_audit)
+    f.__name__: f for f in (op1_mixing, op2_secrets, op3_sharding, op4_decontaminate, op5_near_dup, op6_exact_dup, op7_tokens, op8_html, op9_toxicity, op10_chat, op11_filter_audit, op13_periodic_runs)
 }
 
 #: All pairs that share a shingle, then everything reachable: right on tables of some thousand documents.
@@ -87,4 +91,4 @@ c AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x)
 SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_near_dup": NEAR_DUP_SQL, "op6_exact_dup": exact_dup.ORACLE, "op10_chat": chat.ORACLE, "op11_filter_audit": filter_audit.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op5_near_dup": NEAR_DUP_SQL, "op6_exact_dup": exact_dup.ORACLE, "op10_chat": chat.ORACLE, "op11_filter_audit": filter_audit.ORACLE, "op13_periodic_runs": periodic_runs.ORACLE}
