@@ -228,6 +228,36 @@ def _bucket_links(classes: DataFrame) -> DataFrame:
     return parts.filter("rep <> center").select("rep", "center").union(tops).distinct()
 
 
+def star_links(texts: DataFrame, star: DataFrame, width: int, per_cent: int) -> DataFrame:
+    """(a, b) for the pairs (rep, center) of ``star`` whose sets are linked; the members of a centre are dealt over SALTS tasks.
+
+    ``texts`` has doc_id and text, of these documents at least."""
+    star = star.select("rep", "center").withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)))
+    own = star.select("center", "salt").distinct().select("center", "salt", F.lit(False).alias("member"), F.col("center").alias("id"))
+    ask = own.union(star.select("center", "salt", F.lit(True), "rep"))
+    rows = texts.join(ask, F.col("doc_id") == F.col("id")).select("center", "salt", "member", "doc_id", "text")
+    return map_arrow(rows.repartition("center", "salt").sortWithinPartitions("center", "salt", "member", "doc_id"), _star_batches(width, per_cent), "a long, b long")
+
+
+def block_links(texts: DataFrame, clusters: DataFrame, pieces: DataFrame, sizes: DataFrame, width: int, per_cent: int, block_sets: int, block_shingles: int, held=keep) -> DataFrame:
+    """(a, b) that span the links within clusters (node, component) that ``pieces`` (node, component) leaves apart.
+
+    ``sizes`` (node, n) tells the shingles of each node; ``held`` writes a table that the result reads.  Clusters are dealt into blocks of bounded size, a task for each pair of blocks."""
+    # a cluster of two has no pair but the one that was tried
+    told = clusters.join(pieces.withColumnRenamed("component", "piece"), "node", "left").withColumn("piece", F.coalesce("piece", "node"))
+    open_ = told.groupBy("component").agg(F.count("*").alias("members"), F.min("piece").alias("lo"), F.max("piece").alias("hi")).filter("members > 2 and lo <> hi")
+    open_ = open_.select("component", _every_salt())
+    salted = clusters.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    members = held(salted.join(open_, ["component", "salt"], "left_semi").join(sizes, "node"))
+    dealt = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks")).select("component", "blocks", _every_salt())
+    placed = members.join(dealt, ["component", "salt"]).withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    spread = placed.select("node", "component", "side", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        "node", F.col("component").alias("cluster"), F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side"
+    )
+    rows = texts.join(spread, F.col("doc_id") == F.col("node")).select("cluster", "i", "j", "side", "doc_id", "text")
+    return map_arrow(rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "doc_id"), _verify_batches(width, per_cent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, per_cent: int = 85, width: int = 5, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (needs doc_id and text).
 
@@ -251,26 +281,11 @@ def near_duplicates(docs: DataFrame, per_cent: int = 85, width: int = 5, block_s
     clusters = held(connected_components(links, "rep", "center"))
     texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).filter("doc_id is not null").filter(bloom_filter(clusters, "node"))
     # each class against the smallest of its centres
-    star = links.groupBy("rep").agg(F.min("center").alias("center")).withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)))
-    own = star.select("center", "salt").distinct().select("center", "salt", F.lit(False).alias("member"), F.col("center").alias("id"))
-    ask = own.union(star.select("center", "salt", F.lit(True), "rep"))
-    rows = texts.join(ask, F.col("doc_id") == F.col("id")).select("center", "salt", "member", "doc_id", "text")
-    joined = held(map_arrow(rows.repartition("center", "salt").sortWithinPartitions("center", "salt", "member", "doc_id"), _star_batches(width, per_cent), "a long, b long"))
+    star = links.groupBy("rep").agg(F.min("center").alias("center"))
+    joined = held(star_links(texts, star, width, per_cent))
     pieces = held(connected_components(joined, "a", "b"))
-    # clusters that this left in pieces; a cluster of two has no other pair
-    told = clusters.join(pieces.withColumnRenamed("component", "piece"), "node", "left").withColumn("piece", F.coalesce("piece", "node"))
-    open_ = told.groupBy("component").agg(F.count("*").alias("members"), F.min("piece").alias("lo"), F.max("piece").alias("hi")).filter("members > 2 and lo <> hi")
-    open_ = open_.select("component", _every_salt())
     sizes = classes.groupBy(F.col("rep").alias("node")).agg(F.sum("n").alias("n"))
-    salted = clusters.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-    members = held(salted.join(open_, ["component", "salt"], "left_semi").join(sizes, "node"))
-    dealt = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks")).select("component", "blocks", _every_salt())
-    placed = members.join(dealt, ["component", "salt"]).withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    spread = placed.select("node", "component", "side", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "node", F.col("component").alias("cluster"), F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side"
-    )
-    rows = texts.join(spread, F.col("doc_id") == F.col("node")).select("cluster", "i", "j", "side", "doc_id", "text")
-    pairs = held(map_arrow(rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "doc_id"), _verify_batches(width, per_cent), "a long, b long"))
+    pairs = held(block_links(texts, clusters, pieces, sizes, width, per_cent, block_sets, block_shingles, held))
     final = connected_components(joined.union(pairs), "a", "b")
     # only classes that have copies or links are told to the rows; a hot class in SALTS parts
     root = classes.select("digest", "rep", "rows").join(final, F.col("rep") == F.col("node"), "left").filter("rows > 1 or component is not null")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import chat, decontaminate, exact_dup, filter_audit, html_text, mixing, near_dup, periodic_runs, secrets, sharding, tokens, toxicity
+from spanloom.llm import chat, decontaminate, exact_dup, filter_audit, html_text, jaccard_join, mixing, near_dup, periodic_runs, secrets, sharding, tokens, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -70,25 +70,30 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), per_cent=80)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), periodic_runs.planted_order)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_secrets, op3_sharding, op4_decontaminate, op5_near_dup, op6_exact_dup, op7_tokens, op8_html, op9_toxicity, op10_chat, op11_filter_audit, op13_periodic_runs)
+    f.__name__: f for f in (op1_mixing, op2_secrets, op3_sharding, op4_decontaminate, op5_near_dup, op6_exact_dup, op7_tokens, op8_html, op9_toxicity, op10_chat, op11_filter_audit, op12_jaccard_join, op13_periodic_runs)
 }
 
 #: All pairs that share a shingle, then everything reachable: right on tables of some thousand documents.
-NEAR_DUP_SQL = """
+_LINKED_SQL = """
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 sh AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
-e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {per_cent} * (x.n + y.n - c)),
 e2 AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, e2.b FROM r JOIN e2 ON e2.a = r.y),
 c AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x)
-SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id{more} FROM c LEFT JOIN n USING (doc_id)
 """
+NEAR_DUP_SQL = _LINKED_SQL.format(per_cent=85, more=", doc_id = component_id AS kept")
 
-ORACLE_SQL: dict[str, str] = {"op5_near_dup": NEAR_DUP_SQL, "op6_exact_dup": exact_dup.ORACLE, "op10_chat": chat.ORACLE, "op11_filter_audit": filter_audit.ORACLE, "op13_periodic_runs": periodic_runs.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op5_near_dup": NEAR_DUP_SQL, "op6_exact_dup": exact_dup.ORACLE, "op10_chat": chat.ORACLE, "op11_filter_audit": filter_audit.ORACLE, "op12_jaccard_join": _LINKED_SQL.format(per_cent=80, more=""), "op13_periodic_runs": periodic_runs.ORACLE}
