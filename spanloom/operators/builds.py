@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from itertools import chain
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom import vocab
 from spanloom.operators import edits as E
 from spanloom.operators import linking as K
-from spanloom.operators.locate import find_exact
+from spanloom.operators.locate import loose_occurrences, loosened, occurrences
 from spanloom.operators.records import short_term, systematic_sample
+from spanloom.operators.spans import islands
 from spanloom.operators.structure import parse_lines
 from spanloom.sources.shared import keep
 
@@ -40,86 +42,109 @@ def rule_votes(spans: DataFrame, docs: DataFrame, voter: str = "rule") -> DataFr
 
 # ---- items that are located one after another, each taking its place
 
-_ITEM = "doc_id bigint, item_ord int, start int, end int, reason string"
-
-
-def _flexible(text: str) -> re.Pattern | None:
-    """The words of a text with any spaces, hyphens or dashes between, in either case."""
-    parts = [re.escape(p) for p in re.split(r"[\s\-–—]+", text.strip()) if p]
-    return re.compile(r"[\s\-–—]+".join(parts), re.IGNORECASE) if parts else None
-
-
-def place_by_context(body: str, text: str, before: str, taken: list[tuple[int, int]]) -> tuple[int, int] | None:
-    """The only free place, or of several the one before which the longest piece of ``before``'s end (of three characters or
-    more) stands that singles one out."""
-    free = [s for s, _, _ in find_exact(body, text) if all(min(s + len(text), b) <= max(s, a) for a, b in taken)]
-    n = len(before)
-    while len(free) > 1 and n >= 3:
-        fits = [s for s in free if body.startswith(before[-n:], s - n) and s >= n]
-        if len(fits) == 1:
-            free = fits
-        n -= 1
-    return (free[0], free[0] + len(text)) if len(free) == 1 else None
-
-
-def place_by_ladder(body: str, text: str, before: str, taken: list[tuple[int, int]]) -> tuple[int, int] | None:
-    """The first free place: after ``before`` word for word, anywhere word for word, then with spaces, hyphens and case let
-    go, after ``before`` first.  One or two characters must stand after ``before`` there."""
-    text, before = text.strip(), (before or "")[-15:].strip()
-    pattern = _flexible(text)
-    if pattern is None:
-        return None
-    exact = [s for s, _, _ in find_exact(body, text)]
-    joined = body.find(before + text) if before else -1
-    if joined >= 0:
-        exact.insert(0, joined + len(before))
-    led = _flexible(before) if before else None
-    anchored = [(m.start(), m.end()) for b in (led.finditer(body) if led else ()) if (m := pattern.match(body, b.end()))]
-    loose = anchored + ([] if len(text) <= 2 else [m.span() for m in pattern.finditer(body)])
-    for s, e in [(s, s + len(text)) for s in exact] + loose:
-        if all(min(e, b) <= max(s, a) for a, b in taken):
-            return s, e
-    return None
-
-
-def place_items(items: DataFrame, base: DataFrame, docs: DataFrame, place: Callable) -> DataFrame:
+_PLACED = "doc_id bigint, item_ord int, start int, end int"
+LEAST_SUFFIX = 3
+_BEFORE = 15
+
+
+def context_candidates(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, item_ord, rank, start, end: the places of each text, ranked by how much of the end of ``before`` stands there
+    (rank is that length, negative)."""
+    at = items.join(occurrences(items, docs, nfc_fallback=False), ["doc_id", "text"]).join(docs, "doc_id")
+    at = at.withColumn("_led", F.expr("substring(body, greatest(start - length(before), 0) + 1, least(length(before), start))"))
+    same = F.expr("size(filter(sequence(1, greatest(length(before), 1)), n -> n <= length(before) and right(_led, n) = right(before, n)))")
+    return at.select("doc_id", "item_ord", (-same).alias("rank"), "start", "end")
+
+
+def ladder_candidates(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """As ``context_candidates``, with four ranks: the first place right after ``before`` (its last 15 characters), other
+    places word for word, then with case and gaps let go, right after ``before`` and anywhere.  Texts of one or two characters
+    have no places of the last rank.  Ends of texts and of ``before`` are trimmed."""
+    before = F.trim(F.expr(f"right(before, {_BEFORE})"))
+    loose = F.pandas_udf(lambda s: s.map(lambda t: loosened(t)[0].strip(" ")), "string")
+    asked = items.select("doc_id", "item_ord", F.trim("text").alias("text"), before.alias("_b"), loose(before).alias("_lb"))
+    left = F.expr(f"substring(body, greatest(start - {_BEFORE}, 0) + 1, least({_BEFORE}, start))")
+    exact = asked.join(occurrences(asked, docs, nfc_fallback=False), ["doc_id", "text"]).join(docs, "doc_id")
+    led = (F.col("_b") != "") & F.endswith(left, F.col("_b"))
+    first = F.min(F.when(led, F.col("start"))).over(Window.partitionBy("doc_id", "item_ord"))
+    exact = exact.select("doc_id", "item_ord", F.when(led & (F.col("start") == first), 0).otherwise(1).alias("rank"), "start", "end")
+    near = asked.join(loose_occurrences(asked, docs), ["doc_id", "text"])
+    rank = F.when((F.col("_lb") != "") & F.endswith("led", F.col("_lb")), 2).when(F.length("text") > 2, 3)
+    return exact.unionByName(near.select("doc_id", "item_ord", rank.alias("rank"), "start", "end").filter("rank is not null"))
+
+
+def _turns(unique: bool):
+    """Rows (doc_id, item_ord, rank, start, end) come by document, taken spans first (item_ord null), then the places of each
+    item by rank.  Each item takes its first free place; if ``unique``, only one that its rank singles out."""
+
+    def chosen(free: list[tuple[int, int, int]]) -> tuple[int, int, int] | None:
+        if not free or unique and len(free) > 1 and not (free[0][0] <= -LEAST_SUFFIX and free[0][0] < free[1][0]):
+            return None
+        return free[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, item, starts, ends, free = None, None, [], [], []
+
+        def turn(out: list) -> None:
+            if (got := chosen(free)) is not None:
+                at = bisect_right(starts, got[1])
+                starts.insert(at, got[1])
+                ends.insert(at, got[2])
+                out.append((doc, item, got[1], got[2]))
+
+        for batch in chain(batches, [None]):  # the last turn comes after the last row
+            out: list[tuple] = []
+            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True) if batch is not None else [(None, None, None, None, None)]
+            for d, i, rank, s, e in rows:
+                if (d, i) != (doc, item):
+                    turn(out)
+                    if d != doc:
+                        starts, ends = [], []
+                    doc, item, free = d, i, []
+                if i is None and s is not None:
+                    starts.append(s)
+                    ends.append(e)
+                elif s is not None:
+                    at = bisect_right(starts, s)
+                    if (at == 0 or ends[at - 1] <= s) and (at == len(starts) or starts[at] >= e):
+                        free.append((rank, s, e))
+            yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "item_ord", "start", "end"), r, strict=True)) for r in out], schema=_TURN)
+
+    return run
+
+
+_TURN = pa.schema([("doc_id", pa.int64()), ("item_ord", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
+
+
+def place_items(items: DataFrame, base: DataFrame, docs: DataFrame, candidates: Callable = context_candidates) -> DataFrame:
     """doc_id, item_ord, start, end, reason for items (doc_id, item_ord, text, before, at), in order: each takes a place that
     neither the base nor an earlier item has.  ``at`` is a known start, or null.  reason: placed, wrong place, not found.
 
-    What later items find depends on earlier ones, so a document's items are one sequence; a task holds one document."""
-    taken = base.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("taken"))
-    wanted = items.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("item_ord", "text", "before", F.coalesce("at", F.lit(-1)).alias("at")))).alias("items"))
-    rows = wanted.join(docs, "doc_id").join(taken, "doc_id", "left")
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for doc_id, body, todo, have in zip(batch["doc_id"], batch["body"], batch["items"], batch["taken"], strict=True):
-                used = [(x["start"], x["end"]) for x in (have if have is not None else ())]
-                for x in todo:
-                    text, at, span = x["text"] or "", x["at"], None
-                    if at >= 0:
-                        if text and body[at : at + len(text)] == text and all(min(at + len(text), b) <= max(at, a) for a, b in used):
-                            span = at, at + len(text)
-                        reason = "placed" if span else "wrong place"
-                    else:
-                        span = place(body, text, x["before"] or "", used) if text else None
-                        reason = "placed" if span else "not found"
-                    if span:
-                        used.append(span)
-                    out.append((doc_id, x["item_ord"], *(span or (None, None)), reason))
-            yield pd.DataFrame(out, columns=["doc_id", "item_ord", "start", "end", "reason"]).astype({"item_ord": "Int32", "start": "Int32", "end": "Int32"})
-
-    return rows.select("doc_id", "body", "items", "taken").mapInPandas(run, _ITEM)
-
-
-def add_items(base: DataFrame, items: DataFrame, docs: DataFrame, codes: DataFrame, place: Callable = place_by_context) -> tuple[DataFrame, DataFrame]:
+    By ``context_candidates`` an item is placed where one place is free, or where more of its ``before`` stands than at any
+    other free place, LEAST_SUFFIX characters at least; by ``ladder_candidates`` at the free place of the best rank.
+    Places are found and ranked by joins; only the turns are a sequence, streamed by document with its taken bounds in memory."""
+    known = items.filter("at is not null").join(docs, "doc_id").filter("text <> '' and substring(body, at + 1, length(text)) = text")
+    known = known.select("doc_id", "item_ord", F.lit(0).alias("rank"), F.col("at").alias("start"), (F.col("at") + F.length("text")).cast("int").alias("end"))
+    ranked = candidates(items.filter("at is null and text <> ''").withColumn("before", F.coalesce("before", F.lit(""))), docs)
+    # bases may overlap themselves: their islands are what is taken
+    taken = islands(base.select("doc_id", "start", "end"), ["doc_id"]).groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    none = F.lit(None).cast("int")
+    rows = known.unionByName(ranked).unionByName(taken.select("doc_id", none.alias("item_ord"), none.alias("rank"), "start", "end"))
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("int").alias(c) for c in ("item_ord", "rank", "start", "end")])
+    rows = rows.repartition("doc_id").sortWithinPartitions("doc_id", F.asc_nulls_first("item_ord"), "rank", "start", "end")
+    placed = rows.mapInArrow(_turns(candidates is context_candidates), _PLACED)
+    lost = F.when(F.col("at").isNotNull(), "wrong place").otherwise("not found")
+    told = items.select("doc_id", "item_ord", "at").join(placed, ["doc_id", "item_ord"], "left")
+    return told.select("doc_id", "item_ord", "start", "end", F.when(F.col("start").isNotNull(), "placed").otherwise(lost).alias("reason"))
+
+
+def add_items(base: DataFrame, items: DataFrame, docs: DataFrame, codes: DataFrame, candidates: Callable = context_candidates) -> tuple[DataFrame, DataFrame]:
     """(spans to add, item_ord and reason of every item) for re-extracted items (doc_id, item_ord, text, type, before, at,
     assertions): unknown types and, but for laboratory types, short terms go; the others are placed in order, coded by
     ``codes`` and keep the labels of the vocabulary."""
     kind = F.when(~F.col("type").isin(*vocab.TYPES), "unknown type").when(~F.col("type").isin(*LAB_TYPES) & short_term(F.col("text")), "short term")
     judged = items.withColumn("_why", kind)
-    placed = place_items(judged.filter("_why is null").select("doc_id", "item_ord", "text", "before", "at"), base, docs, place)
+    placed = place_items(judged.filter("_why is null").select("doc_id", "item_ord", "text", "before", "at"), base, docs, candidates)
     allowed = F.array(*[F.lit(a) for a in vocab.ASSERTIONS])
     found = placed.filter("reason = 'placed'").drop("reason").join(items.select("doc_id", "item_ord", "text", "type", F.array_intersect("assertions", allowed).alias("assertions")), ["doc_id", "item_ord"])
     # a place found with case or spaces let go holds the document's own text

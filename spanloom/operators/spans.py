@@ -7,6 +7,10 @@ compares all spans of a document with each other.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,17 +57,36 @@ def islands(spans: DataFrame, by: list[str]) -> DataFrame:
     return opened.withColumn("island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
+def _claims(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, island, start, end, ...) come by island and priority; those that find their place free pass.
+
+    The spans kept of the island in hand are disjoint, so a place is free where its two neighbours leave it so: n log n for an
+    island of any length, one batch and one island's bounds in memory."""
+    island, starts, ends = None, [], []
+    for batch in batches:
+        free = []
+        for d, i, s, e in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+            if (d, i) != island:
+                island, starts, ends = (d, i), [], []
+            at = bisect_right(starts, s)
+            free.append((at == 0 or ends[at - 1] <= s) and (at == len(starts) or starts[at] >= e))
+            if free[-1]:
+                starts.insert(at, s)
+                ends.insert(at, e)
+        yield batch.filter(pa.array(free, pa.bool_())).select([0, *range(2, batch.num_columns)])
+
+
 def greedy(spans: DataFrame, priority: list[Column], payload: list[str]) -> DataFrame:
-    """Keep spans in order of ``priority``, each unless it overlaps one kept before.
-
-    Spans of different islands cannot touch, so the fold runs over one island at a time, never over a document."""
-    keys = [p.alias(f"p{i}") for i, p in enumerate(priority)]
-    item = F.struct(*keys, F.col("start"), F.col("end"), *[F.col(c) for c in payload if c not in ("start", "end")])
-    grouped = islands(spans, ["doc_id"]).groupBy("doc_id", "island").agg(F.array_sort(F.collect_list(item)).alias("a"))
-    none = F.slice("a", 1, 0)
-    kept = F.aggregate("a", none, lambda acc, x: F.when(F.exists(acc, lambda k: (x["start"] < k["end"]) & (x["end"] > k["start"])), acc).otherwise(F.concat(acc, F.array(x))))
-    single = F.when(F.size("a") == 1, F.col("a")).otherwise(kept)
-    return grouped.select("doc_id", F.explode(single).alias("k")).select("doc_id", "k.start", "k.end", *[f"k.{c}" for c in payload if c not in ("start", "end")])
+    """Keep spans (not empty) in order of ``priority``, each unless it overlaps one kept before; ties by start, end and ``payload``.
+
+    Spans of different islands cannot touch, so each island is one sequence, sorted by Spark and streamed: no island is
+    gathered into a row.  Rounds of local winners would need as many rounds as a chain of spans, each beating the next, has
+    links; equal votes and lengths make such chains common."""
+    names = [c for c in payload if c not in ("start", "end")]
+    keys = [f"_p{i}" for i in range(len(priority))]
+    rows = islands(spans.select("doc_id", "start", "end", *names, *[p.alias(k) for k, p in zip(keys, priority, strict=True)]), ["doc_id"])
+    ordered = rows.sortWithinPartitions("doc_id", "island", *keys, "start", "end", *names).select("doc_id", "island", "start", "end", *names)
+    return ordered.mapInArrow(_claims, ordered.drop("island").schema)
 
 
 def best_overlap(left: DataFrame, right: DataFrame, id_col: str, order: list[str]) -> DataFrame:

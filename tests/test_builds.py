@@ -36,6 +36,38 @@ def free(s, e, taken):
     return all(min(e, b) <= max(s, a) for a, b in taken)
 
 
+def plain_by_context(body, text, before, taken):
+    """By trying every place: how many characters of ``before`` stand there, counted one by one."""
+    scored = []
+    for s in range(len(body) - len(text) + 1):
+        if body.startswith(text, s) and free(s, s + len(text), taken):
+            k = 0
+            while k < len(before) and k < s and before[-k - 1] == body[s - k - 1]:
+                k += 1
+            scored.append((k, s))
+    most = max(scored, default=(0, 0))[0]
+    best = [s for k, s in scored if k == most]
+    if len(scored) != 1 and (len(best) != 1 or most < 3):
+        return None
+    return best[0], best[0] + len(text)
+
+
+def plain_by_ladder(body, text, before, taken):
+    """By trying every stretch of the body, each rank in turn."""
+    text, before = text.strip(), before[-15:].strip()
+
+    def bare(t):
+        return " ".join(re.split(r"[\s\-–—]+", t.lower()))
+
+    stretches = [(s, e) for s in range(len(body)) for e in range(s + 1, min(len(body), s + 3 * len(text) + 6) + 1)]
+    exact = [(s, e) for s, e in stretches if body[s:e] == text]
+    after = [(s, e) for s, e in exact if before and body[:s].endswith(before)][:1]
+    solid = [(s, e) for s, e in stretches if not re.match(r"[\s\-–—]", body[s]) and not re.match(r"[\s\-–—]", body[e - 1])]
+    loose = [(s, e) for s, e in solid if bare(body[s:e]) == bare(text).strip()]
+    led = [(s, e) for s, e in loose if bare(before).strip() and bare(body[:s]).endswith(bare(before).strip())]
+    return next((x for x in after + exact + led + (loose if len(text) > 2 else []) if free(*x, taken)), None)
+
+
 def test_items_take_their_places_in_order(spark):
     docs, rng = small_corpus(1)
     base = [(i, 1, 0, 3, b[:3], S, []) for i, b in docs]
@@ -49,8 +81,8 @@ def test_items_take_their_places_in_order(spark):
     df = spark.createDataFrame(items, "doc_id long, item_ord int, text string, type string, before string, at int, assertions array<string>").repartition(3)
     codes = spark.createDataFrame([("đau", D, ["R52"])], "surface string, type string, codes array<string>")
     frames = spark.createDataFrame(base, SPAN), spark.createDataFrame(docs, "doc_id long, body string")
-    for place in (B.place_by_context, B.place_by_ladder):
-        added, reasons = B.add_items(frames[0], df, frames[1], codes, place)
+    for rule, place in ((B.context_candidates, plain_by_context), (B.ladder_candidates, plain_by_ladder)):
+        added, reasons = B.add_items(frames[0], df, frames[1], codes, rule)
         got = {(r.doc_id, r.item_ord): (r.start, r.end, r.text, r.codes) for r in added.collect()}
         want, why = {}, {}
         for i, body in docs:
@@ -72,13 +104,23 @@ def test_items_take_their_places_in_order(spark):
     assert E.recode(frames[0], codes, F.lit(True)).count() == len(docs)
 
 
-def test_places_of_single_items():
+def test_places_of_single_items(spark):
     body = "đau ngực, rồi đau lưng; AST - 3 và ast–3"
-    assert B.place_by_context(body, "đau", "rồi ", []) == (14, 17)
-    assert B.place_by_context(body, "đau", "xx", []) is None and B.place_by_context(body, "đau", "", [(0, 3)]) == (14, 17)
-    assert B.place_by_ladder(body, "đau", "rồi ", []) == (0, 3) or body[14:17] == "đau"
-    assert B.place_by_ladder(body, "AST-3", "", []) == (24, 31) and B.place_by_ladder(body, "ast 3", "", [(24, 31)]) == (35, 40)
-    assert B.place_by_ladder(body, "k", "", []) is None and B.place_by_ladder(body, " ", "", []) is None
+    docs = spark.createDataFrame([(1, body)], "doc_id long, body string")
+    none = spark.createDataFrame([], "doc_id long, start int, end int")
+
+    def placed(rule, text, before, taken=()):
+        item = spark.createDataFrame([(1, 0, text, before, None)], "doc_id long, item_ord int, text string, before string, at int")
+        base = spark.createDataFrame([(1, *t) for t in taken], none.schema)
+        return B.place_items(item, base, docs, rule).select("start", "end", "reason").first()
+
+    assert placed(B.context_candidates, "đau", "rồi ") == (14, 17, "placed")
+    assert placed(B.context_candidates, "đau", "xx") == (None, None, "not found")
+    assert placed(B.context_candidates, "đau", None, [(0, 3), (1, 4)]) == (14, 17, "placed")
+    assert placed(B.ladder_candidates, "đau", "rồi ") == (0, 3, "placed")  # a blank between is not right after
+    assert placed(B.ladder_candidates, "AST-3", "") == (24, 31, "placed")
+    assert placed(B.ladder_candidates, "ast 3", "", [(24, 31)]) == (35, 40, "placed")
+    assert placed(B.ladder_candidates, "k", "")[2] == placed(B.ladder_candidates, " ", "")[2] == "not found"
 
 
 @pytest.mark.parametrize("stage", [1, 2])
@@ -120,10 +162,10 @@ def test_unicode_forms_are_found():
     for form in ("NFC", "NFD"):
         for other in ("NFC", "NFD"):
             text, needle = unicodedata.normalize(form, body), unicodedata.normalize(other, "đau đầu")
-            hits = L.find_nfc(text, needle)
+            hits = L.find_nfc(text, [needle])[needle]
             assert [unicodedata.normalize("NFC", text[s:e]) for s, e, _ in hits] == ["đau đầu"], (form, other)
     long = unicodedata.normalize("NFD", "đau bụng âm ỉ " * 4000)
-    assert len(L.find_nfc(long, "âm ỉ")) == 4000 and L.find_nfc("ascii only", "é") == [] and L.find_nfc("x", "") == []
+    assert len(L.find_nfc(long, ["âm ỉ"])["âm ỉ"]) == 4000 and L.find_nfc("ascii only", ["é"]) == {"é": []} and L.find_nfc("x", [""]) == {"": []}
 
 
 def test_rescue_finds_texts_anywhere(spark):

@@ -167,7 +167,7 @@ def test_locate_cases(spark):
     assert got == {0: (0, 2, "exact", "ordinal"), 1: (12, 15, "exact", "accepted"), 2: (4, 7, "exact", "accepted"), 3: (None, None, None, "context"), 4: (None, None, None, "not found"), 5: (0, 5, "nfc", "accepted")}
     strict = {r.item_ord: r.reason for r in L.locate_strict(votes, docs).collect()}
     assert strict == {0: "ambiguous", 1: "accepted", 2: "accepted", 3: "context", 4: "not found", 5: "accepted"}
-    assert L.find_exact("aaaa", "aa") == [(0, 2, "exact"), (1, 3, "exact"), (2, 4, "exact")] and L.find_exact("a", "") == []
+    assert L.find_all("aaaa", ["aa", ""]) == {"aa": [(0, 2, "exact"), (1, 3, "exact"), (2, 4, "exact")], "": []}
 
 
 def test_equal_requests_take_places_in_order(spark):
