@@ -146,20 +146,20 @@ def tolerant_json(spark, d):
     return e.select("event_id", F.col("o.k").try_cast("bigint").alias("k"), F.col("o").isNotNull().alias("ok"))
 
 
-def _hits(need: str) -> dict[str, str]:
-    """CTE ``pos`` (doc_id, text, p): every place, overlapping ones included, of the distinct texts of ``need``; a step of the
+def hits_sql(need: str, name: str = "pos", docs: str = "docs") -> dict[str, str]:
+    """CTE ``name`` (doc_id, text, p): every place, overlapping ones included, of the distinct texts of ``need``; a step of the
     recursion finds the next place of each."""
     return {
-        "need": need,
-        "pos": """SELECT doc_id, text, instr(body, text)::BIGINT - 1 AS p FROM need JOIN docs USING (doc_id) WHERE instr(body, text) > 0
-          UNION ALL SELECT h.doc_id, h.text, h.p + instr(substr(body, h.p + 2), h.text) FROM pos h JOIN docs d ON d.doc_id = h.doc_id WHERE instr(substr(body, h.p + 2), h.text) > 0""",
+        f"need_{name}": need,
+        name: f"""SELECT doc_id, text, instr(body, text)::BIGINT - 1 AS p FROM need_{name} JOIN {docs} USING (doc_id) WHERE instr(body, text) > 0
+          UNION ALL SELECT h.doc_id, h.text, h.p + instr(substr(body, h.p + 2), h.text) FROM {name} h JOIN {docs} d ON d.doc_id = h.doc_id WHERE instr(substr(body, h.p + 2), h.text) > 0""",
     }
 
 
 @query(
     V.sql(
         "SELECT doc_id, text, count(*) AS n, min(p)::BIGINT AS first, max(p)::BIGINT AS last FROM pos GROUP BY ALL",
-        "mention", "docs", extra=_hits("SELECT DISTINCT doc_id, text FROM mention"),
+        "mention", "docs", extra=hits_sql("SELECT DISTINCT doc_id, text FROM mention"),
     )
 )
 def locate_all(spark, d):
@@ -184,7 +184,7 @@ def _requests(spark, d):
 _REQ = {
     "vc": "SELECT v.*, substr(body, greatest(s - 15, 0) + 1, least(15, s)::BIGINT) AS l, substr(body, e + 1, 15) AS r FROM votes v JOIN docs USING (doc_id)",
     "req": "SELECT doc_id, voter, item_ord, text, type, CASE s % 5 WHEN 0 THEN right(l, 6) WHEN 1 THEN 'x' || l ELSE l END AS bef, CASE s % 5 WHEN 1 THEN left(r, 6) WHEN 2 THEN '' ELSE r END AS aft FROM vc",
-} | _hits("SELECT DISTINCT doc_id, text FROM req") | {
+} | hits_sql("SELECT DISTINCT doc_id, text FROM req") | {
     "hit": "SELECT doc_id, text, p, substr(body, greatest(p - 15, 0) + 1, least(15, p)) AS l, substr(body, p + length(text) + 1, 15) AS r FROM pos JOIN docs USING (doc_id)",
 }
 _G = "doc_id, voter, text, type, bef, aft"
@@ -226,7 +226,7 @@ def locate_strict_reasons(spark, d):
     return V.flat(out.select("doc_id", "voter", "item_ord", "start", "n_hits", "reason"))
 
 
-@query(V.sql("SELECT doc_id, text, count(*) AS n FROM pos GROUP BY ALL", "mention", "docs", extra=_hits("SELECT DISTINCT doc_id, text FROM mention WHERE strlen(text) > length(text)")))
+@query(V.sql("SELECT doc_id, text, count(*) AS n FROM pos GROUP BY ALL", "mention", "docs", extra=hits_sql("SELECT DISTINCT doc_id, text FROM mention WHERE strlen(text) > length(text)")))
 def locate_nfc_fallback(spark, d):
     """Needles are taken apart (NFD), so that only the fallback finds them; the composed form's count is the truth."""
     return _located_nfc(spark, d, V.mentions(spark, d))
