@@ -76,6 +76,14 @@ def bloom_bits(n: int) -> int:
     return bits
 
 
+def bloom_words(places: DataFrame, bits: int) -> np.ndarray:
+    """The words of a filter of ``bits`` bits, set at the places (column at) of the table."""
+    words = places.selectExpr("cast(at div 64 as int) i", "shiftleft(1L, cast(at % 64 as int)) w").groupBy("i").agg(F.bit_or("w").alias("w")).toPandas()
+    table = np.zeros(bits // 64, dtype=np.int64)
+    table[words["i"].to_numpy(dtype=np.int64)] = words["w"].to_numpy(dtype=np.int64)
+    return table
+
+
 def bloom_filter(ids: DataFrame, name: str) -> Column:
     """A test that holds for every id of the column and for few others.
 
@@ -86,11 +94,7 @@ def bloom_filter(ids: DataFrame, name: str) -> Column:
     def place(c: Column) -> Column:
         return F.pmod(F.xxhash64(c), F.lit(bits))
 
-    at = ids.select(place(F.col(name)).alias("at"))
-    words = at.selectExpr("cast(at div 64 as int) i", "shiftleft(1L, cast(at % 64 as int)) w").groupBy("i").agg(F.bit_or("w").alias("w")).toPandas()
-    table = np.zeros(bits // 64, dtype=np.int64)
-    table[words["i"].to_numpy(dtype=np.int64)] = words["w"].to_numpy(dtype=np.int64)
-    shared = ids.sparkSession.sparkContext.broadcast(table)
+    shared = ids.sparkSession.sparkContext.broadcast(bloom_words(ids.select(place(F.col(name)).alias("at")), bits))
 
     @F.pandas_udf("boolean")
     def hit(position):
