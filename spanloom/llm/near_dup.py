@@ -78,9 +78,9 @@ def bloom_bits(n: int) -> int:
 
 def bloom_words(places: DataFrame, bits: int) -> np.ndarray:
     """The words of a filter of ``bits`` bits, set at the places (column at) of the table."""
-    words = places.selectExpr("cast(at div 64 as int) i", "shiftleft(1L, cast(at % 64 as int)) w").groupBy("i").agg(F.bit_or("w").alias("w")).toPandas()
+    words = places.selectExpr("cast(at div 64 as int) i", "shiftleft(1L, cast(at % 64 as int)) w").groupBy("i").agg(F.bit_or("w").alias("w")).toArrow()  # as columns: rows would be a Python object each
     table = np.zeros(bits // 64, dtype=np.int64)
-    table[words["i"].to_numpy(dtype=np.int64)] = words["w"].to_numpy(dtype=np.int64)
+    table[words["i"].to_numpy()] = words["w"].to_numpy()
     return table
 
 
