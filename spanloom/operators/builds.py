@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom import vocab
+from spanloom.operators import bloom
 from spanloom.operators import edits as E
 from spanloom.operators import linking as K
 from spanloom.operators.locate import loose_occurrences, loosened, occurrences
@@ -155,19 +159,96 @@ def add_items(base: DataFrame, items: DataFrame, docs: DataFrame, codes: DataFra
 
 # ---- further mentions of known surfaces, whatever their case, spaces and hyphens
 
-_PIECES = r"[0-9A-Za-zÀ-ỹ]+|[^\s\-–—0-9A-Za-zÀ-ỹ]"
+# ASCII white space only, as Spark's own patterns have it
+PIECES = re.compile(r"[0-9A-Za-zÀ-ỹ]+|[^\s\-–—0-9A-Za-zÀ-ỹ]", re.ASCII)
+_ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03))  # odd constants of 64 bits
+
+
+class PieceKeys:
+    """Words and single other marks of texts, and 128-bit keys of any run of them from two prefix sums (Karp and Rabin).
+
+    A key tells the pieces in lower case, and between which of them a gap (spaces, hyphens, dashes) stands."""
+
+    def __init__(self) -> None:
+        self.seen: dict[str, int] = {}
+        self.powers = np.ones((2, 1), dtype=np.uint64)
+
+    def _value(self, piece: str) -> int:
+        low = piece.lower()
+        if low not in self.seen:
+            self.seen[low] = int.from_bytes(blake2b(low.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return self.seen[low]
+
+    def cut(self, text: str) -> None:
+        """Sets start, end, glued (no gap before), word (letters or digits) and the sums for the pieces of ``text``."""
+        found = list(PIECES.finditer(text))
+        self.start, self.end = (np.array([f(m) for m in found], dtype=np.int64) for f in (re.Match.start, re.Match.end))
+        self.glued = np.append(False, self.start[1:] == self.end[:-1]) if found else np.zeros(0, dtype=bool)
+        self.word = np.array([_WORD.match(m[0]) is not None for m in found], dtype=bool)
+        own = np.array([self._value(m[0]) for m in found], dtype=np.uint64)
+        n = len(found)
+        if self.powers.shape[1] <= n:
+            self.powers = np.stack([np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(2 * n, x)))) for x in _ODD])
+        self.own = own
+        led = own * np.uint64(2) + self.glued
+        # a piece weighs by its place from the text's start; the power of a run's start makes that its place in the run
+        inverse = [np.uint64(pow(int(x), -1, 1 << 64)) for x in _ODD]
+        back = [np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(n, x)))) for x in inverse]
+        self.sums = [np.concatenate(([np.uint64(0)], np.cumsum(led * b[:n]))) for b in back]
+
+    def runs(self, size: int) -> np.ndarray:
+        """(2, count) keys of the runs of ``size`` pieces, by their first piece."""
+        count = max(len(self.own) - size + 1, 0)
+        keys = np.empty((2, count), dtype=np.uint64)
+        for k, (sums, power) in enumerate(zip(self.sums, self.powers, strict=True)):
+            h = self.own[:count] + (sums[size : size + count] - sums[1 : 1 + count]) * power[:count]
+            h = (h ^ (h >> np.uint64(32))) * _ODD[1 - k] + np.uint64(size)
+            keys[k] = h ^ (h >> np.uint64(29))
+        return keys
+
+    def free(self, size: int) -> np.ndarray:
+        """Which of these runs have no letter or digit right before or after."""
+        count = max(len(self.own) - size + 1, 0)
+        before = self.glued & np.append(False, self.word[:-1]) if len(self.own) else self.glued
+        after = np.append(self.glued & self.word, False)
+        return ~before[:count] & ~after[size : size + count]
+
+
+_WORD = re.compile(r"[0-9A-Za-zÀ-ỹ]")
+
+
+def _term_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keys = PieceKeys()
+    for batch in batches:
+        rows = []
+        for text, kind in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            keys.cut(text)
+            if size := len(keys.own):
+                k1, k2 = keys.runs(size).view(np.int64)[:, 0].tolist()
+                rows.append({"text": text, "type": kind, "size": size, "k1": k1, "k2": k2})
+        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("text", pa.string()), ("type", pa.string()), ("size", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64())]))
+
+
+def _run_batches(sizes: list[int], words):
+    """Rows (doc_id, body) to the runs of ``sizes`` pieces that the filter of known keys lets pass."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = PieceKeys()
+        for batch in batches:
+            for doc_id, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = body.as_py()
+                keys.cut(text)
+                for size in sizes:
+                    if size > len(keys.own):
+                        break
+                    k = keys.runs(size).view(np.int64)
+                    at = np.flatnonzero(keys.free(size) & bloom.hits(words.value, k[0]))
+                    starts, ends = keys.start[at], keys.end[at + size - 1]
+                    shown = [text[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+                    columns = [pa.array([doc_id] * len(at), pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(shown, pa.string())]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(at), size, dtype=np.int32)), pa.array(k[0, at]), pa.array(k[1, at])], ["doc_id", "start", "end", "shown", "size", "k1", "k2"])
 
-def _pieces(rows: DataFrame, text: str) -> DataFrame:
-    """``rows`` with n, piece, at, gap: words and single other marks of ``text``, with a flag for a gap before."""
-    keys = [c for c in rows.columns if c != text]
-    # pieces and gaps alternate; zipped, a row carries its own two strings and not the whole text
-    zipped = F.arrays_zip(F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0)).alias("piece"), F.split(text, _PIECES).alias("before"))
-    each = rows.select(*keys, F.posexplode(zipped).alias("n", "z")).select(*keys, "n", "z.piece", "z.before").filter("piece is not null")
-    w = Window.partitionBy(*keys).orderBy("n")
-    skipped = F.length("before")
-    end = F.sum(skipped + F.length("piece")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return each.select(*keys, "n", "piece", (end - F.length("piece")).cast("int").alias("at"), (skipped > 0).alias("gap"))
+    return run
 
 
 def repeat_scan(base: DataFrame, docs: DataFrame, stage: int = 1) -> DataFrame:
@@ -177,35 +258,17 @@ def repeat_scan(base: DataFrame, docs: DataFrame, stage: int = 1) -> DataFrame:
     stage 1: word for word, no short terms.  stage 2: spaces, hyphens and case let go, short terms too unless they are
     numbers; word-for-word mentions of longer terms are stage 1's.  A mention has no letter or digit on either side.
 
-    Both sides are cut into words and marks; a surface's pieces, with what stands between them, are one key, and the
-    documents' runs of as many pieces as any surface has meet it in an equi-join."""
+    Both sides are cut into words and marks.  The key of a surface's pieces meets the keys of the documents' runs of as many
+    pieces in an equi-join; a Bloom filter of the surfaces' keys goes before it, so that few runs are rows."""
     order = F.array_position(F.array(*[F.lit(t) for t in vocab.TYPES]), F.col("type"))
     kinds = base.groupBy("text", "type").agg(F.count("*").alias("c"))
     terms = kinds.groupBy("text").agg(F.min_by("type", F.struct((-F.col("c")).alias("c"), order.alias("o"))).alias("type")).filter("trim(text) <> ''")
     short = short_term(F.col("text"))
     terms = terms.filter(~short if stage == 1 else ~(short & F.col("text").rlike(r"^[\d.,]+$")))
-    joint = F.when(F.col("gap") & (F.col("n") > 0), F.concat(F.lit(" "), F.lower("piece"))).otherwise(F.concat(F.lit("\x01"), F.lower("piece")))
-    cut = _pieces(terms.withColumn("body", F.col("text")), "body")
-    keyed = cut.withColumn("j", joint).groupBy("text", "type").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "j"))), lambda x: x["j"]), "").alias("key"), F.count("*").alias("size"))
-    keyed = keep(keyed)
-    sizes = sorted(r["size"] for r in keyed.select("size").distinct().collect())  # as many as surfaces have lengths
-    if not sizes:
-        return base.limit(0).select("doc_id", "start", "end", "text", "type")
-    w = Window.partitionBy("doc_id").orderBy("n")
-    marks = _pieces(docs, "body").withColumn("stop", F.col("at") + F.length("piece"))
-    word = r"^[0-9A-Za-zÀ-ỹ]"
-    own, led = F.concat(F.lit("\x01"), F.lower("piece")), F.concat(F.when(F.col("gap"), F.lit(" ")).otherwise(F.lit("\x01")), F.lower("piece"))
-    last = sizes[-1]
-    # the pieces ahead as columns, so that keys are plain concatenations
-    ahead = marks.withColumn("_j", led).select(
-        "doc_id", "at", F.lag("piece").over(w).alias("_prev"), "gap", own.alias("_j0"), F.col("stop").alias("_s0"),
-        *[F.lead("_j", i).over(w).alias(f"_j{i}") for i in range(1, last)], *[F.lead("stop", i).over(w).alias(f"_s{i}") for i in range(1, last)],
-        *[F.lead(F.when(~F.col("gap") & F.col("piece").rlike(word), 1).otherwise(0), n).over(w).alias(f"_w{n}") for n in sizes],
-    )
-    ahead = ahead.filter(~F.coalesce(~F.col("gap") & F.col("_prev").rlike(word), F.lit(False)))
-    tries = [F.struct(F.lit(n).cast("long").alias("size"), F.concat(*[f"_j{i}" for i in range(n)]).alias("key"), F.col(f"_s{n - 1}").alias("stop"), (F.coalesce(f"_w{n}", F.lit(0)) == 0).alias("free")) for n in sizes]
-    runs = ahead.select("doc_id", "at", F.explode(F.array(*tries)).alias("x")).filter("x.key is not null and x.free").select("doc_id", F.col("at").alias("start"), F.col("x.stop").alias("end"), "x.size", "x.key")
-    hits = runs.join(keyed, ["size", "key"]).join(docs, "doc_id").withColumn("shown", F.expr("substring(body, start + 1, end - start)")).drop("body")
+    keyed = keep(terms.select("text", "type").mapInArrow(_term_batches, "text string, type string, size int, k1 bigint, k2 bigint"))
+    sizes = sorted(r["size"] for r in keyed.select("size").distinct().collect())  # n lengths need n * n / 2 pieces of surfaces
+    runs = docs.select(F.col("doc_id").cast("long"), "body").mapInArrow(_run_batches(sizes, bloom.words(keyed, "k1")), "doc_id bigint, start int, end int, shown string, size int, k1 bigint, k2 bigint")
+    hits = runs.join(keyed, ["size", "k1", "k2"])
     same = F.col("shown") == F.col("text")
     hits = hits.filter(same if stage == 1 else ~same | short_term(F.col("text")))
     # several surfaces may share a key: the longest one, then the first
