@@ -308,19 +308,37 @@ _WORDS = "list_filter(string_split_regex(coalesce({0}, ''), '\\s+'), lambda x: x
 _ENC = "array_to_string(list_transform({0}, lambda w: chr(64 + list_position(list_concat({1}, {2}), w)::INTEGER)), '')"
 
 
-def _final_sql() -> str:
+#: The table of the distance of two documents' words, a row of it in each step of the recursion.
+_CONCAT = {
+    "gl": f"SELECT doc_id, {_WORDS.format("string_agg(text, ' ' ORDER BY s, base_ord)")} AS l FROM ga GROUP BY doc_id",
+    "pl": f"SELECT doc_id, {_WORDS.format("string_agg(text, ' ' ORDER BY s, e, type)")} AS l FROM pb GROUP BY doc_id",
+    "gw": "SELECT doc_id, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM gl",
+    "pw": "SELECT doc_id, unnest(l) AS w, generate_subscripts(l, 1) AS j FROM pl",
+    "size": "SELECT g.doc_id, len(g.l) AS n, coalesce(len(p.l), 0) AS m FROM gl g LEFT JOIN pl p USING (doc_id)",
+    "dp": """SELECT doc_id, 0::BIGINT AS i, unnest(range(m + 1)) AS j, unnest(range(m + 1)) AS v FROM size
+      UNION ALL SELECT doc_id, i + 1, j, j + min(t - j) OVER (PARTITION BY doc_id ORDER BY j) FROM (
+        SELECT d.doc_id, d.i, d.j, CASE WHEN d.j = 0 THEN d.i + 1 ELSE least(d.v + 1, lag(d.v) OVER (PARTITION BY d.doc_id ORDER BY d.j) + CASE WHEN g.w = p.w THEN 0 ELSE 1 END) END AS t
+        FROM dp d JOIN gw g ON g.doc_id = d.doc_id AND g.i = d.i + 1 LEFT JOIN pw p ON p.doc_id = d.doc_id AND p.j = d.j)""",
+    "cd": "SELECT doc_id, CASE WHEN n > 0 THEN 1 - v / n::DOUBLE WHEN m = 0 THEN 1.0 ELSE '-inf'::DOUBLE END AS t FROM size JOIN dp USING (doc_id) WHERE i = n AND j = m",
+}
+
+
+def _final_sql(concat: bool = False) -> str:
     parts = []
     ctes: dict[str, str] = {}
     g, p = _WORDS.format("gt"), _WORDS.format("pt")
-    w = f"CASE WHEN NOT (ing AND inp) THEN 0.0 ELSE 1 - levenshtein({_ENC.format(g, g, p)}, {_ENC.format(p, g, p)}) / len({g})::DOUBLE END"
+    text_mode = "concat" if concat else "per_concept"
+    w = "cd.t" if concat else f"CASE WHEN NOT (ing AND inp) THEN 0.0 ELSE 1 - levenshtein({_ENC.format(g, g, p)}, {_ENC.format(p, g, p)}) / len({g})::DOUBLE END"
     for mode in _MODE_KEYS:
+        if concat:
+            ctes |= _SETS | _CONCAT
         for k, v in _pairs_cte(mode).items():
             if k in _SETS:
                 ctes[k] = v
             else:
                 ctes[f"{k}_{mode}"] = v.replace("FROM gn g FULL JOIN pn p", f"FROM gn_{mode} g FULL JOIN pn_{mode} p")
-        ctes[f"doc_{mode}"] = f"SELECT doc_id, avg({w}) AS t, avg({_jac('gasr', 'pasr')}) AS a, avg({_jac('gc', 'pc')}) AS c, sum(CASE WHEN ing THEN len({_set('gc')}) + 1 ELSE 0 END) AS w FROM pr_{mode} GROUP BY doc_id"
-        parts.append(f"SELECT '{mode}' AS mode, 'per_concept' AS text_mode, round(avg(t), 6) AS text_score, round(avg(a), 6) AS assertions_score, round(sum(c * w) / sum(w), 6) AS candidates_score, round(0.3 * avg(t) + 0.3 * avg(a) + 0.4 * sum(c * w) / sum(w), 6) AS final_score FROM doc_{mode}")
+        ctes[f"doc_{mode}"] = f"SELECT doc_id, avg({w}) AS t, avg({_jac('gasr', 'pasr')}) AS a, avg({_jac('gc', 'pc')}) AS c, sum(CASE WHEN ing THEN len({_set('gc')}) + 1 ELSE 0 END) AS w FROM pr_{mode} {'JOIN cd USING (doc_id)' if concat else ''} GROUP BY doc_id"
+        parts.append(f"SELECT '{mode}' AS mode, '{text_mode}' AS text_mode, round(avg(t), 6) AS text_score, round(avg(a), 6) AS assertions_score, round(sum(c * w) / sum(w), 6) AS candidates_score, round(0.3 * avg(t) + 0.3 * avg(a) + 0.4 * sum(c * w) / sum(w), 6) AS final_score FROM doc_{mode}")
     return V.sql(" UNION ALL ".join(parts), "base", "okey", "omode", "cmap", extra=ctes)
 
 
@@ -334,14 +352,14 @@ def evaluate_final(spark, d):
     return _rounded(M.evaluate(gold, pred, gold.select("doc_id").distinct(), text_modes=("per_concept",)))
 
 
-@query()
+@query(_final_sql(concat=True))
 def evaluate_concat(spark, d):
-    """Word error rate of whole documents: SQL has no word-level distance, tests compare it with a plain one."""
+    """Word error rate of whole documents."""
     gold, pred = _gold(spark, d), _pred(spark, d)
     return _rounded(M.evaluate(gold, pred, gold.select("doc_id").distinct(), text_modes=("concat",)))
 
 
-@query()
+@query(V.sql("SELECT doc_id, round(t, 6) AS text_score, w AS weight FROM cd JOIN (SELECT doc_id, sum(len({set}) + 1)::BIGINT AS w FROM ga GROUP BY doc_id) USING (doc_id)".format(set=_set("codes")), "base", "okey", "omode", "cmap", extra=_SETS | _CONCAT))
 def wer_concat(spark, d):
     gold, pred = _gold(spark, d), _pred(spark, d)
     return M.sample_scores(gold, pred, gold.select("doc_id").distinct(), ["text_type"], ("concat",)).select("doc_id", F.round("text", 6).alias("text_score"), "weight")

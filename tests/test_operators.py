@@ -1,6 +1,7 @@
 """Operators against plain Python on small random cases, and the table-driven cases of names, codes and labels."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,6 +120,21 @@ def test_wer_equals_dynamic_programming(spark):
     for row in M.wer(df, "a", "b", "w").collect():
         a, b = pairs[row.i]
         assert row.w == pytest.approx(distance(a, b) / len(a) if a else (float("inf") if b else 0.0))
+        assert M.word_distance(a, b) == distance(a, b)
+    again = {r.i: r.w for r in M.wer_of_documents(df, "a", "b", "w").collect()}
+    assert again == {r.i: r.w for r in M.wer(df, "a", "b", "w").collect()}
+
+
+def test_word_distance_of_very_long_texts():
+    r = random.Random(3)
+    a = [f"w{int(r.paretovariate(0.7)) % 60_000}" for _ in range(100_000)]
+    b = list(a)
+    for _ in range(500):
+        b[r.randrange(len(b))] = "other"
+    b = b[7:50_000] + ["x", "y"] + b[50_000:]
+    began = time.time()
+    assert 490 <= M.word_distance(a, b) <= 509
+    assert M.word_distance(a, b[::-1]) > 50_000 and time.time() - began < 60
 
 
 def test_scores_of_special_sets(spark):
