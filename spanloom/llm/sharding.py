@@ -8,9 +8,9 @@ the corpus, which is why the driver may hold and broadcast it.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
-import zlib
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -112,7 +112,7 @@ def text_crc32() -> Column:
 
 def map_folder(spark: SparkSession, name: str) -> str:
     """Where the versions of the map of the table ``name`` (any text, such as its path) are kept."""
-    return f"{shared_folder(spark)}/slot-map-{zlib.crc32(name.encode()):08x}"
+    return f"{shared_folder(spark)}/slot-map-{hashlib.sha256(name.encode()).hexdigest()}"
 
 
 def with_slots(docs: DataFrame, slots: int = SLOTS) -> DataFrame:

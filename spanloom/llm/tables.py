@@ -3,22 +3,12 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.  Where it is unset (tests, one machine) a folder is made and set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spanloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+from spanloom.sources.shared import shared_folder
 
 
 def keep(df: DataFrame) -> DataFrame:
@@ -53,7 +43,8 @@ BATCH_BYTES = 8 << 20
 
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     """``df.mapInArrow`` in batches of at most BATCH_BYTES and one row, unless the session asks for smaller ones: texts of
-    any length then cost a task, on both sides, memory for one batch or one text."""
+    any length then cost a task, on both sides, memory for one batch or one text.  Spark reads that setting when the plan
+    runs, so the session keeps it."""
     spark, name = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(name, "64m").strip().lower()
     size = int(re.sub(r"[^0-9-]", "", now)) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(re.sub(r"[0-9b-]", "", now)[:1], 1)
