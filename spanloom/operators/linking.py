@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom import vocab
-from spanloom.functions.text import surface, term
+from spanloom.functions.text import surface, term, words
+from spanloom.operators.search import dense_topk
 from spanloom.operators.spans import anti_overlap, greedy
+from spanloom.sources.shared import keep
 
 _CI = "(?iu)"
 
@@ -208,3 +212,41 @@ def force_drugs(spans: DataFrame, index: DataFrame) -> DataFrame:
     keys = [c for c in spans.columns]
     told = spans.join(forced.withColumn("forced", F.lit(True)), keys, "left").withColumn("forced", F.coalesce("forced", F.lit(False)))
     return told.withColumn("type", F.when(F.col("forced"), vocab.DRUG).otherwise(F.col("type")))
+
+
+# ---- codes of spans, by dictionaries and by the nearest entry among codes with a prefix
+
+
+def by_prefix(codes: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Rows of ``codes`` (code, ...) beside each of ``prefixes`` (prefix, ...) that they begin with.
+
+    A code meets its own beginnings, as many as it has characters, in an equi-join; an empty prefix takes every code."""
+    own = F.transform(F.sequence(F.lit(0), F.length("code")), lambda n: F.substring(F.col("code"), F.lit(1), n))
+    return codes.withColumn("prefix", F.explode(own)).join(prefixes, "prefix")
+
+
+def code_spans(spans: DataFrame, entries: Mapping[str, Sequence[tuple[str, str]]], valid: DataFrame, index: DataFrame, prefixes: Mapping[str, str], whole: tuple[str, ...] = (vocab.SYMPTOM,)) -> DataFrame:
+    """id, code, source (dictionary, index) for spans (id, type, text, embedding); both null where there is no code.
+
+    ``entries`` has for a type its terms and codes, in order: the first whose code is in ``valid`` (code) and whose term the text holds
+    counts (for types of ``whole``: is the text, or a word of it).  Spans without one take the code of the most similar row of
+    ``index`` (vec_id, code, embedding) among the codes with the prefix that their type has in ``prefixes``; other types get none.
+    Dictionaries are closed lists, so they are expressions; the index is searched once for each prefix."""
+    known = {r.code for r in valid.filter(F.col("code").isin(*sorted({c for e in entries.values() for _, c in e}))).select("code").distinct().collect()}
+    low = F.lower("text")
+
+    def holds(kind: str, term_: str) -> Column:
+        return ((low == term_) | F.array_contains(words(low), term_)) if kind in whole else F.contains(low, F.lit(term_))
+
+    rules = [F.when((F.col("type") == kind) & holds(kind, t), F.lit(c)) for kind, e in entries.items() for t, c in e if c in known]
+    told = spans.withColumn("_code", F.coalesce(*rules, F.lit(None).cast("string")))
+    out = told.filter("_code is not null").select("id", F.col("_code").alias("code"), F.lit("dictionary").alias("source"))
+    by_type = spans.sparkSession.createDataFrame(sorted(prefixes.items()), "type string, prefix string")
+    masked = keep(by_prefix(index.select("vec_id", "code", "embedding"), by_type.select("prefix").distinct()))
+    for prefix in sorted(set(prefixes.values())):
+        kinds = [t for t, p in prefixes.items() if p == prefix]
+        asked = told.filter(F.col("_code").isNull() & F.col("type").isin(*kinds) & F.col("embedding").isNotNull()).select(F.col("id").alias("query_id"), "embedding")
+        rows = masked.filter(F.col("prefix") == prefix)
+        near = dense_topk(asked, rows.select("vec_id", "embedding"), 1).join(rows.select("vec_id", "code"), "vec_id")
+        out = out.unionByName(near.select(F.col("query_id").alias("id"), "code", F.lit("index").alias("source")))
+    return spans.select("id").join(out, "id", "left")

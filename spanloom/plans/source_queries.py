@@ -9,9 +9,9 @@ from spanloom.operators import records as R
 from spanloom.plans import views as V
 from spanloom.plans.edit_queries import _SETS, _gold
 from spanloom.plans.record_queries import _LEDGER, _LEDGER_SQL
-from spanloom.plans.registry import query
+from spanloom.plans.registry import ORACLE_SQL, query
 from spanloom.sources import readers, writers
-from spanloom.sources.shared import new_path
+from spanloom.sources.shared import keep, new_path
 from spanloom.sources.tables import table
 from spanloom.streaming import votes as stream
 
@@ -147,3 +147,45 @@ def stream_counts(spark, d):
     run = counts.writeStream.format("parquet").outputMode("append").option("checkpointLocation", new_path(spark, "stream-state")).trigger(availableNow=True).start(sink)
     run.awaitTermination()
     return spark.read.parquet(sink).select("voter", "n")
+
+
+_HOUR = "timestamp_seconds(1704067200 + (doc_id % 3) * 3600)"
+
+
+def _timed_votes(spark, d):
+    """Votes of three rounds, an hour apart; every eleventh arrives hours late."""
+    v = V.votes(spark, d).select("voter", "voter_ord", "doc_id", "item_ord", "start", "end", "text", "type", "assertions", F.expr(_HOUR).alias("at"))
+    late = (F.col("start") + F.col("voter_ord") * 5) % 11 == 0
+    return v.withColumn("arrived", F.col("at") + F.when(late, F.expr("interval 5 hours")).otherwise(F.expr("interval 20 minutes")))
+
+
+def _streamed(spark, d, stream_of):
+    """What a stream over files of the three rounds, the late votes and a last vote a day later gives."""
+    source, sink = new_path(spark, "stream-in"), new_path(spark, "stream-out")
+    votes = keep(_timed_votes(spark, d))
+    in_time, late = stream.split_late(votes)
+    rounds = [in_time.filter(F.col("doc_id") % 3 == r) for r in range(3)]
+    end = F.lit("2024-01-02T12:00:00").cast("timestamp")
+    last = spark.range(1).select(F.lit("end").alias("voter"), *[F.lit(0).cast(t).alias(c) for c, t in (("voter_ord", "int"), ("doc_id", "long"), ("item_ord", "int"), ("start", "int"), ("end", "int"))], F.lit("").alias("text"), F.lit("").alias("type"), F.array().cast("array<string>").alias("assertions"), end.alias("at"), end.alias("arrived"))
+    for part in (*rounds, late, last):
+        part.coalesce(4).write.mode("append").json(source)
+    run = stream_of(spark.readStream.schema(stream.ARRIVED).option("maxFilesPerTrigger", 4).json(source)).writeStream.format("parquet").outputMode("append")
+    run.option("checkpointLocation", new_path(spark, "stream-state")).trigger(availableNow=True).start(sink).awaitTermination()
+    return spark.read.parquet(sink)
+
+
+def _in_time_sql(sql: str) -> str:
+    return sql.replace("(doc_id * 31 + s * 7 + v * 13) % 10 < 7", "(doc_id * 31 + s * 7 + v * 13) % 10 < 7 AND (s + v * 5) % 11 <> 0")
+
+
+@query(_in_time_sql(ORACLE_SQL["consensus_k2"]))
+def stream_consensus(spark, d):
+    """The consensus of two voters over votes in time, merged while they arrive in three rounds."""
+    merged = _streamed(spark, d, lambda v: stream.consensus_stream(stream.split_late(v)[0], 2)).filter("kind = 'final'")
+    return V.flat(merged.select("doc_id", "start", "end", "type", "text", "n_votes", "assertions"))
+
+
+@query(V.sql("SELECT voter, count(*) AS n FROM votes WHERE (s + voter_ord * 5) % 11 = 0 GROUP BY voter", "votes"))
+def stream_late_votes(spark, d):
+    """Late votes of the same stream, counted apart."""
+    return _streamed(spark, d, lambda v: stream.split_late(v)[1]).groupBy("voter").agg(F.count("*").alias("n"))
