@@ -3,10 +3,12 @@
 A page is cut into text blocks, each with the path of tags from the root to it; paths are numbers, interned as (parent
 path, step), so deep pages cost no more than flat ones.  For every path the text length, the punctuation and the share of
 link text are aggregated; their sequences over the page are smoothed, fused into one score, and a block is kept where the
-score reaches a share of the page's mean.  Elements that never hold an article's text (navigation, forms, scripts and so
+score reaches a share of the page's mean.  A list, table, quotation or preformatted text is one node: its items and cells stand or
+fall together, by the text of all of them.  Short blocks that the score passes over stay where blocks of the same parent
+before and after them stay (in a marked article: where any does).  Elements that never hold an article's text (navigation, forms, scripts and so
 on) take no part.  Where a page marks an article or main element, only blocks inside it do.  Class names are weights:
 a name that often means boilerplate leaves a block to its own path's ratios, without its neighbours'; names of reader
-comments and adverts weigh nothing.
+comments and adverts weigh nothing.  An id is less: headings carry any, and of others only those of comments weigh nothing.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ BOILER_TAGS = frozenset("nav footer aside form script style noscript template if
 DROPPED_NAMES = re.compile(
     r"(?i)(^|[\s_-])(comments|comment-(list|section|area|form)|disqus|respond|replies|ads?|advert\w*|promo\w*|sponsor(ed)?|cookies?|consent|popup|modal|newsletter|subscribe|signup|login)($|[\s_-])"
 )
+COMMENT_NAMES = re.compile(r"(?i)(^|[\s_-])(comments|comment-(list|section|area|form)|disqus\w*|respond|replies)($|[\s_-])")
 DOUBTFUL_NAMES = re.compile(
     r"(?i)(^|[\s_-])(nav|navbar|navigation|menu|breadcrumbs?|footer|header|masthead|sidebar|side-bar|aside|banner|notice|comment|share|sharing|social|related|recommend\w*|widget|toolbar|pagination|"
     r"pager|tags?|copyright|legal|disclaimer|search|skip-link|toc)($|[\s_-])"
@@ -46,19 +49,26 @@ ENDS = {
     "li": (("li",), ("ul", "ol")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "td": (("td", "th"), ("tr", "table")),
     "th": (("td", "th"), ("tr", "table")), "tr": (("tr",), ("table",)), "option": (("option",), ("select",)),
 }
-PLAIN, DOUBTFUL, DROPPED = 0, 1, 2
+PLAIN, CALLED, DOUBTFUL, DROPPED = 0, 1, 2, 3
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CONTAINERS = frozenset("ul ol dl table pre blockquote".split())
+CELLS = frozenset("td th caption tr table".split())  # a table with blocks of other kinds in it lays a page out
+CALLED_WEIGHT = 0.35  # of a block whose id alone is one of boilerplate
+MOST_LINKS = 0.5  # above it a run of short blocks is a menu wherever it stands, unless it is a list or table
 #: Share of the mean score, weight of a doubtful name, weight of links (they are menus, unless the page says that they are
 #: content): without and with a marked article.
 LIMITS = {False: (0.25, 0.15, 1.0), True: (0.15, 0.35, 0.5)}
 
 
 class Block:
-    """path: number of its tag path; rank: PLAIN or what its elements' names say; article: inside a marked element."""
+    """path: number of its tag path; rank: what its elements' names say; article: inside a marked element; tag and parent: its
+    block element's name and the number of the element around that; container: the list, table or such it is in,
+    as (number of the element, its path, its tag, the number of the element around it), or None."""
 
-    __slots__ = ("path", "text", "links", "rank", "article")
+    __slots__ = ("path", "text", "links", "rank", "article", "tag", "parent", "container")
 
-    def __init__(self, path: int, rank: int, article: bool):
-        self.path, self.rank, self.article = path, rank, article
+    def __init__(self, path: int, rank: int, article: bool, tag: str, parent: int, container: tuple | None):
+        self.path, self.rank, self.article, self.tag, self.parent, self.container = path, rank, article, tag, parent, container
         self.text: list[str] = []
         self.links = 0
 
@@ -79,11 +89,18 @@ def _rank(tag: str, attrs: str, inside_article: bool) -> tuple[int, str]:
             return DROPPED, ""
         if name == "role" and value.lower() in BOILER_ROLES:
             return DROPPED, ""
-        if name in ("class", "id") and tag not in ("article", "main", "h1"):
+        if name == "class" and tag not in ("article", "main", "h1"):
             if DROPPED_NAMES.search(value):
                 return DROPPED, ""
             if DOUBTFUL_NAMES.search(value):
                 rank, doubtful = DOUBTFUL, value
+        if name == "id" and tag not in ("article", "main") and tag not in HEADINGS:
+            if COMMENT_NAMES.search(value):
+                return DROPPED, ""
+            if DROPPED_NAMES.search(value) and rank < CALLED:
+                rank, doubtful = CALLED, value
+            elif DOUBTFUL_NAMES.search(value):
+                rank, doubtful = DOUBTFUL, value
     return rank, doubtful
 
 
@@ -95,6 +112,8 @@ class Stack:
         self.tags, self.ranks, self.articles, self.paths = [""], [PLAIN], [False], [0]
         self.places: dict[str, list[int]] = {}
         self.blocks = [0]
+        self.numbers, self.made = [0], 0
+        self.containers: list[tuple | None] = [None]
         self.paths_by_step: dict[tuple[int, str, str], int] = {}
 
     def last(self, tags: tuple[str, ...]) -> int:
@@ -107,6 +126,9 @@ class Stack:
             path = self.paths_by_step.setdefault((path, tag, name), len(self.paths_by_step) + 1)
             self.blocks.append(len(self.tags))
         self.places.setdefault(tag, []).append(len(self.tags))
+        self.made += 1
+        self.numbers.append(self.made)
+        self.containers.append(self.containers[-1] or ((self.made, path, tag, self.numbers[-2]) if tag in CONTAINERS else None))
         self.tags.append(tag)
         self.ranks.append(rank)
         self.articles.append(article)
@@ -120,6 +142,8 @@ class Stack:
             if tag not in INLINE:
                 self.blocks.pop()
             self.ranks.pop()
+            self.numbers.pop()
+            self.containers.pop()
             self.articles.pop()
             self.paths.pop()
 
@@ -138,7 +162,8 @@ def blocks(html: str) -> list[Block]:
         if now is None:
             if s.isspace():
                 return
-            now = Block(stack.paths[block], stack.ranks[block], stack.articles[block])
+            around = stack.blocks[-2] if len(stack.blocks) > 1 else 0
+            now = Block(stack.paths[block], stack.ranks[block], stack.articles[block], stack.tags[block], stack.numbers[around], stack.containers[block])
             out.append(now)
         now.text.append(s)
         if stack.places.get("a"):
@@ -192,31 +217,99 @@ def smooth(values: list[float], radius: int = 1) -> list[float]:
     return [(sums[min(n, i + radius + 1)] - sums[max(0, i - radius)]) / (min(n, i + radius + 1) - max(0, i - radius)) for i in range(n)]
 
 
+class Node:
+    """A block, or all blocks of one container."""
+
+    __slots__ = ("path", "parent", "rank", "whole", "texts", "length", "punct", "linked")
+
+    def __init__(self, path: object, parent: int, rank: int, whole: bool):
+        self.path, self.parent, self.rank, self.whole = path, parent, rank, whole
+        self.texts: list[str] = []
+        self.length = self.punct = self.linked = 0
+
+    def add(self, block: Block, text: str) -> None:
+        self.texts.append(text)
+        self.rank = max(self.rank, block.rank)
+        self.length += len(text)
+        self.punct += len(_PUNCT.findall(text))
+        self.linked += min(block.links, len(text))
+
+
+def nodes_of(pool: list[tuple[Block, str]]) -> list[Node]:
+    layout = {b.container[0] for b, _ in pool if b.container and b.container[2] == "table" and b.tag not in CELLS}
+    out: list[Node] = []
+    now = None
+    for b, t in pool:
+        container = b.container[0] if b.container and b.container[0] not in layout else None
+        if container is None or container != now:
+            # the path of a container is told from that of text right in such an element
+            out.append(Node(b.path, b.parent, b.rank, False) if container is None else Node(("whole", b.container[1]), b.container[3], b.rank, True))
+        now = container
+        out[-1].add(b, t)
+    return out
+
+
+def scores(nodes: list[Node], marked: bool) -> list[float]:
+    """The fused, smoothed ratios of each node's path; a container's text counts at most as much as the longest path's mean."""
+    length, punct, linked, count = (defaultdict(int) for _ in range(4))
+    for x in nodes:
+        length[x.path] += x.length
+        punct[x.path] += x.punct
+        linked[x.path] += x.linked
+        count[x.path] += 1
+    single = {x.path for x in nodes if not x.whole} or set(length)
+    most_t, most_p = max(length[p] / count[p] for p in single), max(punct[p] / count[p] for p in single) or 1.0
+    own = {p: 0.5 * min(1.0, length[p] / count[p] / most_t) + 0.5 * min(1.0, punct[p] / count[p] / most_p) for p in length}
+    around = smooth([own[x.path] for x in nodes])
+    _, doubt, links = LIMITS[marked]
+    weight = {CALLED: CALLED_WEIGHT, DOUBTFUL: doubt}
+    out = []
+    for x, near in zip(nodes, around, strict=True):
+        named = x.rank in weight
+        out.append((weight[x.rank] * own[x.path] if named else near) * (1 - (1.0 if named else links) * linked[x.path] / length[x.path]))
+    return out
+
+
+def with_siblings(nodes: list[Node], kept: list[bool], marked: bool) -> list[bool]:
+    """``kept`` and the runs of plain nodes between kept ones of one parent, or, in a marked article, beside any kept one."""
+    n = len(nodes)
+    before, after = [None] * n, [None] * n  # the parent of the nearest kept node on either side
+    for order, side in ((range(n), before), (range(n - 1, -1, -1), after)):
+        last = None
+        for i in order:
+            side[i] = last
+            if kept[i]:
+                last = nodes[i].parent
+    homes = {x.parent for x, k in zip(nodes, kept, strict=True) if k} if marked else set()
+
+    def stays(i: int) -> bool:
+        x = nodes[i]
+        if kept[i] or x.rank != PLAIN or x.linked > MOST_LINKS * x.length and not x.whole:
+            return kept[i]
+        return before[i] is not None and before[i] == after[i] or x.parent in homes
+
+    out = [stays(i) for i in range(n)]
+    # an unmarked page may end in a run of one kind: three or more without links, such as lines of code, are no footer
+    end = max((i for i in range(n) if out[i]), default=n - 1) + 1
+    alike = {(x.path, x.parent, x.rank, x.linked) for x in nodes[end:]}
+    if n - end >= 3 and len(alike) == 1 and nodes[end].rank == PLAIN and not nodes[end].linked and nodes[end].parent == nodes[end - 1].parent:
+        out[end:] = [True] * (n - end)
+    return out
+
+
 def main_blocks(html: str) -> list[str]:
     """The texts of the content blocks, white space within a block turned into one space."""
     found = [(b, _SPACE.sub(" ", "".join(b.text)).strip()) for b in blocks(html)]
     pool = [(b, t) for b, t in found if t and b.rank != DROPPED]
-    marked = [(b, t) for b, t in pool if b.article]
-    pool = marked or pool
-    if not pool:
+    inside = [(b, t) for b, t in pool if b.article]
+    marked = bool(inside)
+    nodes = nodes_of(inside or pool)
+    if not nodes:
         return []
-    length, punct, linked, nodes = (defaultdict(int) for _ in range(4))
-    for b, t in pool:
-        length[b.path] += len(t)
-        punct[b.path] += len(_PUNCT.findall(t))
-        linked[b.path] += min(b.links, len(t))
-        nodes[b.path] += 1
-    most_t, most_p = max(length[p] / nodes[p] for p in length), max(punct[p] / nodes[p] for p in length) or 1.0
-    own = {p: 0.5 * length[p] / nodes[p] / most_t + 0.5 * punct[p] / nodes[p] / most_p for p in length}
-    link_share = {p: linked[p] / length[p] for p in length}
-    around = smooth([own[b.path] for b, _ in pool])
-    share, doubt, links = LIMITS[bool(marked)]
-    score = []
-    for (b, _), near in zip(pool, around, strict=True):
-        named = b.rank == DOUBTFUL
-        score.append((doubt * own[b.path] if named else near) * (1 - (1.0 if named else links) * link_share[b.path]))
-    limit = share * sum(score) / len(score)
-    return [t for (b, t), s in zip(pool, score, strict=True) if s > 0 and s >= limit]
+    score = scores(nodes, marked)
+    limit = LIMITS[marked][0] * sum(score) / len(score)
+    kept = with_siblings(nodes, [s > 0 and s >= limit for s in score], marked)
+    return [t for x, k in zip(nodes, kept, strict=True) if k for t in x.texts]
 
 
 def main_text(html: str) -> str:
