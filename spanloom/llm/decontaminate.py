@@ -8,8 +8,10 @@ document, an item value must always turn into the same document value, as it doe
 other numbers or names.  Many mismatches mean that the template only looks alike.  Words with a capital at a sentence's
 start are literals, and in a second, looser set of windows names: such a window counts where the words are equal or one of
 them is a name in its text: it stands as one inside a sentence, or is no closed-class word and nowhere without its capital.
-A third set holds the plain words, whatever their case, so a copy in capitals is found; items of under five words are
-found by that set alone, in one window of their own width, word for word.
+Windows of placeholders alone say nothing of a text, so no template window is without a literal.
+A third set holds the plain words, whatever their case, so a copy in capitals is found, and so are items of numbers alone, with
+their values.  Items of under five words are found by that set alone, in one window of their own width, word for word, and
+only where they are half of a document's words or more: "yes" or "42" within a text is no copy of a question.
 
 The build side is taken in blocks of at most ``block_windows`` windows, a pass over the documents for each block, so what
 is broadcast is bounded whatever the benchmark's size.
@@ -32,6 +34,8 @@ from spanloom.llm.shingles import U, Words, buffers, shingles, slices, stream
 from spanloom.llm.tables import keep, map_arrow, text_or_empty
 
 WIDTH, SIMILARITY, BLOCK_WINDOWS = 5, 0.8, 1_000_000
+SHORT_SHARE = 0.5  # of a document's words, that an item of under WIDTH words must be
+SHIFTS = 1024  # alignments that are compared at a time
 LITERAL, NUMBER, UNIT, NAME = 0, 1, 2, 3
 _PLACEHOLDER = stream(4, 6)
 # Units of measure and number words.
@@ -66,6 +70,7 @@ _UNIT_HASHES, _NUMBER_HASHES, _CLOSED_HASHES = _hashes(UNITS), _hashes(NUMBER_WO
 _BYTE = np.arange(256)
 _DIGIT = (_BYTE >= 48) & (_BYTE <= 57)
 _UP = (_BYTE >= 65) & (_BYTE <= 90)
+_LETTER = _UP | ((_BYTE >= 97) & (_BYTE <= 122))
 _WORDLIKE = _DIGIT | _UP | ((_BYTE >= 97) & (_BYTE <= 122)) | (_BYTE >= 128)
 _STOP = np.isin(_BYTE, np.frombuffer(b".!?:;", dtype=np.uint8))
 
@@ -118,11 +123,26 @@ def _no_tokens(n_rows: int) -> Template:
     return Template(no_hash, none, no_hash, none, zero, none.astype(bool), (none, no_hash), (none, no_hash), zero)
 
 
+def _unit_starts(words: Words, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Where a unit begins that is glued to a number's digits, as in 60km; the end of each other word."""
+    at = end.copy()
+    numeric = _DIGIT[data[start]]
+    while True:
+        back = numeric & _LETTER[data[at - 1]]
+        if not back.any():
+            break
+        at[back] -= 1
+    split = numeric & (at < end)
+    unit = np.zeros(len(start), dtype=bool)
+    unit[split] = np.isin(words.span_hash(at[split], end[split]), _UNIT_HASHES)
+    return np.where(unit, at, end)
+
+
 def templates(data: np.ndarray, offsets: np.ndarray) -> Template:
     """A word's core is what is left without punctuation around it; words without a core are left out.
 
-    A core that starts with a digit, or is a number word, is a number; one in UNITS right after a number is a unit; one
-    with a capital followed by no capital, not at a sentence's start, is a name.  Names in a row are one name."""
+    A core that starts with a digit, or is a number word, is a number; one in UNITS right after a number, or glued to its
+    digits, is a unit; one with a capital followed by no capital, not at a sentence's start, is a name.  Names in a row are one name."""
     words = Words(_folded(data), offsets)
     n_rows = len(offsets) - 1
     if not len(words.start):
@@ -149,8 +169,12 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> Template:
     start, end, row, opens = start[has], end[has], words.row[has], opens[has]
     if not len(start):
         return _no_tokens(n_rows)
+    plain, plain_row = words.span_hash(start, end), row
+    cut = _unit_starts(words, data, start, end)
+    glued = np.flatnonzero(cut < end)
+    start, end = np.insert(start, glued + 1, cut[glued]), np.insert(cut, glued + 1, end[glued])
+    row, opens = np.insert(row, glued + 1, row[glued]), np.insert(opens, glued + 1, False)
     value = words.span_hash(start, end)
-    plain, plain_row = value, row
     first = data[start]
     second = data[np.minimum(start + 1, end - 1)]
     latin = (first == 0xC3) & (end - start > 1)
@@ -205,11 +229,11 @@ class Index:
 
     def places(self, item: int, at: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """Rows of (place, item token, window) for the places ``at`` with ``keys``."""
-        out = []
-        for w, k in zip(at.tolist(), keys.tolist(), strict=True):
-            a, b = np.searchsorted(self.item[self.opens[k] : self.opens[k + 1]], [item, item + 1]) + self.opens[k]
-            out += [(w, p, x) for p, x in zip(self.at[a:b].tolist(), self.window[a:b].tolist(), strict=True)]
-        return np.array(out, dtype=np.int64).reshape(-1, 3)
+        own, which = np.unique(keys, return_inverse=True)
+        span = np.array([np.searchsorted(self.item[self.opens[k] : self.opens[k + 1]], [item, item + 1]) + self.opens[k] for k in own.tolist()], dtype=np.int64).reshape(-1, 2)
+        lens = (span[:, 1] - span[:, 0])[which]
+        post = np.repeat(span[which, 0] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
+        return np.stack([np.repeat(at, lens), self.at[post], self.window[post]], axis=1)
 
 
 def _index(h: np.ndarray, owner: np.ndarray, at: np.ndarray, window: np.ndarray) -> Index:
@@ -251,14 +275,24 @@ def build_block(item_ids: list[int], texts: list[str]) -> Block:
     h, owner = shingles(t.ids, t.row, t.counts, WIDTH)
     begins = np.searchsorted(owner, np.arange(len(texts)))
     at = np.arange(len(h)) - begins[owner] if len(h) else np.empty(0, dtype=np.int64)
-    n_windows = _distinct_windows(h, owner, len(texts))
     window = np.unique(h, return_inverse=True)[1]
     first = np.concatenate(([0], np.cumsum(t.counts)))
-    loose = _index(shingles(t.loose_ids(), t.row, t.counts, WIDTH)[0], owner, at, window)
+
+    def literal(tokens: np.ndarray) -> np.ndarray:
+        """Which windows hold one of ``tokens``."""
+        sums = np.concatenate(([0], np.cumsum(tokens)))
+        begin = first[owner] + at
+        return sums[np.minimum(begin + WIDTH, first[owner + 1])] > sums[begin]
+
+    plain_words = t.kinds == LITERAL
+    some, more = literal(plain_words), literal(plain_words & ~t.opening)
+    n_windows = _distinct_windows(h[some], owner[some], len(texts))
+    exact = _index(h[some], owner[some], at[some], window[some])
+    loose = _index(shingles(t.loose_ids(), t.row, t.counts, WIDTH)[0][more], owner[more], at[more], window[more])
     g, of = shingles(t.words[1], t.words[0], t.word_counts, WIDTH)
     plain = _index(g, of, np.zeros(len(g), dtype=np.int64), np.unique(g, return_inverse=True)[1])
     widths = np.unique(np.minimum(t.word_counts[t.word_counts > 0], WIDTH)).tolist()
-    return Block(item_ids, first, t, n_windows, _index(h, owner, at, window), loose, plain, _distinct_windows(g, of, len(texts)), widths)
+    return Block(item_ids, first, t, n_windows, exact, loose, plain, _distinct_windows(g, of, len(texts)), widths)
 
 
 def _align(at: np.ndarray, n_item: int, n_doc: int, main: int) -> list[tuple[int, int]]:
@@ -290,29 +324,55 @@ def _slots(block: Block, item: int, t: Template, row: int, base: int, doc_at: np
     lo, hi = int(block.first[item]), int(block.first[item + 1])
     mine, n_doc = block.tokens, int(t.counts[row])
     named = mine.named(item, lo, hi)
-    best: tuple[int, int, int] | None = None
-    for main in d[n == n.max()].tolist():
-        near = np.abs(shift - main) <= WIDTH
-        at = np.unique(np.stack([item_at[near], doc_at[near]], axis=1), axis=0)
-        image: dict[tuple[int, int], int] = {}
-        slots = changed = broken = 0
-        for i, k in _align(at, hi - lo, n_doc, main):
-            kind, other = int(mine.kinds[lo + i]), int(t.kinds[base + k])
-            a, b = int(mine.values[lo + i]), int(t.values[base + k])
-            if loose:
-                if mine.opening[lo + i] and (named[i] or a != b):
-                    kind = NAME
-                if t.opening[base + k]:
-                    other = NAME
-            if kind == LITERAL or kind != other:
-                continue
-            slots += 1
-            changed += a != b
-            broken += image.setdefault((kind, a), b) != b
-        if best is None or broken * max(1, best[0]) < best[2] * max(1, slots):
-            best = slots, changed, broken
-        if not broken:
-            break
+    main = _straightest(block, lo, hi, t, base, n_doc, d[n == n.max()])
+    near = np.abs(shift - main) <= WIDTH
+    # the indexes hold no windows of placeholders alone: those of the main shift are read off the tokens
+    i = np.arange(hi - lo)
+    equal = (i + main >= 0) & (i + main < n_doc)
+    equal &= mine.ids[lo:hi] == t.ids[base + np.clip(i + main, 0, n_doc - 1)]
+    bare = np.flatnonzero(np.convolve(equal, np.ones(WIDTH, dtype=np.int64), "valid") == WIDTH) if hi - lo >= WIDTH else i[:0]
+    at = np.concatenate([np.stack([item_at[near], doc_at[near]], axis=1), np.stack([bare, bare + main], axis=1)])
+    at = np.unique(at, axis=0)
+    image: dict[tuple[int, int], int] = {}
+    slots = changed = broken = 0
+    for i, k in _align(at, hi - lo, n_doc, main):
+        kind, other = int(mine.kinds[lo + i]), int(t.kinds[base + k])
+        a, b = int(mine.values[lo + i]), int(t.values[base + k])
+        if loose:
+            if mine.opening[lo + i] and (named[i] or a != b):
+                kind = NAME
+            if t.opening[base + k]:
+                other = NAME
+        if kind == LITERAL or kind != other:
+            continue
+        slots += 1
+        changed += a != b
+        broken += image.setdefault((kind, a), b) != b
+    return slots, changed, broken
+
+
+def _straightest(block: Block, lo: int, hi: int, t: Template, base: int, n_doc: int, shifts: np.ndarray) -> int:
+    """Of equally frequent shifts the one with the smallest share of broken slots along the straight alignment, then the
+    smallest; shifts are compared as rows of a matrix, so a text that repeats itself costs no loop."""
+    if len(shifts) == 1:
+        return int(shifts[0])
+    kinds, values = block.tokens.kinds[lo:hi], block.tokens.values[lo:hi]
+    slot_at = np.flatnonzero(kinds != LITERAL)
+    if not len(slot_at):
+        return int(shifts[0])
+    _, first, same = np.unique(values[slot_at] + kinds[slot_at].astype(U), return_index=True, return_inverse=True)
+    best, most = int(shifts[0]), 2.0
+    for c in range(0, len(shifts), SHIFTS):
+        k = shifts[c : c + SHIFTS, None] + slot_at
+        inside = (k >= 0) & (k < n_doc)
+        k = base + np.clip(k, 0, n_doc - 1)
+        slot = inside & (t.kinds[k] == kinds[slot_at])
+        seen = t.values[k]
+        broken = slot & slot[:, first[same]] & (seen != seen[:, first[same]])
+        share = broken.sum(axis=1) / np.maximum(1, slot.sum(axis=1))
+        i = int(share.argmin())
+        if share[i] < most:
+            best, most = int(shifts[c + i]), float(share[i])
     return best
 
 
@@ -336,7 +396,7 @@ def find_in(data: np.ndarray, offsets: np.ndarray, block: Block, similarity: flo
     last come the plain words, without slots."""
     t = templates(data, offsets)
     h, owner = shingles(t.ids, t.row, t.counts, WIDTH)
-    if not len(h) or not len(block.exact.keys):
+    if not len(h) or not len(block.plain.keys):
         return
     rows3, key3 = _plain_hits(t, block)
     at1, key1 = block.exact.probe(h)
@@ -374,7 +434,8 @@ def find_in(data: np.ndarray, offsets: np.ndarray, block: Block, similarity: flo
                     yield row, item, s, windows, slots, changed
         items, n = np.unique(block.plain.windows(key3[slice(*np.searchsorted(rows3, [row, row + 1]))])[:, 0], return_counts=True)
         for item, found in zip(items.tolist(), n.tolist(), strict=True):
-            if item not in done and found >= similarity * block.n_plain[item]:
+            short = block.n_words(item) < WIDTH and block.n_words(item) < SHORT_SHARE * t.word_counts[row]
+            if item not in done and not short and found >= similarity * block.n_plain[item]:
                 yield row, item, found / int(block.n_plain[item]), int(block.n_plain[item]), 0, 0
 
 

@@ -355,9 +355,9 @@ def test_half_an_item_is_no_hit(spark):
     assert not found(spark, [ITEM[: len(ITEM) // 2] + " and something else entirely follows in this place."])
 
 
-def test_short_items_match_word_for_word_anywhere(spark):
+def test_short_items_match_word_for_word_where_they_are_half_of_a_text(spark):
     got = found(spark, ["two words", "here are two words more", "Two, words!", "two", "two more words", "2 words", "WHO IS BOB SAID BOB"], items=("two words", "", None, "Who is Bob?"))
-    assert set(got) == {(0, 0), (1, 0), (2, 0), (6, 3)}
+    assert set(got) == {(0, 0), (2, 0), (6, 3)}  # two words of five are too few
 
 
 APPLES = "Natalia has 12 red apples. Natalia gives 3 to Bob. Bob eats 2. How many are left?"
