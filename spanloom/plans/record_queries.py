@@ -217,6 +217,18 @@ def dense_topk(spark, d):
     return V.flat(Q.dense_topk(queries, e, 5).select("query_id", "vec_id", "rank"))
 
 
+@query("SELECT count(*) * 10 AS n, true AS reached FROM embeddings WHERE vec_id % 20 = 0")
+def ann_recall(spark, d):
+    """Whether inverted lists over every row find nine tenths of the exact ten nearest or more, asking as many cells as other
+    queries need for a little more than that."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    queries = [e.filter(F.col("vec_id") % 20 == m).select(F.col("vec_id").alias("query_id"), "embedding") for m in (0, 1)]
+    centres = Q.fit_cells(e)
+    lists = Q.inverted_lists(e, centres)
+    found = Q.ann_topk(queries[0], lists, centres, 10, Q.probes_needed(queries[1], lists, centres, 10, 0.95))
+    return Q.recall(found, Q.dense_topk(queries[0], e, 10)).select("n", (F.col("recall") >= 0.9).alias("reached"))
+
+
 @query(
     "SELECT query_id, CASE WHEN s >= 0.5 THEN vec_id END AS vec_id FROM (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(q.embedding, e.embedding) AS s, row_number() OVER (PARTITION BY q.vec_id "
     "ORDER BY round(list_cosine_similarity(q.embedding, e.embedding), 6) DESC, e.vec_id) AS r FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0 AND e.vec_id % 20 <> 0 AND e.label % 2 = 1) WHERE r = 1"

@@ -2,11 +2,13 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from spanloom import vocab
 from spanloom.operators import linking as K
 from spanloom.operators import runs
+from spanloom.operators import search as Q
 from spanloom.streaming import votes as stream
 
 DOCS = "doc_id long, body string"
@@ -91,3 +93,23 @@ def test_streamed_consensus_equals_the_batch(spark, tmp_path):
     # one vote of a voter on a span counts: the first that came
     assert {k: v[0] for k, v in got.items()} == {k: len({x[0] for x in v}) for k, v in want.items() if len({x[0] for x in v}) >= 2}
     assert out.filter("kind = 'agreed'").count() == len(got) and stream.split_late(votes)[1].count() == sum(r[10] != r[9] for r in rows)
+
+
+def test_inverted_lists_hold_every_row_and_find_clustered_neighbours(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(12, 16))
+    rows = [(i, (centres[i % 12] + rng.normal(size=16) * 0.2).tolist()) for i in range(600)]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    cells = Q.fit_cells(e, 12)
+    lists = Q.inverted_lists(e, cells)
+    assert lists.count() == 600 and {r.vec_id for r in lists.collect()} == set(range(600))
+    exact = Q.dense_topk(q, e, 5)
+    probes = Q.probes_needed(q, lists, cells, 5, 0.95)
+    assert probes <= 4 and Q.recall(Q.ann_topk(q, lists, cells, 5, probes), exact).first().recall >= 0.9
+    # asked for all cells, the search is the exact one
+    every = {(r.query_id, r.rank, r.vec_id) for r in Q.ann_topk(q, lists, cells, 5, 12, block_rows=7).collect()}
+    assert every == {(r.query_id, r.rank, r.vec_id) for r in exact.collect()}
+    none = e.limit(0)
+    empty = Q.fit_cells(none)
+    assert Q.ann_topk(q, Q.inverted_lists(none, empty), empty, 5, 3).count() == 0
