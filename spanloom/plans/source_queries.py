@@ -189,3 +189,43 @@ def stream_consensus(spark, d):
 def stream_late_votes(spark, d):
     """Late votes of the same stream, counted apart."""
     return _streamed(spark, d, lambda v: stream.split_late(v)[1]).groupBy("voter").agg(F.count("*").alias("n"))
+
+
+@query(V.sql("SELECT DISTINCT voter, doc_id FROM votes v WHERE NOT EXISTS (SELECT 1 FROM votes x WHERE x.voter = v.voter AND x.doc_id = v.doc_id AND (x.s % 3 = 0 AND x.voter <> 'b'))", "votes"))
+def resumed_work(spark, d):
+    """What of the work on each voter's documents is left after some of it was done."""
+    v = V.votes(spark, d)
+    return readers.resume(v.select("voter", "doc_id").distinct(), v.filter("start % 3 = 0 and voter <> 'b'"), ["voter", "doc_id"])
+
+
+@query(
+    V.sql(
+        "SELECT voter, doc_id, CASE WHEN doc_id % 100 >= 50 OR odd = 0 THEN n ELSE odd END AS items, CASE WHEN odd > 0 THEN 2 ELSE 1 END AS n_parts FROM (SELECT voter, doc_id, count(*) AS n, count(*) FILTER (item_ord % 2 = 1) AS odd FROM votes GROUP BY ALL)",
+        "votes",
+    )
+)
+def merged_parts(spark, d):
+    """Parts of a voter's answers that overlap by half: of two that have a document the first counts."""
+    v = V.votes(spark, d).withColumn("v", F.struct("text", "type", "assertions", F.lit("").alias("before"), F.lit("").alias("after")))
+
+    def parts(rows, low):
+        items = rows.withColumn("low", low.cast("int")).groupBy("voter", "low", "doc_id").agg(F.collect_list("v").alias("items"))
+        return items.groupBy("voter", "low").agg(F.map_from_entries(F.collect_list(F.struct(F.col("doc_id").cast("string"), "items"))).alias("parsed")).withColumn("ok", F.lit(True))
+
+    whole, odd = parts(v, F.floor(F.col("doc_id") / 100) * 100), parts(v.filter("item_ord % 2 = 1"), F.floor((F.col("doc_id") + 50) / 100) * 100 - 50)
+    broken = whole.withColumn("low", F.lit(-1000)).withColumn("ok", F.lit(False))
+    merged = readers.merge_parts(whole.unionByName(odd).unionByName(broken))
+    return V.flat(merged.select("voter", "doc_id", F.size("items").alias("items"), "n_parts"))
+
+
+@query(_SPANS_SQL)
+def gated_set(spark, d):
+    """A set that breaks no rule, written through the gate and read back; one that does is refused."""
+    path, spans = new_path(spark, "gated"), _gold(spark, d)
+    broken = spans.filter("end <= start").select(F.lit("bounds").alias("rule"), "doc_id", "ord")
+    writers.write_gated(spans, broken, path)
+    try:
+        writers.write_gated(spans, spans.limit(1).select(F.lit("any").alias("rule"), "doc_id", "ord"), new_path(spark, "refused"))
+    except ValueError:
+        return V.flat(readers.read_annotation_lines(spark, path))
+    raise AssertionError("a set that breaks a rule was written")
