@@ -18,7 +18,7 @@ from spanloom.operators import bloom
 from spanloom.operators import edits as E
 from spanloom.operators import linking as K
 from spanloom.operators.locate import loose_occurrences, loosened, occurrences
-from spanloom.operators.records import short_term, systematic_sample
+from spanloom.operators.records import range_ranks, short_term, systematic_sample
 from spanloom.operators.spans import islands
 from spanloom.operators.structure import parse_lines
 from spanloom.sources.shared import keep
@@ -27,13 +27,8 @@ LAB_TYPES = (vocab.LAB_NAME, vocab.LAB_RESULT)
 
 
 def with_rank(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """``rows`` numbered from 1 in ``order``, which must be unique.  Ranges are numbered by themselves and moved by the
-    sizes of those before them, so no task holds all rows."""
-    spread = rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    ranked = spread.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    sizes = ranked.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return ranked.join(F.broadcast(sizes.select("_p", before.alias("_b"))), "_p").withColumn(name, F.col("_b") + F.col("_r")).drop("_p", "_r", "_b")
+    """``rows`` numbered from 1 in ``order``, which must be unique."""
+    return range_ranks(rows, order, name).withColumn(name, F.col(name) + 1).drop("_total")
 
 
 def rule_votes(spans: DataFrame, docs: DataFrame, voter: str = "rule") -> DataFrame:
@@ -281,8 +276,8 @@ def repeat_scan(base: DataFrame, docs: DataFrame, stage: int = 1) -> DataFrame:
 
 def annotation_skeleton(docs: DataFrame, n: int) -> DataFrame:
     """The parsed lines of ``n`` documents at even steps through their lengths, each with an empty slot for concepts."""
-    sized = docs.withColumn("_size", F.length("text"))
-    chosen = systematic_sample(sized, "_size", "doc_id", n).select("doc_id", "text")
+    sized = docs.select("doc_id", F.length("text").alias("_size"))
+    chosen = docs.join(F.broadcast(systematic_sample(sized, "_size", "doc_id", n).select("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
     slot = F.array(F.struct(F.lit("").alias("text"), F.lit("").alias("type"), F.array().cast("array<string>").alias("candidates"), F.array().cast("array<string>").alias("assertions")))
     return parse_lines(chosen).withColumn("concepts", slot)
 

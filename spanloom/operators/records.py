@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spanloom import vocab
 from spanloom.functions.text import banned, escape, lenient_double, nfc, undot, unescape, words
 from spanloom.operators.spans import adjacent_overlaps
+from spanloom.sources.shared import keep
 
 
 def violations(spans: DataFrame, docs: DataFrame, known_codes: DataFrame, expected: DataFrame, max_overlaps: int = 3) -> DataFrame:
@@ -84,21 +85,26 @@ def modulus_split(df: DataFrame, key: str, n: int = 7) -> DataFrame:
     return df.withColumn("split", F.when(F.pmod(F.col(key) - 1, F.lit(n)) == 0, "dev").otherwise("train"))
 
 
-def systematic_sample(df: DataFrame, size: str, key: str, n: int) -> DataFrame:
-    """n rows at even steps through the rows sorted by (size, key).
+def range_ranks(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``rows`` numbered from 0 in ``order``, and _total.  Ranges are numbered by themselves and moved by the sizes of those
+    before them, so no task holds all rows.
 
-    Global ranks come from per-range counts, so no task sorts the whole table: rows are range-partitioned, ranked within
-    their partition and shifted by the sizes of the partitions before it (one small row for each partition)."""
-    spread = df.repartitionByRange(F.col(size), F.col(key)).withColumn("_p", F.spark_partition_id())
-    local = F.row_number().over(Window.partitionBy("_p").orderBy(size, key))
-    ranked = spread.withColumn("_r", local)
+    Borders of ranges are drawn from a sample, and a plan that reads them twice may draw them twice or join them otherwise;
+    so the numbered ranges are written, and sizes and rows are read from what was written."""
+    spread = rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    ranked = keep(spread.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order))))
     counts = ranked.groupBy("_p").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select("_p", before.alias("_before"), F.sum("_n").over(Window.partitionBy(F.lit(1))).alias("_total"))
-    placed = ranked.join(F.broadcast(counts), "_p").withColumn("_rank", F.col("_before") + F.col("_r") - 1)
-    step = F.floor(F.ceil(F.col("_rank") * n / F.col("_total")) * F.col("_total") / n)
-    wanted = (step == F.col("_rank")) & (F.ceil(F.col("_rank") * n / F.col("_total")) < n)
-    return placed.filter(wanted).drop("_p", "_r", "_before", "_total", "_rank")
+    return ranked.join(F.broadcast(counts), "_p").withColumn(name, F.col("_before") + F.col("_r") - 1).drop("_p", "_r", "_before")
+
+
+def systematic_sample(df: DataFrame, size: str, key: str, n: int) -> DataFrame:
+    """n rows at even steps through the rows sorted by (size, key), the floor of every whole multiple of total / n."""
+    placed = range_ranks(df, [size, key], "_rank")
+    # in whole numbers: the first multiple at or after a rank, which falls onto it or not
+    placed = placed.withColumn("_k", F.expr(f"(_rank * {n} + _total - 1) div _total"))
+    return placed.filter(f"_k < {n} and (_k * _total) div {n} = _rank").drop("_total", "_rank", "_k")
 
 
 def density_gate(votes: DataFrame, least_median: int = 8) -> DataFrame:
