@@ -49,8 +49,10 @@ _BEFORE = 15
 def context_candidates(items: DataFrame, docs: DataFrame) -> DataFrame:
     """doc_id, item_ord, rank, start, end: the places of each text, ranked by how much of the end of ``before`` stands there
     (rank is that length, negative)."""
-    at = items.join(occurrences(items, docs, nfc_fallback=False), ["doc_id", "text"]).join(docs, "doc_id")
-    at = at.withColumn("_led", F.expr("substring(body, greatest(start - length(before), 0) + 1, least(length(before), start))"))
+    longest = items.agg(F.max(F.length("before"))).first()[0] or 1
+    at = items.join(occurrences(items, docs, nfc_fallback=False, width=longest), ["doc_id", "text"])
+    # what stands before a place comes with the place: cut out of the body here, it would be counted to from the body's start for each n
+    at = at.withColumn("_led", F.expr("right(left, length(before))"))
     same = F.expr("size(filter(sequence(1, greatest(length(before), 1)), n -> n <= length(before) and right(_led, n) = right(before, n)))")
     return at.select("doc_id", "item_ord", (-same).alias("rank"), "start", "end")
 
@@ -62,9 +64,9 @@ def ladder_candidates(items: DataFrame, docs: DataFrame) -> DataFrame:
     before = F.trim(F.expr(f"right(before, {_BEFORE})"))
     loose = F.pandas_udf(lambda s: s.map(lambda t: loosened(t)[0].strip(" ")), "string")
     asked = items.select("doc_id", "item_ord", F.trim("text").alias("text"), before.alias("_b"), loose(before).alias("_lb"))
-    left = F.expr(f"substring(body, greatest(start - {_BEFORE}, 0) + 1, least({_BEFORE}, start))")
-    exact = asked.join(occurrences(asked, docs, nfc_fallback=False), ["doc_id", "text"]).join(docs, "doc_id")
-    led = (F.col("_b") != "") & F.endswith(left, F.col("_b"))
+    exact = asked.join(occurrences(asked, docs, nfc_fallback=False, width=_BEFORE), ["doc_id", "text"])
+    exact = exact.withColumn("_led", (F.col("_b") != "") & F.endswith("left", F.col("_b"))).select("doc_id", "item_ord", "start", "end", "_led")
+    led = F.col("_led")
     first = F.min(F.when(led, F.col("start"))).over(Window.partitionBy("doc_id", "item_ord"))
     exact = exact.select("doc_id", "item_ord", F.when(led & (F.col("start") == first), 0).otherwise(1).alias("rank"), "start", "end")
     near = asked.join(loose_occurrences(asked, docs), ["doc_id", "text"])
@@ -142,10 +144,10 @@ def add_items(base: DataFrame, items: DataFrame, docs: DataFrame, codes: DataFra
     assertions): unknown types and, but for laboratory types, short terms go; the others are placed in order, coded by
     ``codes`` and keep the labels of the vocabulary."""
     kind = F.when(~F.col("type").isin(*vocab.TYPES), "unknown type").when(~F.col("type").isin(*LAB_TYPES) & short_term(F.col("text")), "short term")
-    judged = items.withColumn("_why", kind)
+    judged = keep(items.withColumn("_why", kind))  # read five times below
     placed = place_items(judged.filter("_why is null").select("doc_id", "item_ord", "text", "before", "at"), base, docs, candidates)
     allowed = F.array(*[F.lit(a) for a in vocab.ASSERTIONS])
-    found = placed.filter("reason = 'placed'").drop("reason").join(items.select("doc_id", "item_ord", "text", "type", F.array_intersect("assertions", allowed).alias("assertions")), ["doc_id", "item_ord"])
+    found = placed.filter("reason = 'placed'").drop("reason").join(judged.select("doc_id", "item_ord", "text", "type", F.array_intersect("assertions", allowed).alias("assertions")), ["doc_id", "item_ord"])
     # a place found with case or spaces let go holds the document's own text
     own = found.join(docs, "doc_id").withColumn("text", F.expr("substring(body, start + 1, end - start)")).drop("body")
     reasons = judged.filter("_why is not null").select("doc_id", "item_ord", F.col("_why").alias("reason")).unionByName(placed.select("doc_id", "item_ord", "reason"))
