@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from spanloom import vocab
 from spanloom.functions.text import surface, term, words
 from spanloom.operators import bloom
 from spanloom.operators.search import dense_topk
-from spanloom.operators.spans import anti_overlap, greedy
+from spanloom.operators.spans import anti_overlap, greedy, greedy_by_document
 from spanloom.sources.shared import keep
 
 _CI = "(?iu)"
@@ -21,6 +23,10 @@ _CI = "(?iu)"
 # ---- dictionaries over tokens
 
 
+def _hashes() -> tuple[Column, Column]:
+    return F.xxhash64("gram").alias("_h"), F.xxhash64("gram", F.lit(1)).alias("_g")
+
+
 def ngrams(tokens: DataFrame, n: int = 3) -> DataFrame:
     """doc_id, ord, n, start, end, gram for 1..n tokens of (doc_id, ord, start, w), joined by one space, lower case.  Tokens
     cut at single spaces that bring those after them (w1, w2, ...) are not shuffled."""
@@ -38,18 +44,55 @@ def ngrams(tokens: DataFrame, n: int = 3) -> DataFrame:
     return grown.select("doc_id", "ord", "g.n", "start", "g.end", "g.gram").filter("gram is not null")
 
 
+def _filter(known: DataFrame) -> Broadcast:
+    """A Bloom filter of the grams of ``known``, by two hashes of each."""
+    return bloom.words(known.select(F.explode(F.array(*_hashes())).alias("h")).distinct(), "h")
+
+
+def _passing(grams: DataFrame, table: Broadcast, false: Broadcast | None = None) -> DataFrame:
+    """Rows of ``grams`` that the filter lets pass, less those whose hash is in the sorted list ``false``.
+
+    Rows go through Python and come out of it: beside a column function Spark would hold them back on disk."""
+    names = grams.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(batch.num_columns - 2).to_numpy()
+            out = bloom.hits(table.value, h)
+            out[out] = bloom.hits(table.value, batch.column(batch.num_columns - 1).to_numpy()[out])
+            if false is not None and len(false.value):
+                mine = h[out]
+                out[out] = false.value[np.minimum(np.searchsorted(false.value, mine), len(false.value) - 1)] != mine
+            yield batch.filter(pa.array(out)).select(names)
+
+    return grams.select("*", *_hashes()).mapInArrow(run, grams.schema)
+
+
 def dictionary_hits(tokens: DataFrame, dictionary: DataFrame, n: int = 3) -> DataFrame:
     """The n-grams of ``tokens`` that ``dictionary`` (gram, ...) has, with its columns.
 
     A Bloom filter of its grams goes before the join, so that others are not shuffled."""
     known = keep(dictionary)
-    table = bloom.words(known.select(F.xxhash64("gram").alias("h")).distinct(), "h")
+    return _passing(ngrams(tokens, n), _filter(known.select("gram").distinct())).join(known, "gram")
+
+
+MOST_FALSE = 1 << 22  # hashes of n-grams (32 MB) that pass the filter though no dictionary has them
+
 
-    @F.pandas_udf("boolean")
-    def may_be(h: pd.Series) -> pd.Series:
-        return pd.Series(bloom.hits(table.value, h.to_numpy()))
+def known_ngrams(tokens: DataFrame, dictionary: DataFrame, n: int = 3) -> tuple[DataFrame, Callable]:
+    """The n-grams of ``tokens`` (doc_id, n, start, end, gram) that ``dictionary`` (gram) has, and the greedy selection that
+    fits them.  Tokens that bring those after them must come as they were cut, each document's in one partition and in order.
 
-    return ngrams(tokens, n).filter(may_be(F.xxhash64("gram"))).join(known, "gram")
+    Of the n-grams only the distinct ones that pass a Bloom filter are shuffled, to learn which of them the dictionary lacks;
+    that few 64-bit hashes go to all tasks, and the n-grams themselves stay where documents were cut.  Should those be more than
+    MOST_FALSE, a join decides."""
+    known = keep(dictionary.select("gram").distinct())
+    table = _filter(known)
+    grams = ngrams(tokens, n).select("doc_id", "n", "start", "end", "gram")
+    lacking = _passing(grams.select("gram"), table).distinct().join(known, "gram", "left_anti").select(_hashes()[0].alias("h")).limit(MOST_FALSE + 1).toArrow()["h"].to_numpy()
+    if len(lacking) > MOST_FALSE:
+        return _passing(grams, table).join(known, "gram", "left_semi"), greedy
+    return _passing(grams, table, tokens.sparkSession.sparkContext.broadcast(np.sort(lacking))), greedy_by_document
 
 
 def dictionary_longest(tokens: DataFrame, dictionary: DataFrame, n: int = 3) -> DataFrame:
@@ -57,14 +100,23 @@ def dictionary_longest(tokens: DataFrame, dictionary: DataFrame, n: int = 3) ->
     return greedy(dictionary_hits(tokens, dictionary, n), [F.col("start"), -F.col("n")], ["gram", "value", "n"])
 
 
-def lexicon_longest_first(hits: DataFrame) -> DataFrame:
+def known_longest(tokens: DataFrame, dictionary: DataFrame, n: int = 3) -> DataFrame:
+    """As ``dictionary_longest``, for tokens as ``known_ngrams`` takes them: values are joined to the hits that are left, the
+    least of a gram."""
+    known = keep(dictionary)
+    hits, claim = known_ngrams(tokens, known, n)
+    values = known.groupBy("gram").agg(F.min(F.struct("value")).alias("v")).select("gram", "v.value")
+    return claim(hits, [F.col("start"), -F.col("n")], ["gram", "n"]).join(values, "gram").select("doc_id", "start", "end", "gram", "value", "n")
+
+
+def lexicon_longest_first(hits: DataFrame, claim: Callable = greedy) -> DataFrame:
     """Longest term claims first, wherever it is; ties by term order, then place (start, end, term, term_ord)."""
-    return greedy(hits, [-F.length("term"), F.col("term_ord"), F.col("start")], ["term", "term_ord"])
+    return claim(hits, [-F.length("term"), F.col("term_ord"), F.col("start")], ["term", "term_ord"])
 
 
-def layered_claim(hits: DataFrame) -> DataFrame:
+def layered_claim(hits: DataFrame, claim: Callable = greedy) -> DataFrame:
     """Layers claim in order (layer 0 first), within a layer longest first."""
-    return greedy(hits, [F.col("layer"), -(F.col("end") - F.col("start")), F.col("start")], ["layer", "term"])
+    return claim(hits, [F.col("layer"), -(F.col("end") - F.col("start")), F.col("start")], ["layer", "term"])
 
 
 def repeats(spans: DataFrame, hits: DataFrame) -> DataFrame:
