@@ -121,8 +121,8 @@ def layered_claim(hits: DataFrame, claim: Callable = greedy) -> DataFrame:
 
 def repeats(spans: DataFrame, hits: DataFrame) -> DataFrame:
     """Further mentions of known surfaces: occurrences (doc_id, start, end, text, type) that overlap no span, longest first."""
-    free = anti_overlap(hits, spans)
-    return greedy(free, [-(F.col("end") - F.col("start")), F.col("start")], ["text", "type"])
+    free = anti_overlap(hits, spans)  # by a window over each document, so its rows follow one another
+    return greedy_by_document(free, [-(F.col("end") - F.col("start")), F.col("start")], ["text", "type"])
 
 
 # ---- clinical drug names

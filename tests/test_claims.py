@@ -41,3 +41,11 @@ def test_what_the_filter_lets_pass_is_told_apart(spark, monkeypatch):
     for most in (K.MOST_FALSE, 1):
         monkeypatch.setattr(K, "MOST_FALSE", most)
         assert {(r.doc_id, r.start, r.end, r.gram, r.value) for r in K.known_longest(cut_tokens(docs, 2), known).collect()} == want
+
+
+def test_further_mentions_are_shuffled_once(spark):
+    spans = spark.createDataFrame([(1, 0, 3)], "doc_id long, start int, end int")
+    hits = spark.createDataFrame([(1, 2, 5, "abc", "t"), (1, 4, 6, "de", "t"), (1, 5, 9, "efgh", "t"), (2, 0, 3, "abc", "t")], "doc_id long, start int, end int, text string, type string")
+    out = K.repeats(spans, hits)
+    assert {(r.doc_id, r.start, r.end) for r in out.collect()} == {(1, 5, 9), (2, 0, 3)}
+    assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
